@@ -6,8 +6,8 @@ the cube method: the vector of probabilities moves inside the null-space of two
 constraints (number of documents, number of words) until all but at most two entries are
 0 or 1 (the flight), so both totals are kept exactly.  Blocks of a source fly in parallel;
 what they leave open (two documents each at most) flies again in blocks of a higher
-level, until one block per source is left, whose last two documents land on the nearest
-word total.  Blocks and directions come from hashes of the documents, so reruns agree
+level, until one block per source is left, where the last two documents land (see
+:func:`land`).  Blocks and directions come from hashes of the documents, so reruns agree
 whatever the partitioning.
 
 Null source: its own source, last in the order.  Null text: size 0.  A source without
@@ -31,6 +31,8 @@ from .common import WORD_PATTERN, Scratch, ship
 BLOCK = 2_000
 #: A document is taken at most so often.
 MOST = 3
+#: Settled documents that a landing may turn over.
+TURNS = 8
 
 
 def word_count(text: Column) -> Column:
@@ -77,25 +79,40 @@ def fly(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.asarray(p)
 
 
-def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The at most two open documents of a source: the choice nearest the wanted words."""
+def land(p: np.ndarray, size: np.ndarray, want: float) -> np.ndarray:
+    """Landing phase: settles the at most two open documents the way that comes nearest to
+    ``want`` words.  A long open document can leave the total off by its length, so a few
+    settled documents are then turned over, each the one whose size is nearest to what is
+    still missing, as long as that helps.
+    """
     p = p.copy()
     at = np.flatnonzero((p > 0) & (p < 1))
-    want = float((p[at] * size[at]).sum())
-    best = min(range(1 << len(at)), key=lambda m: (abs(sum(size[k] for j, k in enumerate(at) if m >> j & 1) - want), m))
+    if not len(at):
+        return p
+    fixed = float((np.where((p > 0) & (p < 1), 0, p) * size).sum())
+    best = min(range(1 << len(at)), key=lambda m: (abs(fixed + sum(size[k] for j, k in enumerate(at) if m >> j & 1) - want), m))
     for j, k in enumerate(at):
         p[k] = float(best >> j & 1)
+    for _ in range(TURNS):
+        off = float((p * size).sum()) - want
+        can = np.flatnonzero(p == (1 if off > 0 else 0))
+        if not len(can):
+            break
+        k = can[np.abs(size[can] - abs(off)).argmin()]
+        if abs(abs(off) - size[k]) >= abs(off):
+            break
+        p[k] = 1 - p[k]
     return p
 
 
 def _block(last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # long documents first: what stays open to the end is short, so landing moves few words
-        pdf = pdf.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["order", "doc_id", "size"], kind="stable")
+        start = pdf["p"].to_numpy()
         p, size = pdf["p"].to_numpy(), pdf["size"].to_numpy()
         p = fly(p, size)
         if last or bool(pdf["only"].iloc[0]):
-            p = land(p, size)
+            p = land(p, size, float((start * size).sum()))
         return pdf.assign(p=p)
 
     return run
