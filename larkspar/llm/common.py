@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -151,20 +152,11 @@ class WordCache:
             self.ids = {}
             self.reset()
         ids = self.ids
-        fresh: dict[bytes, None] = {}
-        for words in docs:
-            fresh.update(dict.fromkeys(w for w in words if w not in ids))
-        if fresh:
-            new = list(fresh)
+        words = list(chain.from_iterable(docs))
+        if new := [w for w in dict.fromkeys(words) if w not in ids]:
             self.build(new)
-            base = len(ids)
-            ids.update(zip(new, range(base, base + len(new))))
-        out = np.empty(int(offsets[-1]), np.int64)
-        at = 0
-        for words in docs:
-            out[at : at + len(words)] = list(map(ids.__getitem__, words)) if words else 0
-            at += len(words)
-        return out, offsets
+            ids.update(zip(new, range(len(ids), len(ids) + len(new))))
+        return np.fromiter(map(ids.__getitem__, words), np.int64, len(words)), offsets
 
 
 class RaggedCache:
@@ -183,13 +175,13 @@ class RaggedCache:
             lens = np.fromiter(map(len, lists), np.int64, len(lists))
             self.starts.extend(self.values.n + np.cumsum(lens) - lens)
             self.lens.extend(lens)
-            self.values.extend(np.fromiter((t for ids in lists for t in ids), np.int32, int(lens.sum())))
+            self.values.extend(np.fromiter(chain.from_iterable(lists), np.int32, int(lens.sum())))
 
-    def tokens(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token ids of all documents in a row, where each document's tokens begin, and tokens by word."""
+    def tokens(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids of all documents in a row, where each document's begin, and the same of word numbers."""
         at, offsets = self.cache.number(docs)
         lens = self.lens.a[at]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
         pos = np.repeat(self.starts.a[at] - (ends - lens), lens) + np.arange(total)
-        return self.values.a[pos], np.concatenate(([0], ends))[offsets], lens
+        return self.values.a[pos], np.concatenate(([0], ends))[offsets], at, offsets

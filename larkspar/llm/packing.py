@@ -139,7 +139,7 @@ def _packer(name: str, window: int, end_id: int):
         cache = RaggedCache(word_encoder(shipped_file(name)))
         packer = SumOfSquares(window, TaskContext.get().partitionId() << 32)
         for part, texts in chunked(batches, 1):
-            tokens, begin, _ = cache.tokens([t.split() for t in texts])
+            tokens, begin, _, _ = cache.tokens([t.split() for t in texts])
             for k, doc_id in enumerate(part.column(0).to_pylist()):
                 ids = np.empty(begin[k + 1] - begin[k] + 1, np.int32)
                 ids[:-1] = tokens[begin[k] : begin[k + 1]]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import cube, digest_index, packing, sharding
+from . import cube, digest_index, fertility, langid, packing, pii, sharding, toxicity
 
 QUERIES = {
     "op1_hash_tree": sharding.op1,
+    "op2_toxicity": toxicity.op2,
+    "op3_fertility": fertility.op3,
     "op5_sum_of_squares": packing.op5,
+    "op6_bigru_langid": langid.op6,
     "op8_cube_mix": cube.op8,
+    "op9_crf_pii": pii.op9,
     "op10_digest_index": digest_index.op10,
 }
 SQL = {"op10_digest_index": digest_index.OP10_SQL}
