@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import cube, digest_index, fertility, langid, packing, pii, sharding, toxicity
+from . import cube, digest_index, fertility, langid, packing, pii, sharding, site_templates, toxicity
 
 QUERIES = {
     "op1_hash_tree": sharding.op1,
     "op2_toxicity": toxicity.op2,
     "op3_fertility": fertility.op3,
+    "op4_site_templates": site_templates.op4,
     "op5_sum_of_squares": packing.op5,
     "op6_bigru_langid": langid.op6,
     "op8_cube_mix": cube.op8,
