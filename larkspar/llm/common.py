@@ -21,7 +21,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one numpy pass handles in a Python worker.
 CHUNK_BYTES = 3 << 20
 #: Distinct words that a worker's cache may hold before it starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 
 def ship(spark: SparkSession) -> None:

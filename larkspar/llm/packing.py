@@ -34,11 +34,20 @@ OPEN_WINDOWS = 20_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: ASCII punctuation that may end a word; no apostrophe, which can begin a token of its own.
+TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Words whose ids an encoder keeps before it starts anew.
+ENCODED_WORDS = 400_000
+
+
 def word_encoder(path: str):
     """Encodes single words with a file of the tokenizers library.
 
-    This tokenizer drops white space before it merges, so a text's ids are those of its
-    words in a row; each distinct word is encoded once.
+    This tokenizer lower-cases, drops white space and splits letters from punctuation
+    before it merges, so a text's ids are those of its words in a row, and a word of
+    letters with punctuation behind it has the ids of its lower-cased letters, then those
+    of the punctuation.  Each such part is encoded once; parts of letters alone are one
+    merge unit each and are encoded many at a time, cut apart at the ids that end a unit.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -46,7 +55,44 @@ def word_encoder(path: str):
     t = Tokenizer.from_file(path)
     t.no_padding()
     t.no_truncation()
-    return lambda words: [e.ids for e in t.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+    vocabulary = t.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+    known: dict[bytes, list[int]] = {}
+
+    def learn(parts: list[bytes]) -> None:
+        plain, rest = [], []
+        for p in parts:
+            (plain if (x := p.decode("utf-8", "replace")).isalpha() else rest).append((p, x))
+        for i in range(0, len(plain), 200):
+            some = plain[i : i + 200]
+            ids = np.array(t.encode(" ".join(x for _, x in some), add_special_tokens=False).ids)
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                ids, cuts = ids.tolist(), cuts.tolist()
+                known.update((p, ids[a:b]) for (p, _), a, b in zip(some, [0, *cuts], cuts))
+            else:
+                rest += some
+        if rest:
+            known.update(zip((p for p, _ in rest), (e.ids for e in t.encode_batch_fast([x for _, x in rest], add_special_tokens=False)), strict=True))
+
+    def split(word: bytes) -> tuple[bytes, bytes]:
+        core = word.rstrip(TAIL)
+        if len(core) == len(word) or not core:
+            return word.lower() if word.isalpha() else word, b""
+        last = core[-1:] if core[-1] < 128 else core[-4:].decode("utf-8", "replace")[-1:]
+        if not last.lower()[-1:].isalpha() or b"<|" in word:
+            return word, b""
+        return core.lower(), word[len(core) :]
+
+    def encode(words: list[bytes]) -> list[list[int]]:
+        if len(known) > ENCODED_WORDS:
+            known.clear()
+        parts = list(map(split, words))
+        learn([p for p in dict.fromkeys(x for pair in parts for x in pair if x) if p not in known])
+        return [known[a] + known[b] if b else known[a] for a, b in parts]
+
+    return encode
 
 
 class SumOfSquares:
