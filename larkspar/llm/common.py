@@ -22,6 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CHUNK_BYTES = 3 << 20
 #: Distinct words that a worker's cache may hold before it starts anew.
 CACHE_WORDS = 400_000
+#: Rows up to which a narrow table is broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 100_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -84,6 +86,11 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """The table, marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

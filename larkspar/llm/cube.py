@@ -139,7 +139,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, row_key, size, source_size, target, copies, taken) for every row."""
+    """(doc_id, source, size, source_size, target, copies, taken) for every row."""
     spark = df.sparkSession
     ship(spark)
     d = df.select(
@@ -174,7 +174,7 @@ def mix(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str =
     for more in done[1:]:
         out = out.unionByName(more)
     copies = F.col("base") + F.col("p").cast("int")
-    return out.select("doc_id", "order", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cube, digest_index, fertility, langid, packing, pii, sharding, site_templates, toxicity
+from . import cube, digest_index, fertility, langid, near_dup, packing, pii, sharding, site_templates, toxicity
 
 QUERIES = {
     "op1_hash_tree": sharding.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_site_templates": site_templates.op4,
     "op5_sum_of_squares": packing.op5,
     "op6_bigru_langid": langid.op6,
+    "op7_oph_near_dup": near_dup.op7,
     "op8_cube_mix": cube.op8,
     "op9_crf_pii": pii.op9,
     "op10_digest_index": digest_index.op10,
