@@ -1 +1 @@
-
+"""Relational operators: every one maps DataFrames to a DataFrame."""
