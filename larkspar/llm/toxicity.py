@@ -189,7 +189,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     line = F.pmod(F.xxhash64("i", F.lit(2)), F.lit(1 << 20))
     chosen = known.filter(F.when(F.col("y") == 1, line < _line(counts.get(1, 0))).otherwise(line < _line(counts.get(0, 0))))
     d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(F.octet_length("t") <= TRAIN_BYTES)
-    rows = d.join(chosen, "i").select("i", "t", "y").limit(2 * TRAIN_ROWS + 1000).collect()
+    # the sample is bounded, so it goes to the documents and no text is shuffled
+    rows = d.join(F.broadcast(chosen.limit(2 * TRAIN_ROWS + 1000)), "i").select("i", "t", "y").limit(2 * TRAIN_ROWS + 1000).collect()
     rows.sort(key=lambda r: (r["i"], r["t"]))
     return [r["t"].encode() for r in rows], [r["y"] for r in rows], counts.get(1, 0) / sum(counts.values())
 
