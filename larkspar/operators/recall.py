@@ -3,7 +3,7 @@
 Queries and candidates are hashed into blocks of bounded size; blocks of one cohort meet
 in pairs (never rows), pairs that the guard rules out as a whole are skipped, and each
 pair is one matrix product in numpy that returns at most k rows per query.  A window over
-those rows keeps the best k.  Ties go to the smaller id.  Zero vectors, NULL vectors and
+those rows keeps the best k.  Similarities are compared to 12 digits, ties go to the smaller id.  Zero vectors, NULL vectors and
 vectors of another length are never neighbours.
 """
 
@@ -50,7 +50,7 @@ def _match(k: int, ahead: int, exclude_symbol: bool, gap: int | None):
                     x, y = (np.array([s[4][i] for i in at], float).reshape(len(at), size) for s, at in ((q, a), (c, b)))
                     nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
                     with np.errstate(all="ignore"):
-                        sim = (x @ y.T) / (nx[:, None] * ny[None, :])
+                        sim = np.round((x @ y.T) / (nx[:, None] * ny[None, :]), 12)
                     ok = np.isfinite(sim) & (c[2][b][None, :] <= q[2][a][:, None] - ahead) & (c[0][b][None, :] != q[0][a][:, None])
                     if exclude_symbol:
                         other = c[1][b][None, :] != q[1][a][:, None]
