@@ -53,7 +53,7 @@ def time_stamp_features(ts: Column) -> Column:
 def keywords(value: Column) -> Column:
     """A JSON list of texts, or else a comma-separated list; blank items go."""
     items = F.coalesce(F.from_json(value, "array<string>"), F.split(F.coalesce(value, F.lit("")), ","))
-    return F.filter(F.transform(items, F.trim), lambda x: x != "")
+    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def memory_path(value: Column, root: str = "memory") -> Column:

@@ -30,8 +30,8 @@ def latest(cases: DataFrame, before: Column | None = None, symbol: str | None =
     if before is not None:
         c = c.filter((F.col("journal_date") < before) & F.col("verdict_date").isNotNull() & (F.col("verdict_date") < before))
     row = F.struct(*c.columns)
-    per_source = c.groupBy("source_db", "bucket").agg(F.max_by(row, F.struct("journal_date", "id")).alias("r")).select("r.*")
-    best = per_source.groupBy("bucket").agg(F.max_by(F.struct(*per_source.columns), F.struct("journal_date", "verdict_date", "id")).alias("r")).select("r.*")
+    per_source = c.groupBy("source_db", "bucket").agg(F.max_by(row, F.struct("journal_date", "id", "verdict")).alias("r")).select("r.*")
+    best = per_source.groupBy("bucket").agg(F.max_by(F.struct(*per_source.columns), F.struct("journal_date", "verdict_date", "id", "verdict")).alias("r")).select("r.*")
     best = best.dropDuplicates(["run_id", "journal_date", "verdict", "action"])
     return best.orderBy(F.desc("journal_date"), F.desc("verdict_date"), F.desc("verdict")).limit(top_k)
 

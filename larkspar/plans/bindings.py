@@ -75,10 +75,11 @@ TABLES = {PATTERNS: ["embeddings"], BARS: ["events"], LEDGER: ["events"], SNAPSH
 def bind(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A binding over the tables of a folder; only the columns that a query uses are read."""
     names = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES[sql]}
-    return spark.sql(sql.replace("FROM " + next(iter(names)), "FROM {" + next(iter(names)) + "}"), **names)
+    text = sql.replace("{", "{{").replace("}", "}}")
+    for t in names:
+        text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
+    return spark.sql(text, **names)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
