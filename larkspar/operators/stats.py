@@ -21,7 +21,7 @@ def feature_stats(df: DataFrame, vec: str = "vec") -> DataFrame:
     """
     e = df.select(F.posexplode(vec).alias("dim", "x"))
     x = F.when(~F.isnan("x"), F.col("x").cast("double"))
-    return e.groupBy("dim").agg(F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.greatest(F.stddev_pop(x), F.lit(FLOOR)), F.lit(1.0)).alias("std"), F.count(x).alias("n"), (F.count("*") - F.count(x)).alias("n_missing"))
+    return e.groupBy("dim").agg(F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.when(F.count(x) > 0, F.greatest(F.stddev_pop(x), F.lit(FLOOR))).otherwise(1.0).alias("std"), F.count(x).alias("n"), (F.count("*") - F.count(x)).alias("n_missing"))
 
 
 def as_arrays(stats: DataFrame) -> DataFrame:
