@@ -139,7 +139,7 @@ def test_compare_arms():
 
 
 def test_outcome_edges(spark):
-    d = spark.createDataFrame([([], "BUY"), ([10.0], "BUY"), ([10.0, 10, 10, 10, 10, 10.2], "BUY_FULL"), ([10.0, 10, 10, 10, 10, 9.8], "NO_BUY"), ([0.0, 1.0], "BUY")], "p array<double>, a string")
+    d = spark.createDataFrame([([], "BUY"), ([10.0], "BUY"), ([10.0] * 5 + [10.2], "BUY_FULL"), ([10.0] * 5 + [9.8], "NO_BUY"), ([0.0, 1.0], "BUY")], "p array<double>, a string")
     r = [x["o"] for x in d.select(provenance.outcome(F.col("p"), F.col("a")).alias("o")).collect()]
     assert [x["outcome_label"] for x in r] == ["NEUTRAL", "NEUTRAL", "TRUE_POSITIVE", "TRUE_NEGATIVE", "NEUTRAL"]
     assert r[0]["return_t5"] == 0 and round(r[2]["return_t20"], 6) == 0.02
