@@ -36,8 +36,9 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 #: ASCII punctuation that may end a word; no apostrophe, which can begin a token of its own.
 TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+LETTER = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 #: Words whose ids an encoder keeps before it starts anew.
-ENCODED_WORDS = 400_000
+ENCODED_WORDS = 600_000
 
 
 def word_encoder(path: str):
@@ -62,8 +63,9 @@ def word_encoder(path: str):
 
     def learn(parts: list[bytes]) -> None:
         plain, rest = [], []
-        for p in parts:
-            (plain if (x := p.decode("utf-8", "replace")).isalpha() else rest).append((p, x))
+        texts = b"\n".join(parts).decode("utf-8", "replace").split("\n") if parts else []
+        for p, x in zip(parts, texts, strict=True):
+            (plain if x.isalpha() else rest).append((p, x))
         for i in range(0, len(plain), 200):
             some = plain[i : i + 200]
             ids = np.array(t.encode(" ".join(x for _, x in some), add_special_tokens=False).ids)
@@ -76,25 +78,41 @@ def word_encoder(path: str):
         if rest:
             known.update(zip((p for p, _ in rest), (e.ids for e in t.encode_batch_fast([x for _, x in rest], add_special_tokens=False)), strict=True))
 
-    def split(word: bytes) -> tuple[bytes, bytes]:
-        core = word.rstrip(TAIL)
-        if len(core) == len(word) or not core:
-            return word.lower() if word.isalpha() else word, b""
-        last = core[-1:] if core[-1] < 128 else core[-4:].decode("utf-8", "replace")[-1:]
-        if not last.lower()[-1:].isalpha() or b"<|" in word:
-            return word, b""
-        return core.lower(), word[len(core) :]
+    def slow_split(word: bytes, core: bytes) -> bytes:
+        last = core[-4:].decode("utf-8", "replace")[-1:]
+        return core if last.lower()[-1:].isalpha() else word
 
     def encode(words: list[bytes]) -> list[list[int]]:
         if len(known) > ENCODED_WORDS:
             known.clear()
-        parts = list(map(split, words))
-        learn([p for p in dict.fromkeys(x for pair in parts for x in pair if x) if p not in known])
-        return [known[a] + known[b] if b else known[a] for a, b in parts]
+        firsts, tails = [], []
+        for w in words:
+            c = w.rstrip(TAIL)
+            if len(c) != len(w):
+                if not c or b"<|" in w:
+                    c = w
+                elif c[-1] not in LETTER:
+                    c = slow_split(w, c) if c[-1] >= 128 else w
+            firsts.append(c.lower() if c.isalpha() else c)
+            tails.append(w[len(c) :])
+        learn([p for p in dict.fromkeys(firsts + tails) if p and p not in known])
+        known[b""] = []
+        look = known.__getitem__
+        return [look(a) + look(b) if b else look(a) for a, b in zip(firsts, tails)]
 
     return encode
 
 
+_CACHES: dict[str, RaggedCache] = {}
+
+
+def worker_cache(path: str) -> RaggedCache:
+    """The word cache of this Python worker, kept from task to task; its size is bounded."""
+    if path not in _CACHES:
+        _CACHES[path] = RaggedCache(word_encoder(path))
+    return _CACHES[path]
+
+
 class SumOfSquares:
     """Packs pieces (doc_id, start, ids, doc_tokens); closed windows come out of :meth:`closed`."""
 
@@ -182,10 +200,10 @@ def _packer(name: str, window: int, end_id: int):
 
         schema = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
-        cache = RaggedCache(word_encoder(shipped_file(name)))
+        cache = worker_cache(shipped_file(name))
         packer = SumOfSquares(window, TaskContext.get().partitionId() << 32)
         for part, texts in chunked(batches, 1):
-            tokens, begin, _, _ = cache.tokens([t.split() for t in texts])
+            tokens, begin, _, _ = cache.tokens([(t if b"<|" in t else t.lower()).split() for t in texts])
             for k, doc_id in enumerate(part.column(0).to_pylist()):
                 ids = np.empty(begin[k + 1] - begin[k] + 1, np.int32)
                 ids[:-1] = tokens[begin[k] : begin[k + 1]]
