@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from .common import ascii_lower
 
 
+#: A group of copies is hot if it has more than HOT_ROWS rows and more than 1 / HOT_GROUPS of all rows.
+HOT_ROWS, HOT_GROUPS = 1_000, 1_000
+
+
 def digest(text="text"):
     return F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256)
 
@@ -61,7 +65,14 @@ class DigestIndex:
     def look_up(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Each document with its keep_id, group_size and whether it is the row that stays."""
         d = docs.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("digest"))
-        return d.join(self.rows(), "digest").select(
+        # a group with over a thousandth of all rows would be one long task of the merge
+        # join; there are under a thousand such groups, so they are broadcast
+        rows = self.rows()
+        total = rows.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+        large = F.col("group_size") > max(HOT_ROWS, total // HOT_GROUPS)
+        hot = F.broadcast(rows.filter(large))
+        found = d.join(hot, "digest").unionByName(d.join(hot.select("digest"), "digest", "left_anti").join(rows.filter(~large), "digest"))
+        return found.select(
             "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
         )
 
