@@ -119,7 +119,10 @@ def _probe(spark, p):
     from ..operators import graph
 
     require(p, "vectors")
-    return {"status": "ok", "matrix": [r.asDict() for r in graph.similarity_matrix(spark.read.parquet(p["vectors"]).limit(100), "name", "vec").collect()]}
+    d = spark.read.parquet(p["vectors"])
+    if d.limit(101).count() > 100:
+        raise ValueError("a probe compares at most 100 vectors")
+    return {"status": "ok", "matrix": [r.asDict() for r in graph.similarity_matrix(d, "name", "vec").collect()]}
 
 
 @action("kronos_embed", "embed windows of bars", writes=True)

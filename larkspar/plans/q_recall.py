@@ -158,7 +158,8 @@ QUERIES["emb4_build_fused"] = fused
 
 
 def bootstrap(spark, sf):
-    rows = cards(spark, sf).select("true_S_rate", "support_diversity").limit(2000).collect()
+    # an ablation asks an evenly spaced sample of 100 queries
+    rows = stats.evenly_spaced(cards(spark, sf).select("query_id", "true_S_rate", "support_diversity"), 100, "query_id").collect()
     arms = {a: stats.bca([r[c] for r in rows], resamples=2000) for a, c in (("true_S", "true_S_rate"), ("diversity", "support_diversity"))}
     found = stats.compare_arms(arms)
     return spark.createDataFrame([(a, x["point"], x["lower"], x["upper"], x["n"], found["champion"] == a) for a, x in arms.items()], "arm string, point double, lower double, upper double, n long, champion boolean")

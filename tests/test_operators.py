@@ -188,3 +188,17 @@ def test_cosine_variants(spark):
     d = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     r = d.select(v.cosine(F.col("a"), F.col("b")), v.cosine_soft(F.col("a"), F.col("b")), v.cosine_floored(F.col("a"), F.col("b"))).first()
     assert r[0] is None and r[1] == 0 and r[2] == 0
+
+
+def test_shield_as_stream(spark, tmp_path):
+    schema = "symbol string, day string, shares double, cost double, close double, ma20 double, grade string, atr_pct double"
+    closes = [11.0, 9, 9, 9.5, 11, 12, 13, 9, 9, 9, 9, 9, 12]
+    rows = [("A", f"d{i:02d}", 1.0, 10.0, c, 10.0, "C", 2.0) for i, c in enumerate(closes)] + [("B", f"d{i:02d}", 1.0, 10.0, 20.0, 10.0, "D", 2.0) for i in range(5)]
+    df = spark.createDataFrame(rows, schema)
+    for i, part in enumerate((df.filter("day < 'd04'"), df.filter("day >= 'd04'"))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = episodes.shield_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.foreachBatch(lambda b, _, i=i: b.write.mode("append").parquet(str(tmp_path / "out")))
+        q.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = sorted(tuple(r) for r in bars.shield(df, "symbol", "day").collect())
+    assert got == want
