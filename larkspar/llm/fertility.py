@@ -31,7 +31,7 @@ SCHEMA = (
 )
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 WINDOW = 5
-MIN_TOKENS = 64
+MIN_TOKENS = 200
 
 
 @dataclass(frozen=True)

@@ -12,8 +12,9 @@
    alternating large-star and small-star steps.
 4. Buckets whose members are still in different components hold pairs that no star has
    tested.  These are compared in blocks inside tasks (never as joined rows): sizes and
-   sketches rule out most, the rest are confirmed on full sets, and the components are
-   extended.  So no cap on bucket sizes is needed, and no pair that shares a bucket is
+   sketches rule out most; documents that stay form candidate groups, whose pairs are
+   compared on full sets, again in blocks.  Each search returns a spanning forest, so
+   rows grow with the documents and not with their pairs.  So no cap on bucket sizes is needed, and no pair that shares a bucket is
    left out unless it is connected already.
 
 A pair at the threshold of 85 % misses all 40 bands of 6 rows with a chance below 1e-8
@@ -186,28 +187,66 @@ def _confirm(percent: int):
     return run
 
 
-def _cross_pairs(percent: int):
-    """Pairs of different components within each (bucket, block, block) of a sorted partition."""
-
-    def pairs(g: dict[str, np.ndarray]):
-        left, right = np.flatnonzero(g["side"] != 1), np.flatnonzero(g["side"] != 0)
-        ok = g["comp"][left][:, None] != g["comp"][right][None, :]
-        ok &= g["node"][left][:, None] != g["node"][right][None, :]
-        n, m = g["n"][left][:, None], g["n"][right][None, :]
-        ok &= (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-        i, j = np.nonzero(ok)
-        if len(i):
-            # agreement of 8-bit sketches, less what differing bins agree on by chance
-            keep = np.ones(len(i), bool)
-            for s in range(0, len(i), 20_000):
-                part = slice(s, s + 20_000)
-                same = (g["sketch"][left[i[part]]] == g["sketch"][right[j[part]]]).mean(1)
-                like = (same - 1 / 256) / (1 - 1 / 256)
-                small = np.minimum(g["n"][left[i[part]]], g["n"][right[j[part]]]) < SKETCH_FROM
-                keep[part] = small | (like >= percent / 100 - MARGIN)
-            i, j = i[keep], j[keep]
-        a, b = g["node"][left[i]], g["node"][right[j]]
-        return np.minimum(a, b), np.maximum(a, b)
+def _join_labels(label: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Joins the clusters of ``others`` to that of i; returns one of ``others`` for each cluster joined."""
+    clusters, first = np.unique(label[others], return_index=True)
+    label[np.isin(label, clusters)] = label[i]
+    return others[first]
+
+
+def _alike(g: dict, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of different components that are alike in size and sketch."""
+    node, comp, n, sketch, side = g["node"], g["comp"], g["n"], g["sketch"], g["side"]
+    right = np.flatnonzero(side != 0)
+    label = np.arange(len(node))
+    out = []
+    for i in np.flatnonzero(side != 1):
+        at = right[(label[right] != label[i]) & (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        if not len(at):
+            continue
+        # agreement of 8-bit sketches, less what differing bins agree on by chance
+        like = ((sketch[at] == sketch[i]).mean(1) - 1 / 256) / (1 - 1 / 256)
+        at = at[(np.minimum(n[at], n[i]) < SKETCH_FROM) | (like >= percent / 100 - MARGIN)]
+        if len(at):
+            out += [(int(node[i]), int(node[j])) for j in _join_labels(label, i, at)]
+    return out
+
+
+def _linked(g: dict, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of different components that hold on full sets.
+
+    Intersections of all pairs are products of the 0-1 matrix of documents and the shingles
+    that more than one of them has.
+    """
+    node, side = g["node"], g["side"]
+    sets = [np.frombuffer(x, np.uint64) for x in g["hashes"]]
+    size = np.array([len(x) for x in sets])
+    every, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    column = np.cumsum(times > 1) - 1
+    shared = times[at] > 1
+    owner, at = owner[shared], column[at[shared]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(column[-1]) + 1, 8192):
+        a, b = np.searchsorted(at, (low, low + 8192))
+        m = np.zeros((len(sets), 8192), np.float32)
+        m[owner[a:b], at[a:b] - low] = 1
+        both += m @ m.T
+    _, label = np.unique(g["comp"], return_inverse=True)
+    right = np.flatnonzero(side != 0)
+    out = []
+    for i in np.flatnonzero(side != 1):
+        near = right[label[right] != label[i]]
+        near = near[100 * both[i, near] >= percent * (size[i] + size[near] - both[i, near])]
+        if len(near):
+            out += [(int(node[i]), int(node[j])) for j in _join_labels(label, i, near)]
+    return out
+
+
+def _by_group(forest, percent: int, last: str):
+    """Runs ``forest`` over each (key, block, block) of a sorted partition, group by group."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -215,28 +254,30 @@ def _cross_pairs(percent: int):
         held: dict[str, np.ndarray] | None = None
 
         def arrays(batch):
-            column = lambda k: np.asarray(batch.column(k))
-            sketch = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, BINS)
-            return {"key": column(0), "bi": column(1), "bj": column(2), "side": column(3), "node": column(4), "comp": column(5), "n": column(6), "sketch": sketch}
+            g = {name: np.asarray(batch.column(k)) for k, name in enumerate(("key", "bi", "bj", "side", "node", "comp", "n"))}
+            values = batch.column(7).to_pylist()
+            if last == "sketch":
+                g[last] = np.frombuffer(b"".join(values), np.uint8).reshape(-1, BINS)
+            else:
+                g[last] = np.array([*values, None], object)[:-1]
+            return g
 
         def emit(g):
             cut = np.flatnonzero((np.diff(g["key"]) != 0) | (np.diff(g["bi"]) != 0) | (np.diff(g["bj"]) != 0)) + 1
-            found = [pairs({k: v[a:b] for k, v in g.items()}) for a, b in zip([0, *cut], [*cut, len(g["key"])])]
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            both = np.unique(np.stack((a, b), 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
+            found = [pair for a, b in zip([0, *cut], [*cut, len(g["key"])]) for pair in forest({k: v[a:b] for k, v in g.items()}, percent)]
+            pairs = sorted({(min(p), max(p)) for p in found if p[0] != p[1]})
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            g = arrays(batch)
-            if held is not None:
-                g = {k: np.concatenate((held[k], g[k])) for k in g}
-            last = (g["key"] == g["key"][-1]) & (g["bi"] == g["bi"][-1]) & (g["bj"] == g["bj"][-1])
-            first = int(np.flatnonzero(last)[0])
-            held = {k: v[first:] for k, v in g.items()}
-            if first:
-                yield emit({k: v[:first] for k, v in g.items()})
+            for start in range(0, batch.num_rows, 2048):
+                g = arrays(batch.slice(start, 2048))
+                if held is not None:
+                    g = {k: np.concatenate((held[k], g[k])) for k in g}
+                last_group = (g["key"] == g["key"][-1]) & (g["bi"] == g["bi"][-1]) & (g["bj"] == g["bj"][-1])
+                first = int(np.flatnonzero(last_group)[0])
+                held = {k: v[first:] for k, v in g.items()}
+                if first:
+                    yield emit({k: v[:first] for k, v in g.items()})
         if held is not None:
             yield emit(held)
 
@@ -287,10 +328,9 @@ def groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
     stars = buckets.filter("node != centre").groupBy("node", "centre").agg(F.count("*").alias("k"))
     most = Window.partitionBy("node").orderBy(F.desc("k"), "centre")
     first = stars.withColumn("rank", F.row_number().over(most)).filter("rank = 1").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    edges = _confirmed(d, scratch.write(first, "stars"), scratch, "one", shingle, percent)
+    edges = _confirmed(d, scratch.write(first, "stars"), scratch, shingle, percent)
     comps = components(edges, scratch, "first")
-    rest = _residual(buckets, nodes, comps, scratch, percent)
-    more = _confirmed(d, rest, scratch, "two", shingle, percent)
+    more = _residual(d, buckets, nodes, comps, scratch, shingle, percent)
     if not more.isEmpty():
         all_edges = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)
         comps = components(all_edges, scratch, "second")
@@ -302,36 +342,57 @@ def groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, scratch: Scratch, label: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that hold on full sets.  Only documents in pairs are shingled again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(few(scratch.write(wanted, f"wanted_{label}")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = scratch.write(texts.mapInArrow(_sets(shingle), "node long, hashes binary"), f"sets_{label}")
+def _full_sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, label: str, shingle: int) -> DataFrame:
+    """(node, hashes) of the wanted documents, which are shingled again."""
+    wanted = few(scratch.write(wanted.distinct(), f"wanted_{label}"))
+    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return scratch.write(texts.mapInArrow(_sets(shingle), "node long, hashes binary"), f"sets_{label}")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
+    """The star edges (a, b) that hold on full sets."""
+    sets = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), scratch, "stars", shingle)
     a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-    found = scratch.write(joined.mapInArrow(_confirm(percent), "a long, b long").distinct(), f"edges_{label}")
-    scratch.drop(f"sets_{label}", f"wanted_{label}")
+    found = scratch.write(joined.mapInArrow(_confirm(percent), "a long, b long").distinct(), "edges")
+    scratch.drop("sets_stars", "wanted_stars")
     return found
 
 
-def _residual(buckets: DataFrame, nodes: DataFrame, comps: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Untested candidate pairs: same bucket, different components, alike in size and sketch."""
+def _in_blocks(rows: DataFrame, counts: DataFrame, block: int, last: str) -> DataFrame:
+    """Rows of (key, node, comp, n, last) dealt to all pairs of blocks of their key, sorted by them.
+
+    A key of k members has ceil(k / block) blocks; a member goes to each pair that its block
+    is in.  No task sees more of a key than two blocks.
+    """
+    counts = counts.select("key", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
+    rows = rows.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
+        F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"), "node", "comp", "n", last,
+    )
+    return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+
+
+def _residual(docs: DataFrame, buckets: DataFrame, nodes: DataFrame, comps: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
+    """Links between different components that share a bucket, as a spanning forest.
+
+    First the buckets are searched for pairs alike in size and sketch.  Their forest gives
+    candidate groups; all pairs of a group's documents are then compared on full sets,
+    block by block.  Either search returns fewer rows than it reads.
+    """
     placed = buckets.select("key", "node").join(few(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = scratch.write(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("k")).filter("low != high")
-    mixed = mixed.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.join(nodes.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
-    # each member goes once to every pair of blocks that its block is in
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select(
-        "key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
-        F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"), "node", "comp", "n", "sketch",
-    )
-    dealt = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    found = scratch.write(dealt.mapInArrow(_cross_pairs(percent), "a long, b long").distinct(), "rest")
-    scratch.drop("placed")
-    return found
+    rows = placed.join(mixed.select("key"), "key", "left_semi").join(nodes.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
+    alike = scratch.write(_in_blocks(rows, mixed, BLOCK, "sketch").mapInArrow(_by_group(_alike, percent, "sketch"), "a long, b long").distinct(), "alike")
+    members = components(alike, scratch, "alike_groups")
+    members = members.unionByName(members.select(F.col("comp").alias("node"), "comp").distinct()).withColumnRenamed("comp", "key")
+    members = scratch.write(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
+    sets = _full_sets(docs, members.select(F.col("node").alias("doc_id")), scratch, "alike", shingle)
+    rows = members.join(sets, "node").withColumn("n", F.octet_length("hashes").cast("long"))
+    counts = members.groupBy("key").agg(F.count("*").alias("k"))
+    return scratch.write(_in_blocks(rows, counts, BLOCK // 2, "hashes").mapInArrow(_by_group(_linked, percent, "hashes"), "a long, b long").distinct(), "more")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

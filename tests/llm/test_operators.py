@@ -236,18 +236,30 @@ def test_near_duplicates_empty(spark):
     assert near_dup.groups(data.frame(spark, []), Scratch(spark, "t")).count() == 0
 
 
-def test_cross_pairs_in_blocks(spark, monkeypatch):
+def test_cross_pairs_in_blocks(spark):
     """A bucket much larger than a block gives the same pairs as one block."""
     r = np.random.default_rng(1)
-    n = 40
-    nodes = spark.createDataFrame([(i, 300, r.integers(0, 3, near_dup.BINS).astype(np.uint8).tobytes()) for i in range(n)], "node long, n_shingles long, sketch binary")
-    buckets = spark.createDataFrame([(7, i) for i in range(n)], "key long, node long")
-    comps = spark.createDataFrame([(i, i % 5) for i in range(n)], "node long, comp long")
-    found = []
+    n = 60
+    rows = [(7, i, i % 20, 300, r.integers(0, 3, near_dup.BINS).astype(np.uint8).tobytes()) for i in range(n)]
+    d = spark.createDataFrame(rows, "key long, node long, comp long, n long, sketch binary")
+    shown = [np.sort(np.concatenate((np.arange(90), r.integers(1000, 1 << 40, 10 if i % 3 else 60)))).astype(np.uint64) for i in range(n)]
+    full = spark.createDataFrame([(7, i, i, 1, shown[i].tobytes()) for i in range(n)], "key long, node long, comp long, n long, hashes binary")
+    linked = {(i, j) for i in range(n) for j in range(i) if 100 * len(np.intersect1d(shown[i], shown[j])) >= 80 * len(np.union1d(shown[i], shown[j]))}
+    assert linked
+
+    def clusters(pairs):
+        label = list(range(n))
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(i for i in range(n) if label[i] == x) for x in set(label)}
+
     for block in (512, 7):
-        monkeypatch.setattr(near_dup, "BLOCK", block)
-        found.append({(x["a"], x["b"]) for x in rows_of(near_dup._residual(buckets, nodes, comps, Scratch(spark, "t"), 10))})
-    assert found[0] == found[1] == {(i, j) for i in range(n) for j in range(i + 1, n) if i % 5 != j % 5}
+        dealt = near_dup._in_blocks(d, spark.createDataFrame([(7, n)], "key long, k long"), block, "sketch")
+        got = {(x["a"], x["b"]) for x in rows_of(dealt.mapInArrow(near_dup._by_group(near_dup._alike, 10, "sketch"), "a long, b long"))}
+        assert clusters(got) == {frozenset(range(n))} and (block < n or len(got) == n - 1)
+        dealt = near_dup._in_blocks(full, spark.createDataFrame([(7, n)], "key long, k long"), block, "hashes")
+        got = {(x["a"], x["b"]) for x in rows_of(dealt.mapInArrow(near_dup._by_group(near_dup._linked, 80, "hashes"), "a long, b long"))}
+        assert clusters(got) == clusters(linked)
 
 
 def test_components_of_long_paths(spark):
