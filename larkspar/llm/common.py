@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -19,16 +21,32 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one numpy pass handles in a Python worker.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 #: Distinct words that a worker's cache may hold before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+#: Rows that travel to a Python worker at once: texts are long, and a batch is held twice.
+BATCH_ROWS = 500
 #: Rows up to which a narrow table is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 100_000
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def trim() -> None:
+    """Give freed memory back, as Python workers are kept for later tasks."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application."""
+    """Send this package to the executors once per application; keep Arrow batches small."""
     sc = spark.sparkContext
+    if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     if getattr(sc, "_larkspar_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
@@ -109,19 +127,22 @@ def chunked(batches: Iterable, text_at: int) -> Iterator[tuple[list, list[bytes]
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(text_at)
-        lengths = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
-        upto, start = np.cumsum(lengths), 0
-        while start < batch.num_rows:
-            base = upto[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(upto, base + CHUNK_BYTES, "right")))
-            part = batch.slice(start, stop - start)
-            kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-            yield part, [x or b"" for x in part.column(text_at).cast(kind).to_pylist()]
-            start = stop
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(text_at)
+            lengths = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
+            upto, start = np.cumsum(lengths), 0
+            while start < batch.num_rows:
+                base = upto[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(upto, base + CHUNK_BYTES, "right")))
+                part = batch.slice(start, stop - start)
+                kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+                yield part, [x or b"" for x in part.column(text_at).cast(kind).to_pylist()]
+                start = stop
+    finally:
+        trim()
 
 
 class Grow:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Grow, Scratch, WordCache, chunked, few, ship
+from .common import Grow, Scratch, WordCache, chunked, few, ship, trim
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
@@ -280,6 +280,8 @@ def _by_group(forest, percent: int, last: str):
                     yield emit({k: v[:first] for k, v in g.items()})
         if held is not None:
             yield emit(held)
+        held = None
+        trim()
 
     return run
 
