@@ -103,7 +103,9 @@ def gap_bars(q_idx, c_idx, q_day, c_day):
 
 
 def similarity_matrix(df: DataFrame, name: str, vec: str) -> DataFrame:
-    """All pairs (a, b, sim) of a few named vectors."""
+    """All pairs (a, b, sim) of a few named vectors; at most 1,000, which is checked."""
+    if df.limit(1001).count() > 1000:
+        raise ValueError("similarity_matrix compares a few named vectors; use recall.top_k for tables")
     a = df.select(F.col(name).alias("a"), v.doubles(F.col(vec)).alias("x"))
     return a.crossJoin(F.broadcast(a.select(F.col("a").alias("b"), F.col("x").alias("y")))).select("a", "b", v.cosine_soft(F.col("x"), F.col("y")).alias("sim"))
 

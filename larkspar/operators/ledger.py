@@ -99,8 +99,8 @@ def fallback(shares: Column, position_pct: Column, keep: bool) -> Column:
 
 def next_id(existing: DataFrame, new: DataFrame, id_col: str, order: str) -> DataFrame:
     """New rows numbered on from the largest id; a small batch is ordered by one task."""
-    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    return new.crossJoin(F.broadcast(top)).withColumn(id_col, F.col("__top") + F.row_number().over(Window.orderBy(order))).drop("__top")
+    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    return new.withColumn(id_col, F.lit(top) + F.row_number().over(Window.orderBy(order)))
 
 
 def compact_events(events: DataFrame, keys: list[str], order: str) -> DataFrame:

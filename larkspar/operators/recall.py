@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 
 from . import guards
 
-#: Rows of a block: 1024 vectors of 64 doubles are half a megabyte.
-BLOCK = 1024
+#: Rows of a block: 2048 vectors of 64 doubles are one megabyte.
+BLOCK = 2048
 
 
 def _blocks(df: DataFrame, block: int, prefix: str) -> DataFrame:
@@ -33,21 +33,24 @@ def _match(k: int, ahead: int, exclude_symbol: bool, gap: int | None):
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        def side(rows):
-            ids = np.array([r["id"] for r in rows], np.int64)
-            symbols = np.array([r["symbol"] if r["symbol"] is not None else "" for r in rows], object)
-            idx = np.array([r["idx"] for r in rows], np.int64)
-            lens = [len(r["vec"]) for r in rows]
-            return ids, symbols, idx, lens, [r["vec"] for r in rows]
+        def side(column, row):
+            rows = column[row].values
+            ids, symbols, idx, vec = (rows.field(name) for name in ("id", "symbol", "idx", "vec"))
+            lens = np.asarray(pc.list_value_length(vec))
+            return np.asarray(ids), np.array(symbols.fill_null("").to_pylist(), object), np.asarray(idx), lens, np.asarray(vec.flatten()), np.cumsum(lens) - lens
+
+        def vectors(x, at, size):
+            return x[4][x[5][at][:, None] + np.arange(size)[None, :]]
 
         for batch in batches:
-            for pair in batch.to_pylist():
-                q, c = side(pair["q_rows"]), side(pair["c_rows"])
+            for row in range(batch.num_rows):
+                q, c = side(batch.column(0), row), side(batch.column(1), row)
                 out = []
-                for size in sorted(set(q[3]) & set(c[3])):
-                    a, b = (np.array([i for i, n in enumerate(x[3]) if n == size]) for x in (q, c))
-                    x, y = (np.array([s[4][i] for i in at], float).reshape(len(at), size) for s, at in ((q, a), (c, b)))
+                for size in np.intersect1d(q[3], c[3]):
+                    a, b = np.flatnonzero(q[3] == size), np.flatnonzero(c[3] == size)
+                    x, y = vectors(q, a, size), vectors(c, b, size)
                     nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
                     with np.errstate(all="ignore"):
                         sim = np.round((x @ y.T) / (nx[:, None] * ny[None, :]), 12)

@@ -24,10 +24,10 @@ def feature_stats(df: DataFrame, vec: str = "vec") -> DataFrame:
     return e.groupBy("dim").agg(F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.when(F.count(x) > 0, F.greatest(F.stddev_pop(x), F.lit(FLOOR))).otherwise(1.0).alias("std"), F.count(x).alias("n"), (F.count("*") - F.count(x)).alias("n_missing"))
 
 
-def as_arrays(stats: DataFrame) -> DataFrame:
-    """One row: the means and deviations in order of dimension."""
-    s = stats.agg(F.sort_array(F.collect_list(F.struct("dim", "mean", "std"))).alias("s"))
-    return s.select(F.transform("s", lambda x: x["mean"]).alias("means"), F.transform("s", lambda x: x["std"]).alias("stds"))
+def as_arrays(stats: DataFrame) -> tuple[Column, Column]:
+    """The means and deviations in order of dimension, as literals: one number per dimension comes to the driver."""
+    rows = sorted(stats.select("dim", "mean", "std").collect())
+    return F.array(*[F.lit(r["mean"]) for r in rows]), F.array(*[F.lit(r["std"]) for r in rows])
 
 
 def spearman(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
@@ -43,8 +43,9 @@ def spearman(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
 
 def ordinal(df: DataFrame, value: str, key: str, name: str, parts: int = 64) -> DataFrame:
     """Adds the 1-based rank of (value, key), in two steps: buckets by approximate quantile, then rows within each."""
-    cuts = df.select(F.percentile_approx(value, [i / parts for i in range(1, parts)], 2000).alias("cuts"))
-    d = df.crossJoin(F.broadcast(cuts)).withColumn("__part", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    cuts = df.select(F.percentile_approx(value, [i / parts for i in range(1, parts)], 2000)).first()[0] or []
+    below = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    d = df.withColumn("__part", F.size(F.filter(below, lambda c: c < F.col(value))))
     counts = d.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__first", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     at = F.row_number().over(Window.partitionBy("__part").orderBy(value, key))

@@ -109,8 +109,8 @@ SQL["agg12_feature_stats"] = "WITH u AS (SELECT unnest(range(len(embedding))) AS
 
 def znorm(spark, sf):
     e = table(spark, sf, "embeddings")
-    m = stats.as_arrays(stats.feature_stats(e, "embedding"))
-    z = e.crossJoin(F.broadcast(m)).select("vec_id", v.zscore(v.doubles(F.col("embedding")), F.col("means"), F.col("stds")).alias("z"))
+    means, stds = stats.as_arrays(stats.feature_stats(e, "embedding"))
+    z = e.select("vec_id", v.zscore(v.doubles(F.col("embedding")), means, stds).alias("z"))
     return z.select("vec_id", F.posexplode("z").alias("dim", "x")).select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("x", 5).alias("z"))
 
 
