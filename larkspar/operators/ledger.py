@@ -30,7 +30,8 @@ def outcomes(decisions: DataFrame, prices: DataFrame, horizon: int = 10) -> Data
     w = Window.partitionBy("symbol").orderBy("day")
     ahead = one.withColumn("later", F.lead("close", horizon).over(w)).withColumn("verdict_day", F.lead("day", horizon).over(w))
     d = decisions.join(ahead, ["symbol", "day"])
-    return d.withColumn("pnl_frac", F.try_divide("later", "close") - 1).filter("later is not null and close > 0")
+    d = d.filter("later > 0 and close > 0")
+    return d.withColumn("pnl_frac", (F.col("later") - F.col("close")) / F.col("close"))
 
 
 def in_pass(name: str) -> Column:

@@ -46,11 +46,11 @@ def outcome_label(action: Column, r5: Column) -> Column:
 
 def outcome(prices: Column, action: Column) -> Column:
     """struct of returns after 1, 5, 10 and 20 prices (the last one past the end), best and worst, and the label."""
-    entry = F.get(prices, F.lit(0))
-    at = lambda n: F.when(F.size(prices) > 0, F.coalesce(F.try_divide(F.get(prices, F.least(F.lit(n), F.size(prices) - 1)), entry) - 1, F.lit(0.0)))
-    edge = lambda x: F.when(F.size(prices) > 0, F.coalesce(F.try_divide(x, entry) - 1, F.lit(0.0)))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return F.struct(*[zero(at(n)).alias(f"return_t{n}") for n in (1, 5, 10, 20)], zero(edge(F.array_max(prices))).alias("mfe"), zero(edge(F.array_min(prices))).alias("mae"), outcome_label(action, at(5)).alias("outcome_label"))
+    entry, n = F.get(prices, F.lit(0)), F.size(prices)
+    gain = lambda x: F.when((n > 0) & (entry > 0), (x - entry) / entry).otherwise(0.0)
+    at = lambda k: gain(F.get(prices, F.least(F.lit(k), n - 1)))
+    label = outcome_label(action, F.when(n > 0, at(5)))
+    return F.struct(*[at(k).alias(f"return_t{k}") for k in (1, 5, 10, 20)], gain(F.array_max(prices)).alias("mfe"), gain(F.array_min(prices)).alias("mae"), label.alias("outcome_label"))
 
 
 def diagnose(lethal: Column, grade: Column, label: Column, panic: Column, r5: Column, r10: Column, sizing: Column) -> Column:

@@ -59,7 +59,7 @@ def settled(s, d, horizon=3):
 
 
 SETTLED = f"""WITH l AS ({LEDGER}), one AS (SELECT symbol, day, max_by(close, id) AS close FROM l GROUP BY ALL), ahead AS (SELECT *, lead(close, 3) OVER ({W}) AS later FROM one),
-o AS (SELECT l.id, l.run_id, l.action, l.conviction, l.journal, l.shares, a.close, a.later, a.later / a.close - 1 AS pnl FROM l JOIN ahead a ON a.symbol = l.symbol AND a.day = l.day WHERE a.later IS NOT NULL AND a.close > 0),
+o AS (SELECT l.id, l.run_id, l.action, l.conviction, l.journal, l.shares, a.close, a.later, (a.later - a.close) / a.close AS pnl FROM l JOIN ahead a ON a.symbol = l.symbol AND a.day = l.day WHERE a.later > 0 AND a.close > 0),
 v AS (SELECT id, 'journals' AS pass, CASE WHEN pnl > 0.15 THEN 'REFUTED' WHEN pnl < -0.05 THEN 'VALIDATED' END AS verdict, pnl FROM o WHERE action IN ('SELL', 'TRIM') AND trim(coalesce(journal, '')) <> ''
  UNION ALL SELECT id, 'missed', CASE WHEN pnl > 0.15 THEN 'MISSED_ENTRY' WHEN pnl < -0.05 THEN 'CORRECT_WAIT' END, pnl FROM o WHERE action = 'WAIT' AND shares <= 0
  UNION ALL SELECT id, 'entries', CASE WHEN pnl > 0.10 THEN 'GOOD_ENTRY' WHEN pnl < -0.05 THEN 'BAD_ENTRY' END, pnl FROM o WHERE action IN ('BUY', 'ADD')

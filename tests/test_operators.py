@@ -139,10 +139,10 @@ def test_compare_arms():
 
 
 def test_outcome_edges(spark):
-    d = spark.createDataFrame([([], "BUY"), ([10.0], "BUY"), ([10.0] * 5 + [10.2], "BUY_FULL"), ([10.0] * 5 + [9.8], "NO_BUY"), ([0.0, 1.0], "BUY")], "p array<double>, a string")
+    d = spark.createDataFrame([([], "BUY"), ([10.0], "BUY"), ([10.0] * 5 + [10.21], "BUY_FULL"), ([10.0] * 5 + [9.79], "NO_BUY"), ([0.0, 1.0], "BUY")], "p array<double>, a string")
     r = [x["o"] for x in d.select(provenance.outcome(F.col("p"), F.col("a")).alias("o")).collect()]
     assert [x["outcome_label"] for x in r] == ["NEUTRAL", "NEUTRAL", "TRUE_POSITIVE", "TRUE_NEGATIVE", "NEUTRAL"]
-    assert r[0]["return_t5"] == 0 and round(r[2]["return_t20"], 6) == 0.02
+    assert r[0]["return_t5"] == 0 and round(r[2]["return_t20"], 6) == 0.021
 
 
 def test_redaction_lengths(spark):
@@ -152,7 +152,7 @@ def test_redaction_lengths(spark):
 
 
 def test_shield_stream_state_equals_batch():
-    rows = [(1.0, 10.0, c, 10.0, "C", 2.0) for c in (11, 9, 9, 9.5, 11, 12, 13, 9, 9, 9, 9, 9, 12)] + [(0.0, 0.0, 10.0, 10.0, "C", 2.0)]
+    rows = [(1.0, 10.0, c, 10.0, "C", 6.0) for c in (11, 9, 9, 9.5, 11, 12, 13, 9, 9, 9, 9, 9, 12)] + [(0.0, 0.0, 10.0, 10.0, "C", 2.0)]
     whole = bars.shield_steps(rows)
     state: dict = {}
     parts = bars.shield_steps(rows[:4], state) + bars.shield_steps(rows[4:9], state) + bars.shield_steps(rows[9:], state)
