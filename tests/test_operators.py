@@ -193,7 +193,7 @@ def test_cosine_variants(spark):
 def test_shield_as_stream(spark, tmp_path):
     schema = "symbol string, day string, shares double, cost double, close double, ma20 double, grade string, atr_pct double"
     closes = [11.0, 9, 9, 9.5, 11, 12, 13, 9, 9, 9, 9, 9, 12]
-    rows = [("A", f"d{i:02d}", 1.0, 10.0, c, 10.0, "C", 2.0) for i, c in enumerate(closes)] + [("B", f"d{i:02d}", 1.0, 10.0, 20.0, 10.0, "D", 2.0) for i in range(5)]
+    rows = [("A", f"d{i:02d}", 1.0, 10.0, float(c), 10.0, "C", 2.0) for i, c in enumerate(closes)] + [("B", f"d{i:02d}", 1.0, 10.0, 20.0, 10.0, "D", 2.0) for i in range(5)]
     df = spark.createDataFrame(rows, schema)
     for i, part in enumerate((df.filter("day < 'd04'"), df.filter("day >= 'd04'"))):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
