@@ -6,7 +6,9 @@ them apart: an absent path extracts to SQL NULL, a null to a variant null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,9 +17,40 @@ def parse(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+class Cells:
+    """Stands for a document while columns are built: each path and type becomes one column.
+
+    A projection reads many paths several times.  Built over Cells it refers to columns that
+    :meth:`read` adds first, so a document is searched once for each path.
+    """
+
+    def __init__(self, doc: str):
+        self.doc, self.names = doc, {}
+
+    def cell(self, path: str, kind: str) -> Column:
+        return F.col(self.names.setdefault((path, kind), f"__cell{len(self.names)}"))
+
+    def read(self, df: DataFrame) -> DataFrame:
+        return df.select("*", *[F.try_variant_get(F.col(self.doc), "$." + path, kind).alias(name) for (path, kind), name in self.names.items()])
+
+    def drop(self, df: DataFrame) -> DataFrame:
+        return df.drop(*self.names.values())
+
+
+def add(df: DataFrame, doc: str, name: str, build: Callable[[Cells], Column]) -> DataFrame:
+    """Adds the column that ``build`` makes of the document column ``doc``."""
+    cells = Cells(doc)
+    column = build(cells)
+    return cells.drop(cells.read(df).withColumn(name, column))
+
+
+def get(doc: Column | Cells, path: str, kind: str) -> Column:
+    return doc.cell(path, kind) if isinstance(doc, Cells) else F.try_variant_get(doc, "$." + path, kind)
+
+
 def node(doc: Column, path: str) -> Column:
     """The variant at a dotted path; SQL NULL if absent."""
-    return F.try_variant_get(doc, "$." + path, "variant")
+    return get(doc, path, "variant")
 
 
 def present(doc: Column, path: str) -> Column:
@@ -26,7 +59,7 @@ def present(doc: Column, path: str) -> Column:
 
 
 def text(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, "$." + path, "string")
+    return get(doc, path, "string")
 
 
 def number(doc: Column, path: str) -> Column:

@@ -46,7 +46,7 @@ def buy_sell_phrase(doc: Column, strict: bool) -> Column:
     usable = (lambda p: s.text(doc, p).isNotNull()) if strict else (lambda p: s.truthy(doc, p))
 
     def phrase(p: str) -> Column:
-        side, listed = s.text(doc, p + ".side"), F.try_variant_get(doc, f"$.{p}.types", "array<string>")
+        side, listed = s.text(doc, p + ".side"), s.get(doc, f"{p}.types", "array<string>")
         label = F.when(side.isin("买", "buy", "long"), BUY_POINT).when(F.coalesce(side, F.lit("")) != "", SELL_POINT).otherwise("")
         types = F.when(F.size(listed) > 0, F.concat(F.lit("·"), F.array_join(listed, "/"))).otherwise("")
         text = F.concat(F.lit(PHRASE), label, types)
@@ -162,7 +162,7 @@ def has_tier(types: Column, tier: int) -> Column:
 
 def width(doc: Column, path: str) -> Column:
     """b - a of a two-element list [a, b]; NULL for anything else."""
-    ends = F.try_variant_get(doc, "$." + path, "array<double>")
+    ends = s.get(doc, path, "array<double>")
     return F.when(F.size(ends) == 2, F.get(ends, F.lit(1)) - F.get(ends, F.lit(0)))
 
 
@@ -188,7 +188,7 @@ def feature_vector(doc: Column) -> Column:
         elif name == "macd_divergence":
             value = F.when(s.text(doc, "chan.macd_divergence.divergence").isNotNull(), s.truthy(doc, "chan.macd_divergence.divergence").cast("double"))
         else:
-            types = F.try_variant_get(doc, "$.chan.bsp.latest.types", "array<string>")
+            types = s.get(doc, "chan.bsp.latest.types", "array<string>")
             value = F.when(types.isNotNull(), has_tier(types, int(name[-1])))
         out.append(F.coalesce(value, nan))
     return F.array(*out)
@@ -202,9 +202,9 @@ def beta_tensor(doc: Column) -> Column:
     """Six numeric blocks, 34 values, null-safe; missing values take their defaults."""
     f = lambda path, d=0.0: s.to_float(s.text(doc, path), d)
     best = [f"chan.bsp.{k}" for k in ("latest", "latest_confirmed", "latest_candidate")]
-    of_best = lambda field, kind: F.coalesce(*[F.when(s.text(doc, p).isNotNull(), F.struct(F.try_variant_get(doc, f"$.{p}.{field}", kind).alias("x"))) for p in best])["x"]
+    of_best = lambda field, kind: F.coalesce(*[F.when(s.text(doc, p).isNotNull(), F.struct(s.get(doc, f"{p}.{field}", kind).alias("x"))) for p in best])["x"]
     types = of_best("types", "array<string>")
-    factors = F.try_variant_get(doc, "$.v8_score.toxic_breaker_factors", "array<variant>")
+    factors = s.get(doc, "v8_score.toxic_breaker_factors", "array<variant>")
     block = lambda **columns: F.struct(*[c.alias(k) for k, c in columns.items()])
     return F.struct(
         F.coalesce(s.text(doc, "symbol"), F.lit("UNKNOWN")).alias("symbol"),
@@ -243,4 +243,4 @@ def domain_vector(beta: Column, domain: str) -> Column:
 
 def project(df: DataFrame, text_col: str = "snapshot", mode: str = "any_true") -> DataFrame:
     """The flagship projection: a JSON text column to one tensor column."""
-    return df.withColumn("doc", s.parse(F.col(text_col))).withColumn("tensor", alpha_tensor(F.col("doc"), mode)).drop("doc")
+    return s.add(df.withColumn("__doc", s.parse(F.col(text_col))), "__doc", "tensor", lambda doc: alpha_tensor(doc, mode)).drop("__doc")

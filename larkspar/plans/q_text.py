@@ -35,7 +35,7 @@ SQL["prj2_first_non_null"] = DOCS + f" SELECT event_id, coalesce({x('chan.bsp.la
 SCALAR_PATHS = [p for p in tensor.CONTRACT if not p.startswith("chan.bsp")]
 QUERIES["prj3_contract_facts"] = lambda s, d: docs(s, d).select("event_id", F.explode(tensor.facts(F.col("doc"))).alias("path", "value")).filter(~F.col("path").startswith("chan.bsp"))
 SQL["prj3_contract_facts"] = DOCS + " " + " UNION ALL ".join(f"SELECT event_id, '{p}' AS path, {x(p)} AS value FROM s" for p in SCALAR_PATHS)
-QUERIES["prj4_validate"] = lambda s, d: docs(s, d).select("event_id", tensor.validate(F.col("doc")).alias("v")).select("event_id", "v.ok", F.array_join("v.envelope_errors", ",").alias("envelope"), F.array_join("v.missing_paths", ",").alias("missing"))
+QUERIES["prj4_validate"] = lambda s, d: sn.add(docs(s, d), "doc", "v", tensor.validate).select("event_id", "v.ok", F.array_join("v.envelope_errors", ",").alias("envelope"), F.array_join("v.missing_paths", ",").alias("missing"))
 _env = "concat_ws(',', " + ", ".join(f"CASE WHEN NOT {there(k)} THEN '{k}' END" for k in tensor.ENVELOPE) + ")"
 _mis = "concat_ws(',', " + ", ".join(f"CASE WHEN NOT {there(k)} THEN '{k}' END" for k in tensor.CONTRACT) + ")"
 SQL["prj4_validate"] = DOCS + f" SELECT event_id, {_env} = '' AND {_mis} = '' AS ok, {_env} AS envelope, {_mis} AS missing FROM s"
@@ -94,7 +94,7 @@ SQL["prj16_lethal_by_grade"] = f"SELECT grade, count(*) FILTER (is_lethal) AS le
 _types = "json_extract_string(j, '$.chan.bsp.latest.types[*]')"
 _width = "CASE WHEN json_array_length(j, '$.chan.pivot.range') = 2 THEN json_extract_string(j, '$.chan.pivot.range[1]')::DOUBLE - json_extract_string(j, '$.chan.pivot.range[0]')::DOUBLE END"
 _tier = lambda k, some: f"CASE WHEN {some} THEN (len(list_filter({_types}, lambda t: starts_with(t, 'T{k}') OR t IN ('{k}buy', '{k}sell'))) > 0)::INT::DOUBLE END"
-QUERIES["prj19_feature_vector"] = lambda s, d: docs(s, d).select("event_id", tensor.feature_vector(F.col("doc")).alias("v")).select(
+QUERIES["prj19_feature_vector"] = lambda s, d: sn.add(docs(s, d), "doc", "v", tensor.feature_vector).select(
     "event_id", *[F.nanvl(F.get("v", F.lit(list(tensor.RAW_FEATURES).index(n))), F.lit(-99.0)).alias(n) for n in ("zs_count", "pivot_pct_in_range", "pivot_range_width", "trend_type_encoded", "stage_code_encoded", "vol_ratio_5d", "rsi", "macd_hist", "consecutive_up_days", "bsp_side_encoded", "bsp_type_t1", "bsp_type_t2", "bsp_type_t3")],
     F.size(tensor.missing_features(F.col("v"))).cast("long").alias("n_missing"),
 )
@@ -103,7 +103,7 @@ CASE {x('chan.stage_code')} WHEN 'forming' THEN 1.0 WHEN 'developing' THEN 2.0 W
 CASE {x('chan.bsp.latest.side')} WHEN 'buy' THEN 1.0 WHEN 'sell' THEN -1.0 END AS bsp_side_encoded, {_tier(1, is_obj('chan.bsp.latest'))} AS bsp_type_t1, {_tier(2, is_obj('chan.bsp.latest'))} AS bsp_type_t2, {_tier(3, is_obj('chan.bsp.latest'))} AS bsp_type_t3 FROM s)
 SELECT event_id, zs_count, pivot_pct_in_range, coalesce(pivot_range_width, -99) AS pivot_range_width, trend_type_encoded::DOUBLE AS trend_type_encoded, coalesce(stage_code_encoded, -99)::DOUBLE AS stage_code_encoded, vol_ratio_5d, rsi, macd_hist, consecutive_up_days, coalesce(bsp_side_encoded, -99)::DOUBLE AS bsp_side_encoded, coalesce(bsp_type_t1, -99) AS bsp_type_t1, coalesce(bsp_type_t2, -99) AS bsp_type_t2, coalesce(bsp_type_t3, -99) AS bsp_type_t3,
 18 + (pivot_range_width IS NULL)::INT + (stage_code_encoded IS NULL)::INT + (bsp_side_encoded IS NULL)::INT + 3 * (bsp_type_t1 IS NULL)::INT AS n_missing FROM f"""
-QUERIES["prj17_beta_tensor"] = lambda s, d: docs(s, d).select("event_id", tensor.beta_tensor(F.col("doc")).alias("b")).select("event_id", "b.grade", "b.structure.pivot_range_width", "b.risk.overheat_index", "b.risk.toxic_breaker_count", "b.momentum.rsi", "b.chan_bsp.bsp_side_encoded", F.size(tensor.to_vector(F.col("b"))).alias("dims"), F.size(tensor.to_vector(F.col("b"), blind=False)).alias("all_dims"), F.get(tensor.domain_vector(F.col("b"), "score_ref"), F.lit(1)).alias("ignition"))
+QUERIES["prj17_beta_tensor"] = lambda s, d: sn.add(docs(s, d), "doc", "b", tensor.beta_tensor).select("event_id", "b.grade", "b.structure.pivot_range_width", "b.risk.overheat_index", "b.risk.toxic_breaker_count", "b.momentum.rsi", "b.chan_bsp.bsp_side_encoded", F.size(tensor.to_vector(F.col("b"))).alias("dims"), F.size(tensor.to_vector(F.col("b"), blind=False)).alias("all_dims"), F.get(tensor.domain_vector(F.col("b"), "score_ref"), F.lit(1)).alias("ignition"))
 _side = f"CASE WHEN {is_obj('chan.bsp.latest')} THEN {x('chan.bsp.latest.side')} ELSE {x('chan.bsp.latest_confirmed.side')} END"
 SQL["prj17_beta_tensor"] = DOCS + f" SELECT event_id, coalesce({x('v8_score.grade')}, '?') AS grade, coalesce({_width}, 0.0) AS pivot_range_width, {num('v8_score.overheat_index', 0.0)} AS overheat_index, coalesce(json_array_length(j, '$.v8_score.toxic_breaker_factors'), 0)::DOUBLE AS toxic_breaker_count, {num('indicators.rsi.value', 50.0)} AS rsi, CASE {_side} WHEN 'buy' THEN 1.0 WHEN 'sell' THEN -1.0 ELSE 0.0 END::DOUBLE AS bsp_side_encoded, 30 AS dims, 34 AS all_dims, {num('v8_score.ignition_score', 0.0)} AS ignition FROM s"
 
