@@ -301,12 +301,14 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
             break
         before, round_ = mark, round_ + 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # a table of its own: the join below then has a shuffle on either side, so the edges of
+        # a node with very many of them are split over tasks
+        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{label}_least{round_}")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         e = scratch.write(small.filter("u != v").distinct(), f"{label}{round_}")
-        scratch.drop(f"{label}{round_ - 1}")
+        scratch.drop(f"{label}{round_ - 1}", f"{label}_least{round_}")
     # now every node points to its component's least node
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
