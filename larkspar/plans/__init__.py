@@ -1 +1 @@
-
+"""Queries, bindings and actions."""

@@ -1 +1 @@
-
+"""Streaming forms of incremental work."""
