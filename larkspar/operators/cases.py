@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Buckets of verdicts, and words of the journal score.
-BUCKETS = {"entry": ["MISSED_ENTRY", "GOOD_ENTRY", "BAD_ENTRY"], "exit": ["PREMATURE_EXIT", "GOOD_EXIT", "REFUTED"], "patience": ["CORRECT_WAIT", "VALIDATED"]}
+BUCKETS = {
+    "calibrated_wait": ["CORRECT_WAIT", "VALIDATED"], "missed_entry": ["MISSED_ENTRY"], "good_entry": ["GOOD_ENTRY"],
+    "premature_exit": ["PREMATURE_EXIT"], "good_exit": ["GOOD_EXIT"], "bad_trade": ["BAD_ENTRY", "REFUTED"],
+}
 FEAR = ["scared", "afraid", "fear", "worried", "nervous", "hesitant", "panic"]
 MISSED = ["missing", "missed", "regret", "should have", "too late", "left behind"]
 GREED = ["acceleration", "momentum", "breakout", "all-in", "fat pitch", "moon"]

@@ -48,7 +48,7 @@ def follows(patterns: DataFrame, gap: int = 5, most: int = 3) -> DataFrame:
     pairs = a.join(b, "symbol").filter((F.col("j") > F.col("i")) & (F.col("j") <= F.col("i") + gap))
     w = Window.partitionBy("source").orderBy("j", "target")
     near = pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
-    return near.select("source", "target", F.lit("follows").alias("relation"), (1.0 / (F.col("j") - F.col("i"))).alias("weight"))
+    return near.select("source", "target", F.lit("follows").alias("relation"), F.greatest(F.lit(0.0), 1.0 - (F.col("j") - F.col("i")) / F.lit(float(max(gap, 1)))).alias("weight"))
 
 
 def recovered_from(patterns: DataFrame, label: str = "label_T10", within: int = 30) -> DataFrame:
@@ -59,7 +59,7 @@ def recovered_from(patterns: DataFrame, label: str = "label_T10", within: int =
     w = Window.partitionBy("symbol").orderBy("trade_idx").rangeBetween(Window.unboundedPreceding, -1)
     trap = F.max(F.when(F.col(label) == "false_trap", F.struct("trade_idx", "pattern_id"))).over(w)
     d = patterns.withColumn("trap", trap).filter((F.col(label) == "true_S") & (F.col("trade_idx") - F.col("trap.trade_idx") <= within))
-    return d.select(F.col("pattern_id").alias("source"), F.col("trap.pattern_id").alias("target"), F.lit("recovered_from").alias("relation"), (1.0 - (F.col("trade_idx") - F.col("trap.trade_idx")) / F.lit(float(within))).alias("weight"))
+    return d.select(F.col("pattern_id").alias("source"), F.col("trap.pattern_id").alias("target"), F.lit("recovered_from").alias("relation"), F.lit(1.0).alias("weight"))
 
 
 def similar_to(selected: DataFrame, vec: str, most: int = 3, least: float = 0.7) -> DataFrame:
@@ -80,7 +80,7 @@ def supports(selected: DataFrame, days: int = 90) -> DataFrame:
     b = selected.select("archetype", *[F.col(x).alias(f"b_{x}") for x in c])
     apart = F.abs(F.datediff("a_as_of_date", "b_as_of_date"))
     pairs = a.join(b, "archetype").filter((F.col("a_sel_rank") < F.col("b_sel_rank")) & (F.col("a_symbol") != F.col("b_symbol")) & (apart <= days))
-    return pairs.select(F.col("a_pattern_id").alias("source"), F.col("b_pattern_id").alias("target"), F.lit("supports").alias("relation"), (1.0 - apart / F.lit(float(days))).alias("weight"))
+    return pairs.select(F.col("a_pattern_id").alias("source"), F.col("b_pattern_id").alias("target"), F.lit("supports").alias("relation"), F.greatest(F.lit(0.0), 1.0 - apart / F.lit(float(days))).alias("weight"))
 
 
 def capped(edges: DataFrame, most: int = 2000) -> DataFrame:

@@ -94,9 +94,9 @@ def verdict_rows(s, d):
 
 CASE_ROWS = SETTLED.replace("lead(close, 3)", "lead(day, 3) OVER (PARTITION BY symbol ORDER BY day) AS vday, lead(close, 3)").replace("l.shares,", "l.shares, l.day, a.vday,").replace(", pnl FROM o", ", pnl, run_id, day, vday, action FROM o")
 QUERIES["top3_latest_cases"] = lambda s, d: cases.latest(verdict_rows(s, d)).select("id", "bucket", "verdict", "journal_date")
-SQL["top3_latest_cases"] = CASE_ROWS + """, c AS (SELECT *, CASE WHEN verdict IN ('MISSED_ENTRY', 'GOOD_ENTRY', 'BAD_ENTRY') THEN 'entry' WHEN verdict IN ('PREMATURE_EXIT', 'GOOD_EXIT', 'REFUTED') THEN 'exit' ELSE 'patience' END AS bucket, id % 3 AS db FROM v WHERE verdict IS NOT NULL),
+SQL["top3_latest_cases"] = CASE_ROWS + """, c AS (SELECT *, CASE WHEN verdict IN ('CORRECT_WAIT', 'VALIDATED') THEN 'calibrated_wait' WHEN verdict IN ('BAD_ENTRY', 'REFUTED') THEN 'bad_trade' ELSE lower(verdict) END AS bucket, id % 3 AS db FROM v WHERE verdict IS NOT NULL),
 s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY db, bucket ORDER BY day DESC, id DESC, verdict DESC) = 1), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY day DESC, vday DESC, id DESC, verdict DESC) = 1)
-SELECT id, bucket, verdict, day AS journal_date FROM t"""
+SELECT id, bucket, verdict, day AS journal_date FROM t ORDER BY day DESC, vday DESC, verdict DESC LIMIT 3"""
 QUERIES["flt11_cases_before"] = lambda s, d: cases.latest(verdict_rows(s, d), before=F.lit("2024-02-01").cast("date")).select("bucket", "journal_date")
 SQL["flt11_cases_before"] = SQL["top3_latest_cases"].replace("WHERE verdict IS NOT NULL)", "WHERE verdict IS NOT NULL AND day < DATE '2024-02-01' AND vday < DATE '2024-02-01')").replace("SELECT id, bucket, verdict, day AS", "SELECT bucket, day AS")
 SCORE = "(CASE WHEN contains(lower(journal), 'acceleration') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(lower(journal), 'acceleration|momentum|breakout|all-in|fat pitch|moon') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(journal), 'missing|missed|regret|should have|too late|left behind') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(journal), 'strong|adx|trend') THEN 1 ELSE 0 END + CASE WHEN action IN ('BUY', 'ADD') THEN 1 ELSE 0 END)"
@@ -132,9 +132,9 @@ QUERIES["jon9_similar_to"] = lambda s, d: graph.similar_to(selected(s, d), "vec"
 QUERIES["jon10_supports"] = lambda s, d: graph.supports(selected(s, d)).select("source", "target", F.round("weight", 6).alias("weight"))
 QUERIES["prj24_memory_text"] = lambda s, d: graph.memory_text(selected(s, d))
 QUERIES["jon7_follows"] = lambda s, d: graph.follows(bind(s, d, PATTERNS)).select("source", "target", F.round("weight", 6).alias("weight"))
-SQL["jon7_follows"] = f"WITH p AS ({PATTERNS}) SELECT a.id AS source, b.id AS target, round(1.0::DOUBLE / (b.idx - a.idx), 6) AS weight FROM p a JOIN p b ON a.symbol = b.symbol AND b.idx > a.idx AND b.idx <= a.idx + 5 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.idx, b.id) <= 3"
+SQL["jon7_follows"] = f"WITH p AS ({PATTERNS}) SELECT a.id AS source, b.id AS target, round(greatest(0, 1 - (b.idx - a.idx) / 5), 6) AS weight FROM p a JOIN p b ON a.symbol = b.symbol AND b.idx > a.idx AND b.idx <= a.idx + 5 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.idx, b.id) <= 3"
 QUERIES["jon8_recovered_from"] = lambda s, d: graph.recovered_from(bind(s, d, PATTERNS).withColumn("symbol", F.lit("x"))).select("source", "target", F.round("weight", 6).alias("weight"))
-SQL["jon8_recovered_from"] = f"WITH p AS ({PATTERNS}), x AS (SELECT a.id AS source, b.id AS target, a.idx - b.idx AS gap FROM p a JOIN p b ON b.idx < a.idx AND a.label_T10 = 'true_S' AND b.label_T10 = 'false_trap' QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.idx DESC) = 1) SELECT source, target, round(1 - gap / 30, 6) AS weight FROM x WHERE gap <= 30"
+SQL["jon8_recovered_from"] = f"WITH p AS ({PATTERNS}), x AS (SELECT a.id AS source, b.id AS target, a.idx - b.idx AS gap FROM p a JOIN p b ON b.idx < a.idx AND a.label_T10 = 'true_S' AND b.label_T10 = 'false_trap' QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.idx DESC) = 1) SELECT source, target, 1.0::DOUBLE AS weight FROM x WHERE gap <= 30"
 
 
 def edges(s, d):
@@ -142,7 +142,7 @@ def edges(s, d):
     return graph.follows(p).unionByName(graph.recovered_from(p))
 
 
-EDGES = f"WITH p AS ({PATTERNS}), f AS (SELECT a.id AS source, b.id AS target, 'follows' AS relation, 1.0::DOUBLE / (b.idx - a.idx) AS weight FROM p a JOIN p b ON a.symbol = b.symbol AND b.idx > a.idx AND b.idx <= a.idx + 5 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.idx, b.id) <= 3), x AS (SELECT a.id AS source, b.id AS target, a.idx - b.idx AS gap FROM p a JOIN p b ON a.symbol = b.symbol AND b.idx < a.idx AND a.label_T10 = 'true_S' AND b.label_T10 = 'false_trap' QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.idx DESC) = 1), e AS (SELECT * FROM f UNION ALL SELECT source, target, 'recovered_from', 1 - gap / 30 FROM x WHERE gap <= 30) "
+EDGES = f"WITH p AS ({PATTERNS}), f AS (SELECT a.id AS source, b.id AS target, 'follows' AS relation, 1 - (b.idx - a.idx) / 5 AS weight FROM p a JOIN p b ON a.symbol = b.symbol AND b.idx > a.idx AND b.idx <= a.idx + 5 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.idx, b.id) <= 3), x AS (SELECT a.id AS source, b.id AS target, a.idx - b.idx AS gap FROM p a JOIN p b ON a.symbol = b.symbol AND b.idx < a.idx AND a.label_T10 = 'true_S' AND b.label_T10 = 'false_trap' QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.idx DESC) = 1), e AS (SELECT * FROM f UNION ALL SELECT source, target, 'recovered_from', 1.0::DOUBLE FROM x WHERE gap <= 30) "
 QUERIES["agg24_edges_by_relation"] = lambda s, d: graph.by_relation(edges(s, d))
 SQL["agg24_edges_by_relation"] = EDGES + "SELECT relation, count(*) AS n_edges FROM e GROUP BY 1"
 QUERIES["top5_edge_cap"] = lambda s, d: graph.capped(edges(s, d), 40).select("source", "target", "relation")
