@@ -36,13 +36,16 @@ def tool_name(value: Column, prefix: str) -> Column:
     return F.when(value.startswith(prefix), F.substring(value, len(prefix) + 1, 1 << 20)).otherwise(value)
 
 
+#: Memory paths by the phase of the trading day.
+REVIEW_PATH, OPENING_PATH, SESSION_PATH = "/trading/equity/daily_review", "/trading/equity/ops/T0", "/trading/equity/journal/positions"
+
+
 def market_clock(utc: Column, zone: str = "Asia/Shanghai") -> Column:
-    """Phase of the trading day: weekend, open, session, closed, or '' before the open."""
+    """Memory path of a moment: review at weekends and after 15:00, opening from 9:15, session from 10:00; '' before."""
     t = F.from_utc_timestamp(utc, zone)
     minute = F.hour(t) * 60 + F.minute(t)
-    return (
-        F.when(F.weekday(t) >= 5, "weekend").when((minute >= 555) & (minute < 600), "open").when((minute >= 555) & (minute < 900), "session").when(minute >= 900, "closed").otherwise("")
-    )
+    weekend = F.weekday(t) >= 5
+    return F.when(weekend | (minute >= 15 * 60), REVIEW_PATH).when(minute >= 10 * 60, SESSION_PATH).when(minute >= 9 * 60 + 15, OPENING_PATH).otherwise("")
 
 
 def time_stamp_features(ts: Column) -> Column:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LABELS = ("true_S", "stale_S", "false_trap")
+#: Warnings of a card.
+SAME_SYMBOL = "same-symbol support ratio high; treat confidence as lower"
+NO_NEIGHBOURS = "no neighbors returned after leakage guards"
+SPARSE = "sparse support set"
 
 
 def rate(hits: Column, total: Column) -> Column:
@@ -51,7 +55,7 @@ def cards(hits: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         "age_median", "age_min", "age_max", same.alias("same_symbol_ratio"), rate(F.coalesce("symbols", F.lit(0)), n).alias("support_diversity"),
         F.when(F.col("q_regime").isNotNull(), F.try_divide(F.col("same_regime").cast("double"), F.col("with_regime").cast("double"))).alias("regime_match_rate"),
         F.coalesce("case_ids", F.array().cast("array<bigint>")).alias("case_ids"),
-        F.array_compact(F.array(F.when(same > 0.5, "same_symbol_heavy"), F.when(n == 0, "no_neighbours"), F.when(n < max(1, k // 2), "few_neighbours"))).alias("warnings"),
+        F.array_compact(F.array(F.when(same > 0.5, SAME_SYMBOL), F.when(n == 0, NO_NEIGHBOURS).when(n < max(1, k // 2), SPARSE))).alias("warnings"),
     )
 
 

@@ -60,7 +60,7 @@ QUERIES["agg1_evidence_cards"] = lambda s, d: cards(s, d).select(
 )
 SQL["agg1_evidence_cards"] = PLAIN + CARD_SQL + """SELECT query_id, n, round(ts, 6) AS "true_S_rate", round(ss, 6) AS "stale_S_rate", round(ft, 6) AS false_trap_rate, round(e, 6) AS label_entropy, round(avg_fwd, 6) AS avg_fwd_return, round(same, 6) AS same_symbol_ratio,
   round(div, 6) AS support_diversity, round(rm, 6) AS regime_match_rate, med_fwd AS median_fwd_return, worst AS worst_mae, m25 AS mae_p25, m75 AS mae_p75, amed AS age_median, amin AS age_min, amax AS age_max,
-  concat_ws(',', CASE WHEN same > 0.5 THEN 'same_symbol_heavy' END, CASE WHEN n = 0 THEN 'no_neighbours' END, CASE WHEN n < 2 THEN 'few_neighbours' END) AS warnings FROM card"""
+  concat_ws(',', CASE WHEN same > 0.5 THEN 'same-symbol support ratio high; treat confidence as lower' END, CASE WHEN n = 0 THEN 'no neighbors returned after leakage guards' WHEN n < 2 THEN 'sparse support set' END) AS warnings FROM card"""
 QUERIES["agg2_label_distribution"] = lambda s, d: cards(s, d).select("query_id", F.explode("label_distribution").alias("label", "n"))
 SQL["agg2_label_distribution"] = PLAIN + CARD_SQL + "SELECT query_id, label, n FROM pl"
 QUERIES["rul5_stance"] = lambda s, d: cards(s, d).select("query_id", evidence.stance(F.col("top_k_returned"), F.col("false_trap_rate"), F.col("same_symbol_ratio"), F.col("true_S_rate")).alias("stance"))

@@ -157,7 +157,7 @@ SQL["prj28_distil_lesson"] = f"SELECT conv_id, turn, '[rule] ' || grade || ' @ 2
 QUERIES["prj27_keywords_and_path"] = lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(tx.keywords(F.when(F.col("p_partkey") % 2 == 0, F.to_json(F.array("p_brand", "p_type"))).otherwise(F.concat_ws(", ", "p_brand", "p_type", F.lit("")))), "|").alias("words"), tx.memory_path(F.concat(F.lit("//a\\b/"), F.col("p_brand"))).alias("path"))
 SQL["prj27_keywords_and_path"] = "SELECT p_partkey, p_brand || '|' || p_type AS words, 'memory/a/b/' || p_brand AS path FROM part"
 QUERIES["rul12_market_clock"] = lambda s, d: table(s, d, "events").select("event_id", tx.market_clock(F.col("ts")).alias("phase"))
-SQL["rul12_market_clock"] = "WITH t AS (SELECT event_id, ts + INTERVAL 8 HOUR AS t FROM events), m AS (SELECT event_id, isodow(t) AS d, hour(t) * 60 + minute(t) AS m FROM t) SELECT event_id, CASE WHEN d >= 6 THEN 'weekend' WHEN m >= 555 AND m < 600 THEN 'open' WHEN m >= 555 AND m < 900 THEN 'session' WHEN m >= 900 THEN 'closed' ELSE '' END AS phase FROM m"
+SQL["rul12_market_clock"] = "WITH t AS (SELECT event_id, ts + INTERVAL 8 HOUR AS t FROM events), m AS (SELECT event_id, isodow(t) AS d, hour(t) * 60 + minute(t) AS m FROM t) SELECT event_id, CASE WHEN d >= 6 OR m >= 900 THEN '/trading/equity/daily_review' WHEN m >= 555 AND m < 600 THEN '/trading/equity/ops/T0' WHEN m >= 555 AND m < 900 THEN '/trading/equity/journal/positions' ELSE '' END AS phase FROM m"
 QUERIES["emb8_time_features"] = lambda s, d: table(s, d, "events").select("event_id", F.array_join(F.transform(tx.time_stamp_features(F.col("ts")), lambda v: v.cast("int").cast("string")), ",").alias("features"))
 SQL["emb8_time_features"] = "SELECT event_id, concat_ws(',', minute(ts), hour(ts), isodow(ts) - 1, day(ts), month(ts)) AS features FROM events"
 QUERIES["prj39_facade_helpers"] = lambda s, d: table(s, d, "orders").select("o_orderkey", tx.as_bool(F.when(F.col("o_orderkey") % 3 == 0, " Yes ").when(F.col("o_orderkey") % 3 == 1, "off")).alias("flag"), tx.tool_name(F.concat(F.lit("t_"), "o_orderstatus"), "t_").alias("tool"))

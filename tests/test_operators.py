@@ -98,7 +98,7 @@ def test_card_without_neighbours(spark):
     q = spark.createDataFrame([(1, "a", 5, None)], "query_id long, symbol string, idx long, regime string")
     h = spark.createDataFrame([], "query_id long, case_id long, similarity double, rank int, case_symbol string, case_idx long, label string, fwd_return double, mae double, case_regime string")
     c = evidence.cards(h, q).first()
-    assert c["top_k_returned"] == 0 and c["warnings"] == ["no_neighbours", "few_neighbours"] and c["case_ids"] == []
+    assert c["top_k_returned"] == 0 and c["warnings"] == [evidence.NO_NEIGHBOURS] and c["case_ids"] == []
     assert evidence.prompt_block(evidence.cards(h, q)).first()["block"] == ""
 
 
