@@ -3,12 +3,12 @@
 One pass over a page builds its element tree, drops what markup already names as furniture
 (menus, page headers, footers, sidebars, notices, adverts, forms, comments, scripts,
 styles, hidden parts), cuts the rest into blocks and hashes the subtree of every element.
-Spark then counts, for each host, on how many different pages a subtree recurs; subtrees
-on at least MIN_PAGES pages and MIN_SHARE of the host's pages are its template and their
-blocks are deleted.  Paragraphs, headings, quotations and list items inside an article or
-main element are content, however often they recur; so are those elements themselves.
-Pages with equal content count once, so mirrored pages do not make their own article a
-template.
+Spark then counts, for each host, on how many different pages a subtree recurs, inside and
+outside articles alike; subtrees on at least MIN_PAGES pages and MIN_SHARE of the host's
+pages are its template and their blocks are deleted.  Inside an article or main element,
+paragraphs, headings, quotations, list items and tables, and these two elements themselves,
+are likelier content and go from MAIN_SHARE on.  Pages with equal content count once, so
+mirrored pages do not make their own article a template.
 
 If a page has article or main elements its text is theirs; else it is all that is left.
 Null or empty html gives an empty text.  A null or unparsable url has no host, and such
@@ -26,13 +26,15 @@ from html import unescape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, few, ship
 
 MIN_PAGES, MIN_SHARE = 10, 0.25
+#: Share of a host's pages from which CONTENT elements inside an article or main are template.
+MAIN_SHARE = 0.5
 #: Deletions up to this many pages are broadcast to the pages; beyond, both sides are shuffled.
 BROADCAST_PAGES = 200_000
 CHUNK_ROWS = 200
-PARSED = "key long, page_id long, url string, host string, root long, texts array<string>, chains array<array<long>>"
+PARSED = "key long, page_id long, url string, host string, root long, texts array<string>, chains array<array<int>>, elements array<long>"
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -85,7 +87,7 @@ def is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
 
 
 class Page:
-    """The blocks of one page: texts, and the hashes of the deletable elements around each."""
+    """The blocks of one page: texts, and the deletable elements around each."""
 
     def __init__(self, html: str):
         import xxhash
@@ -96,7 +98,7 @@ class Page:
         self.parents: list[int] = []
         self.items: list[list[str]] = []
         self.names: list[str] = []
-        self.deletable: list[bool] = []
+        self.guarded: list[bool] = []
         self.hashes: list[int | None] = []
         self.blocks: list[tuple[str, int, bool]] = []
         self.buffer: list[str] = []
@@ -159,7 +161,7 @@ class Page:
             self.parents.append(element)
             self.items.append([])
             self.names.append(tag)
-            self.deletable.append(not (tag in ("html", "body") or in_main and tag in CONTENT))
+            self.guarded.append(in_main and tag in CONTENT)
             self.hashes.append(None)
             element = len(self.parents) - 1
         if tag == "a":
@@ -212,21 +214,23 @@ class Page:
             self.buffer = []
         self.length = self.linked = 0
 
-    def result(self) -> tuple[int, list[str], list[list[int]]]:
-        """(hash of all content, texts of the blocks, hashes of the deletable elements around each)."""
+    def result(self) -> tuple[int, list[str], list[list[int]], list[int]]:
+        """(hash of all content, texts of its blocks, places of the elements around each, elements of the whole page).
+
+        An element is its hash with the last bit cleared, or set if it is guarded content.
+        """
         main = any(in_main for _, _, in_main in self.blocks)
-        texts, chains = [], []
+        texts, chains, places = [], [], {}
         for text, element, in_main in self.blocks:
-            if main and not in_main:
-                continue
             chain = []
             while element >= 0:
-                if self.deletable[element] and self.hashes[element] is not None:
-                    chain.append(self.hashes[element])
+                if self.names[element] not in ("html", "body") and self.hashes[element] is not None:
+                    chain.append(places.setdefault(self.hashes[element] & -2 | self.guarded[element], len(places)))
                 element = self.parents[element]
-            texts.append(text)
-            chains.append(chain)
-        return self.hash("\0".join(texts)), texts, chains
+            if in_main or not main:
+                texts.append(text)
+                chains.append(chain)
+        return self.hash("\0".join(texts)), texts, chains, list(places)
 
 
 def _parse(batches) -> Iterator:
@@ -241,31 +245,34 @@ def _parse(batches) -> Iterator:
             rows = [Page(x or "").result() for x in pages]
             keys = [xxhash.xxh64_intdigest(f"{i}\0{u}\0{h}".encode("utf-8", "replace")) - (1 << 63) for i, u, h in zip(part.column(0).to_pylist(), urls, pages, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, longs), part.column(0), part.column(1), pa.array([host_of(u) for u in urls], pa.string()), pa.array([r[0] for r in rows], longs), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.list_(pa.list_(longs)))],
+                [pa.array(keys, longs), part.column(0), part.column(1), pa.array([host_of(u) for u in urls], pa.string()), pa.array([r[0] for r in rows], longs), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.list_(pa.list_(pa.int32()))), pa.array([r[3] for r in rows], pa.list_(longs))],
                 names=[c.strip().split()[0] for c in PARSED.split(", ")],
             )
 
 
-def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, element): subtrees on many different pages of a host."""
+def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, main_share: float = MAIN_SHARE) -> DataFrame:
+    """(host, element): subtrees on many different pages of a host; with the last bit set, as guarded content."""
     known = parsed.filter("host is not null")
-    elements = known.select("host", "root", F.explode(F.array_distinct(F.flatten("chains"))).alias("element")).distinct()
+    elements = known.select("host", "root", F.explode("elements").alias("element")).withColumn("element", F.col("element").bitwiseAND(F.lit(-2))).distinct()
     counts = elements.groupBy("host", "element").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     pages = known.select("host", "root").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    return counts.join(pages, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "element")
+    found = counts.join(pages, "host").withColumn("guarded", F.explode(F.array(F.lit(0), F.lit(1))))
+    share = F.when(F.col("guarded") == 1, max(min_share, main_share)).otherwise(min_share)
+    return found.filter(F.col("n") >= share * F.col("pages")).select("host", F.col("element").bitwiseOR(F.col("guarded").cast("long")).alias("element"))
 
 
-def extract(df: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(df: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, main_share: float = MAIN_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     spark = df.sparkSession
     ship(spark)
     d = df.select(F.col(id_col).cast("long"), F.col(url_col), F.col(html_col))
     parsed = scratch.write(d.mapInArrow(_parse, PARSED), "parsed")
-    on_page = parsed.select("key", "host", F.explode(F.array_distinct(F.flatten("chains"))).alias("element"))
-    hits = on_page.join(templates(parsed, min_pages, min_share), ["host", "element"]).groupBy("key").agg(F.collect_set("element").alias("dead"))
+    on_page = parsed.select("key", "host", F.posexplode("elements").alias("place", "element"))
+    found = scratch.write(templates(parsed, min_pages, min_share, main_share), "templates")
+    hits = on_page.join(few(found), ["host", "element"]).groupBy("key").agg(F.collect_set("place").alias("dead"))
     hits = scratch.write(hits, "hits")
-    few = hits.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES
-    joined = parsed.join(F.broadcast(hits) if few else hits, "key", "left")
+    small = hits.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES
+    joined = parsed.drop("elements").join(F.broadcast(hits) if small else hits, "key", "left")
     alive = F.filter("texts", lambda _, i: F.col("dead").isNull() | ~F.coalesce(F.arrays_overlap(F.get("chains", i), F.col("dead")), F.lit(False)))
     text = F.array_join(alive, "\n\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -128,6 +128,17 @@ def test_site_templates_are_deleted_but_mirrors_stay(spark):
     assert got[5] == "story 5 of many" and got[105] == "Our brand\n\nstory 0 of many\n\nShared ending"
 
 
+def test_site_templates_inside_articles_are_deleted(spark):
+    page = lambda i: f"<body><div><p>Top line</p></div><article><p>Story {i}</p><ul><li>Point {i}<li>Write to us</ul><table><tr><td>All rights</table>{'<p>Some of us</p>' if i % 5 < 2 else ''}<p>Follow us</p></article></body>"
+    rows = [(i, f"https://s.example/{i}", page(i)) for i in range(40)] + [(40, "https://s.example/start", "<p>Top line</p><p>Welcome</p>")]
+    rows += [(100 + i, f"https://mirror.example/{i}", page(0)) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in rows_of(site_templates.extract(df, Scratch(spark, "t")))}
+    # content at 40 % of the pages stays; what is cut away outside articles counts for pages without one
+    assert got[5] == "Story 5\n\nPoint 5\n\nSome of us" and got[7] == "Story 7\n\nPoint 7" and got[40] == "Welcome"
+    assert got[105] == "Story 0\n\nPoint 0\n\nWrite to us\n\nAll rights\n\nSome of us\n\nFollow us"
+
+
 # ---- 5 packing -----------------------------------------------------------------------
 
 
