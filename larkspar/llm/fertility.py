@@ -9,8 +9,11 @@ base rules: fewer than 10 words, or more than a fifth of all words inside repeat
 windows.
 
 Null or empty texts have no words: all counts are 0 and they fail the base rule.  Texts of
-under MIN_TOKENS tokens are not held against the bands, as the measures would say little.  Repeated rows get equal rows; extra columns are ignored (:func:`filter_docs`
-passes them through).
+under MIN_TOKENS tokens are judged too: their limits on characters and bytes are eased in
+proportion to the tokens they lack (one identifier weighs much in a short text), and their
+entropy is compared with the most that so many tokens can have, log2 of their number.
+Repeated rows get equal rows; extra columns are ignored (:func:`filter_docs` passes them
+through).
 """
 
 from __future__ import annotations
@@ -31,25 +34,40 @@ SCHEMA = (
 )
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 WINDOW = 5
-MIN_TOKENS = 200
+#: From so many tokens on the bands hold as they stand; limits are eased by up to EASE below.
+MIN_TOKENS, EASE = 200, 0.6
 
 
 @dataclass(frozen=True)
 class Band:
-    """Limits a text must keep: characters per token, byte-fallback share, token entropy in bits."""
+    """Limits a text must keep: characters per token, byte-fallback share, token entropy in bits.
+
+    ``min_fill`` is the share of log2(tokens) that a short text's entropy must have; without
+    one it is what ``min_entropy`` is of log2(MIN_TOKENS).
+    """
 
     min_chars: float
     max_chars: float
     max_bytes: float
     min_entropy: float
+    min_fill: float | None = None
+
+    def holds(self, n_tokens: int, chars: float, byte_share: float, bits: float) -> bool:
+        ease = EASE * max(0.0, 1 - n_tokens / MIN_TOKENS)
+        min_bits = self.min_entropy
+        if ease:
+            fill = self.min_entropy / np.log2(MIN_TOKENS) if self.min_fill is None else self.min_fill + ease / 10
+            min_bits = fill * np.log2(max(n_tokens, 1))
+        most_bytes = self.max_bytes + ease / 2 * (1 - self.max_bytes)
+        return bool(self.min_chars * (1 - ease) <= chars <= self.max_chars * (1 + ease) and byte_share <= most_bytes and bits >= min_bits)
 
 
 #: Fixed values.  Bands by language, then by script, of a vocabulary learned mostly from English.
 BANDS = {
-    "en": Band(1.95, 7.0, 0.02, 4.0),
-    "de": Band(1.95, 7.0, 0.03, 4.0),
-    "fr": Band(1.8, 7.0, 0.03, 4.0),
-    "es": Band(1.75, 7.0, 0.03, 4.0),
+    "en": Band(1.95, 7.0, 0.02, 4.0, 0.74),
+    "de": Band(1.95, 7.0, 0.03, 4.0, 0.74),
+    "fr": Band(1.8, 7.0, 0.03, 4.0, 0.74),
+    "es": Band(1.75, 7.0, 0.03, 4.0, 0.74),
     "latin": Band(1.5, 8.0, 0.05, 3.5),
     "cyrillic": Band(0.9, 6.0, 0.1, 3.0),
     "greek": Band(0.5, 6.0, 0.2, 3.0),
@@ -144,7 +162,7 @@ class Meter:
         bits = entropy(tokens, begin)
         names = [lang if lang in BANDS else script_of(t.decode("utf-8", "replace")) for lang, t in zip(langs, texts, strict=True)]
         limits = [BANDS[x] for x in names]
-        within = np.array([n < MIN_TOKENS or (b.min_chars <= c <= b.max_chars and s <= b.max_bytes and e >= b.min_entropy) for b, c, s, n, e in zip(limits, per_token, byte_share, n_tokens, bits, strict=True)], bool)
+        within = np.array([b.holds(*x) for b, *x in zip(limits, n_tokens, per_token, byte_share, bits, strict=True)], bool)
         return {
             "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeated, "base_failed": failed,
             "kept": ~failed & within, "n_tokens": n_tokens, "chars_per_token": per_token, "byte_share": byte_share, "token_entropy": bits, "band": names,

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -105,6 +106,22 @@ def test_fertility_measures_by_brute_force():
     assert fertility.script_of("привет мир") == "cyrillic" and fertility.script_of("123") == "other"
 
 
+def test_short_texts_are_judged():
+    r = random.Random(4)
+    junk = " | ".join("".join(r.choice(["the", "er", "on", "st", "and", "ha"]) for _ in range(3)) for _ in range(30))
+    prose = "The old harbour town woke slowly that morning while two fishing boats came back with a small catch and a tired crew."
+    digits = " ".join(str(r.getrandbits(60)) for _ in range(10))
+    symbols = " ".join(chr(0x1D100 + r.randrange(200)) for _ in range(20))
+    mail = prose + " Call +1 (372) 555-7739 or 44.144.126.223 today."
+    m = fertility.Meter(fertility.default_vocabulary()).measure([x.encode() for x in (junk, prose, digits, symbols, mail)], ["en"] * 5)
+    assert max(m["n_tokens"]) < fertility.MIN_TOKENS and not any(m["base_failed"])
+    assert list(m["kept"]) == [False, True, False, False, True]
+    band = fertility.BANDS["en"]
+    assert band.holds(200, 1.95, 0.02, 4.0) and not band.holds(200, 1.94, 0.02, 4.0) and not band.holds(199, 1.93, 0.02, 7.0)
+    # a script of bytes only has little entropy, short or long
+    assert fertility.BANDS["other"].holds(120, 0.5, 0.9, 4.0) and not fertility.BANDS["other"].holds(120, 0.5, 0.9, 1.0)
+
+
 # ---- 4 pages -------------------------------------------------------------------------
 
 PAGE = '<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><a href="/">Home</a></header><nav><ul><li>a<li>b</ul></nav><div class="cookie-notice">We use cookies</div><article><header><h1>T &amp; %s</h1></header><p><b>One<br><p>Two\n &lt;x&gt;</p><script>if(a<b)"</p>"</script><aside>ad</aside><form><input></form><!-- c --></article><section class="comments"><p>c1</p></section><footer>f</footer></body></html>'
