@@ -8,8 +8,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, count, islice
 from pathlib import Path
 
 import numpy as np
@@ -22,7 +23,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one numpy pass handles in a Python worker.
 CHUNK_BYTES = 2 << 20
-#: Distinct words that a worker's cache may hold before it starts anew.
+#: Distinct words that a worker's cache may hold before all but its often used ones go.
 CACHE_WORDS = 250_000
 #: Rows that travel to a Python worker at once: texts are long, and a batch is held twice.
 BATCH_ROWS = 500
@@ -159,57 +160,97 @@ class Grow:
         self.a[self.n : self.n + len(x)] = x
         self.n += len(x)
 
+    def keep(self, at: np.ndarray) -> None:
+        """Only the rows ``at`` stay, in that order."""
+        self.a = self.a[at] if len(at) else self.a[:1024]
+        self.n = len(at)
+
 
 class WordCache:
     """Numbers words; ``build`` is called once for each word that is not yet known.
 
-    The cache is emptied before a chunk when it holds more than CACHE_WORDS words, so
-    its memory is bounded and its results never depend on it.
+    When it holds more than CACHE_WORDS words, those that came up only once go, and of the
+    others at most half of CACHE_WORDS stay, the most used first (an older use counts half
+    of a later one).  So its memory is bounded, frequent words are built once however long
+    a task runs, and results never depend on it.  ``keep`` drops the values of all words
+    but those at the given numbers.
     """
 
-    def __init__(self, build: Callable[[list[bytes]], None], reset: Callable[[], None]):
-        self.ids: dict[bytes, int] = {}
-        self.build, self.reset = build, reset
+    def __init__(self, build: Callable[[list[bytes]], None], reset: Callable[[], None], keep: Callable[[np.ndarray], None]):
+        self.ids: dict[bytes, int] = defaultdict(count().__next__)
+        self.build, self.keep = build, keep
+        self.uses = Grow(np.float32)
         reset()
 
+    def _age(self) -> None:
+        uses = self.uses.a[: self.uses.n]
+        at = np.flatnonzero(uses >= 2)
+        if len(at) > CACHE_WORDS // 2:
+            at = np.sort(at[np.argsort(-uses[at], kind="stable")[: CACHE_WORDS // 2]])
+        words = list(self.ids)
+        self.ids = defaultdict(count(len(at)).__next__, ((words[i], k) for k, i in enumerate(at.tolist())))
+        self.uses.keep(at)
+        self.uses.a[: self.uses.n] /= 2
+        self.keep(at)
+
     def number(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """The words' numbers, one document after the other, and where each document begins."""
         counts = np.fromiter(map(len, docs), np.int64, len(docs))
         offsets = np.concatenate(([0], np.cumsum(counts)))
         if len(self.ids) > CACHE_WORDS:
-            self.ids = {}
-            self.reset()
-        ids = self.ids
+            self._age()
         words = list(chain.from_iterable(docs))
-        if new := [w for w in dict.fromkeys(words) if w not in ids]:
+        known = len(self.ids)
+        at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        if len(self.ids) > known:  # a word not seen before got the next number
+            new = list(islice(self.ids, known, None))
             self.build(new)
-            ids.update(zip(new, range(len(ids), len(ids) + len(new))))
-        return np.fromiter(map(ids.__getitem__, words), np.int64, len(words)), offsets
+            self.uses.extend(np.zeros(len(new), np.float32))
+        self.uses.a[: self.uses.n] += np.bincount(at, minlength=self.uses.n)
+        return at, offsets
 
 
 class RaggedCache:
-    """A word cache whose value for each word is an array of ids."""
+    """A word cache whose value for each word is an array of ids.
+
+    ``encode`` gives the ids of many words in a row and how many each word has.
+    """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
-        self.cache = WordCache(self._build, self._reset)
+        self.cache = WordCache(self._build, self._reset, self._keep)
 
     def _reset(self) -> None:
         self.values, self.starts, self.lens = Grow(np.int32), Grow(np.int64), Grow(np.int64)
 
+    def _keep(self, at: np.ndarray) -> None:
+        values, lens = self._gather(at)
+        self._reset()
+        self._add(values, lens)
+
+    def _add(self, values: np.ndarray, lens: np.ndarray) -> None:
+        self.starts.extend(self.values.n + np.cumsum(lens) - lens)
+        self.lens.extend(lens)
+        self.values.extend(values)
+
     def _build(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 20_000):
-            lists = self.encode(words[i : i + 20_000])
-            lens = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.starts.extend(self.values.n + np.cumsum(lens) - lens)
-            self.lens.extend(lens)
-            self.values.extend(np.fromiter(chain.from_iterable(lists), np.int32, int(lens.sum())))
+            self._add(*self.encode(words[i : i + 20_000]))
 
-    def tokens(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Token ids of all documents in a row, where each document's begin, and the same of word numbers."""
-        at, offsets = self.cache.number(docs)
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lens = self.lens.a[at]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
-        pos = np.repeat(self.starts.a[at] - (ends - lens), lens) + np.arange(total)
-        return self.values.a[pos], np.concatenate(([0], ends))[offsets], at, offsets
+        return self.values.a[np.repeat(self.starts.a[at] - (ends - lens), lens) + np.arange(total)], lens
+
+    def tokens(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids of all documents in a row, where each document's begin, and the same of word numbers."""
+        at, offsets = self.cache.number(docs)
+        values, lens = self._gather(at)
+        return values, np.concatenate(([0], np.cumsum(lens)))[offsets], at, offsets
+
+
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array, and their lengths."""
+    lens = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(lens.sum())), lens

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RaggedCache, chunked, ship, ship_file, shipped_file
+from .common import RaggedCache, chunked, flat, ship, ship_file, shipped_file
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -95,7 +95,7 @@ def piece_encoder(path: str):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    encode = lambda words: sp.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
+    encode = lambda words: flat(sp.encode([w.decode("utf-8", "replace") for w in words], num_threads=1))
     return encode, np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
 
 

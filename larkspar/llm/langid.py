@@ -209,7 +209,7 @@ def has_letter(text: bytes) -> bool:
 class Labeller:
     def __init__(self, model: Model):
         self.model = model
-        self.cache = WordCache(self._build, self._reset)
+        self.cache = WordCache(self._build, self._reset, lambda at: (self.sums.keep(at), self.places.keep(at)))
 
     def _reset(self) -> None:
         self.sums, self.places = Grow(np.float32, len(self.model.langs)), Grow(np.int64)

@@ -59,7 +59,7 @@ class Shingler:
 
     def __init__(self, size: int):
         self.size = size
-        self.cache = WordCache(self._build, self._reset)
+        self.cache = WordCache(self._build, self._reset, lambda at: self.hashes.keep(at))
 
     def _reset(self) -> None:
         self.hashes = Grow(np.uint64)

@@ -1,16 +1,19 @@
 """Sum-of-squares online packing of token sequences.
 
 A document (its ids and an end id) longer than a window fills whole windows; what remains
-is placed online: of all fill levels with an open window that still has room, and an
-empty window, the one is chosen that leaves the least sum of squared counts of partially
-filled windows.  The counts live in an array by level, so a placement costs one pass over
-the levels whatever the number of windows.
-
-Each input partition packs by itself, in one pass and without a shuffle.  At its end,
-open windows that lack more than 1/64 of their length are joined and cut anew into full
-windows; the last of them is cut into sequences of power-of-two lengths, which need no
-padding.  Sequence ids carry the partition's number in their high bits, so they are
-unique and a repeated task gives the same ids.
+is placed online.  Partially filled windows are counted in an array of LEVELS fill levels,
+and a piece goes where the sum of the squared counts becomes least: whole into the window
+on top of some level, into an empty window, or, as documents may be cut, with its first
+part filling such a window to the last token and the rest placed again in the same way.
+A cut counts CUT more.  A placement looks at each level once, whatever the number of
+windows, and as two windows of one level cost more than a cut, about as many windows as
+levels stay open.
+
+Each input partition packs by itself, in one pass and without a shuffle.  At its end the
+pieces in open windows are placed once more by the same rule, the longest first, with an
+empty window only where none is open.  The last window is cut into sequences of
+power-of-two lengths, which need no padding.  Sequence ids carry the partition's number in
+their high bits, so they are unique and a repeated task gives the same ids.
 
 Null text: the end id alone.  Empty tables give no rows.  Repeated rows are packed as
 often as they come.  Very long texts are tokenised word by word and never cut short.
@@ -26,29 +29,28 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RaggedCache, chunked, ship, ship_file, shipped_file
+from .common import RaggedCache, chunked, flat, ship, ship_file, shipped_file
 
 WINDOW, END_ID = 2048, 1
-#: Open windows of a task beyond which they are joined and cut anew.
-OPEN_WINDOWS = 20_000
+#: Fill levels of a window, and what a cut adds to the sum of squares.
+LEVELS, CUT = 32, 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 #: ASCII punctuation that may end a word; no apostrophe, which can begin a token of its own.
 TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-LETTER = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-#: Words whose ids an encoder keeps before it starts anew.
-ENCODED_WORDS = 400_000
+#: Words that are encoded in one call.
+BULK = 200
 
 
 def word_encoder(path: str):
     """Encodes single words with a file of the tokenizers library.
 
     This tokenizer lower-cases, drops white space and splits letters from punctuation
-    before it merges, so a text's ids are those of its words in a row, and a word of
-    letters with punctuation behind it has the ids of its lower-cased letters, then those
-    of the punctuation.  Each such part is encoded once; parts of letters alone are one
-    merge unit each and are encoded many at a time, cut apart at the ids that end a unit.
+    before it merges, so a text's ids are those of its words in a row.  A word of letters
+    is one merge unit, with punctuation behind it two; such words are encoded many at a
+    time and cut apart at the ids that end a unit.  Where the number of units is not the
+    one expected, and for all other words, each word is encoded by itself.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -59,46 +61,37 @@ def word_encoder(path: str):
     vocabulary = t.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-    known: dict[bytes, list[int]] = {}
-
-    def learn(parts: list[bytes]) -> None:
-        plain, rest = [], []
-        texts = b"\n".join(parts).decode("utf-8", "replace").split("\n") if parts else []
-        for p, x in zip(parts, texts, strict=True):
-            (plain if x.isalpha() else rest).append((p, x))
-        for i in range(0, len(plain), 200):
-            some = plain[i : i + 200]
-            ids = np.array(t.encode(" ".join(x for _, x in some), add_special_tokens=False).ids)
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        cores = [w.rstrip(TAIL) for w in words]
+        texts = b"\n".join(cores).decode("utf-8", "replace").split("\n")
+        whole = b"\n".join(words).decode("utf-8", "replace").split("\n")
+        units = np.fromiter(((2 if len(c) != len(w) else 1) if x.isalpha() else 0 for c, w, x in zip(cores, words, texts, strict=True)), np.int64, len(words))
+        for k in [k for k, w in enumerate(words) if b"<|" in w]:
+            units[k] = 0
+        plain = np.flatnonzero(units)
+        lens, starts, parts, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        odd = np.flatnonzero(units == 0).tolist()
+        for i in range(0, len(plain), BULK):
+            some = plain[i : i + BULK]
+            ids = np.array(t.encode(" ".join([whole[k] for k in some.tolist()]), add_special_tokens=False).ids, np.int32)
             cuts = np.flatnonzero(ends[ids]) + 1
-            if len(cuts) == len(some) and cuts[-1] == len(ids):
-                ids, cuts = ids.tolist(), cuts.tolist()
-                known.update((p, ids[a:b]) for (p, _), a, b in zip(some, [0, *cuts], cuts))
-            else:
-                rest += some
-        if rest:
-            known.update(zip((p for p, _ in rest), (e.ids for e in t.encode_batch_fast([x for _, x in rest], add_special_tokens=False)), strict=True))
-
-    def slow_split(word: bytes, core: bytes) -> bytes:
-        last = core[-4:].decode("utf-8", "replace")[-1:]
-        return core if last.lower()[-1:].isalpha() else word
-
-    def encode(words: list[bytes]) -> list[list[int]]:
-        if len(known) > ENCODED_WORDS:
-            known.clear()
-        firsts, tails = [], []
-        for w in words:
-            c = w.rstrip(TAIL)
-            if len(c) != len(w):
-                if not c or b"<|" in w:
-                    c = w
-                elif c[-1] not in LETTER:
-                    c = slow_split(w, c) if c[-1] >= 128 else w
-            firsts.append(c.lower() if c.isalpha() else c)
-            tails.append(w[len(c) :])
-        learn([p for p in dict.fromkeys(firsts + tails) if p and p not in known])
-        known[b""] = []
-        look = known.__getitem__
-        return [look(a) + look(b) if b else look(a) for a, b in zip(firsts, tails)]
+            upto = np.cumsum(units[some])
+            if len(cuts) != upto[-1] or cuts[-1] != len(ids):
+                odd += some.tolist()
+                continue
+            stop = cuts[upto - 1]
+            begin = np.concatenate(([0], stop[:-1]))
+            lens[some], starts[some] = stop - begin, at + begin
+            parts.append(ids)
+            at += len(ids)
+        if odd:
+            values, n = flat([e.ids for e in t.encode_batch_fast([whole[k] for k in odd], add_special_tokens=False)])
+            lens[odd], starts[odd] = n, at + np.cumsum(n) - n
+            parts.append(values)
+        values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        upto = np.cumsum(lens)
+        return values[np.repeat(starts - (upto - lens), lens) + np.arange(int(lens.sum()))], lens
 
     return encode
 
@@ -116,13 +109,17 @@ def worker_cache(path: str) -> RaggedCache:
 class SumOfSquares:
     """Packs pieces (doc_id, start, ids, doc_tokens); closed windows come out of :meth:`closed`."""
 
-    def __init__(self, window: int = WINDOW, first_sequence: int = 0):
+    def __init__(self, window: int = WINDOW, first_sequence: int = 0, levels: int = LEVELS):
         self.window, self.next = window, first_sequence
-        self.count = np.zeros(window + 1, np.int64)
-        self.open: list[list[list]] = [[] for _ in range(window + 1)]
-        self.n_open = 0
+        self.grain = -(-window // levels)
+        self.count = [0] * (levels + 1)
+        #: by level: windows as [tokens, pieces]
+        self.open: list[list[list]] = [[] for _ in self.count]
         self.out: list[tuple] = []
 
+    def level(self, tokens: int) -> int:
+        return -(-tokens // self.grain)
+
     def add(self, doc_id, ids: np.ndarray) -> None:
         n = len(ids)
         full = n - n % self.window
@@ -130,30 +127,44 @@ class SumOfSquares:
             self._close([(doc_id, at, ids[at : at + self.window], n)])
         if n > full:
             self._place((doc_id, full, ids[full:], n))
-        if self.n_open > OPEN_WINDOWS:
-            self.flush()
-
-    def _place(self, piece: tuple) -> None:
-        n, w = len(piece[2]), self.window
-        # change of the sum of squares if the piece goes to level h (0: a new window)
-        change = 2 * self.count[n : w + 1] + 1
-        change[-1] = 0  # a full window is not counted
-        change[1:] -= 2 * self.count[1 : w - n + 1] - 1
-        change[1:][self.count[1 : w - n + 1] == 0] = np.iinfo(np.int64).max
-        h = int(change.argmin())
-        if h:
-            target = self.open[h].pop()
-            self.count[h] -= 1
-            self.n_open -= 1
-        else:
-            target = []
-        target.append(piece)
-        if h + n == w:
-            self._close(target)
-        else:
-            self.open[h + n].append(target)
-            self.count[h + n] += 1
-            self.n_open += 1
+
+    def choose(self, n: int, fresh: bool = True) -> int:
+        """The level whose top window takes a piece of n tokens; 0: an empty window (if ``fresh``)."""
+        w, count = self.window, self.count
+        best, least = 0, 2 * count[self.level(n)] + 1 if fresh else None
+        for h, windows in enumerate(self.open):
+            if not windows:
+                continue
+            total = windows[-1][0] + n
+            change = 1 - 2 * count[h]
+            if total != w:
+                to = self.level(total if total < w else total - w)
+                change += 2 * (count[to] - (to == h)) + 1
+            if total > w:
+                change += CUT
+            if least is None or change < least:
+                best, least = h, change
+        return best
+
+    def _place(self, piece: tuple, fresh: bool = True) -> None:
+        doc_id, start, ids, total = piece
+        while len(ids):
+            h = self.choose(len(ids), fresh)
+            if h:
+                target = self.open[h].pop()
+                self.count[h] -= 1
+            else:
+                target = [0, []]
+            room = self.window - target[0]
+            target[1].append((doc_id, start, ids[:room], total))
+            target[0] += min(len(ids), room)
+            start, ids = start + room, ids[room:]
+            if target[0] == self.window:
+                self._close(target[1])
+            else:
+                level = self.level(target[0])
+                self.open[level].append(target)
+                self.count[level] += 1
 
     def _close(self, pieces: list[tuple]) -> None:
         at = 0
@@ -163,23 +174,20 @@ class SumOfSquares:
         self.next += 1
 
     def flush(self) -> None:
-        """Close all windows: nearly full ones as they are, the others cut anew."""
-        w = self.window
-        rest: list[tuple] = []
-        for level in range(w, 0, -1):
-            for pieces in self.open[level]:
-                if w - level <= w // 64:
-                    self._close(pieces)
-                else:
-                    rest += pieces
-            self.open[level] = []
-        self.count[:] = 0
-        self.n_open = 0
-        total = sum(len(p[2]) for p in rest)
-        sizes = [w] * (total // w) + [1 << b for b in range(w.bit_length(), -1, -1) if (total % w) >> b & 1]
+        """Place what is in open windows again, an empty window only where none is open, and close the last."""
+        rest = [piece for windows in self.open for _, pieces in windows for piece in pieces]
+        self.count = [0] * len(self.count)
+        self.open = [[] for _ in self.count]
+        for piece in sorted(rest, key=lambda p: -len(p[2])):
+            self._place(piece, fresh=not any(self.count))
+        last = [piece for windows in self.open for _, pieces in windows for piece in pieces]
+        self.open = [[] for _ in self.count]
+        self.count = [0] * len(self.count)
+        total = sum(len(p[2]) for p in last)
+        sizes = [1 << b for b in range(total.bit_length(), -1, -1) if total >> b & 1]
         fill: list[tuple] = []
         room = sizes.pop(0) if sizes else 0
-        for doc_id, start, ids, n in rest:
+        for doc_id, start, ids, n in last:
             while len(ids):
                 cut = min(room, len(ids))
                 fill.append((doc_id, start, ids[:cut], n))

@@ -343,7 +343,7 @@ VALUE = re.compile(rb"[A-Za-z0-9](?:[^\"'\x20]*[A-Za-z0-9])?")
 class Finder:
     def __init__(self, field: Field):
         self.field = field
-        self.cache = WordCache(self._build, self._reset)
+        self.cache = WordCache(self._build, self._reset, lambda at: (self.emission.keep(at), self.anchor.keep(at)))
 
     def _reset(self) -> None:
         self.emission, self.anchor = Grow(np.float64, len(TAGS)), Grow(np.bool_)

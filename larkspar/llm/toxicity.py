@@ -157,7 +157,7 @@ def train(texts: list[bytes], labels: list[int], prior: float | None = None, ste
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.cache = WordCache(self._build, self._reset)
+        self.cache = WordCache(self._build, self._reset, lambda at: (self.sums.keep(at), self.counts.keep(at)))
 
     def _reset(self) -> None:
         self.sums, self.counts = Grow(np.float64), Grow(np.float64)

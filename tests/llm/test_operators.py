@@ -189,22 +189,66 @@ def test_packing_round_trip(spark):
 
 def test_sum_of_squares_choice_by_brute_force():
     r = np.random.default_rng(3)
-    p = packing.SumOfSquares(window=40)
-    levels = Counter()
+    w, levels = 40, 8
+    p = packing.SumOfSquares(window=w, levels=levels)
+    stacks = [[] for _ in range(levels + 1)]  # fills of the open windows by level
+    level = lambda fill: -(-fill * levels // w)
+    total = 0
     for k in range(600):
-        n = int(r.integers(1, 40))
-        best = min([0, *[h for h in levels if levels[h] and h + n <= 40]], key=lambda h: (sum(c * c for c in (levels + Counter({h + n: 1} if h + n < 40 else {}) - Counter({h: 1} if h else {})).values()), h))
+        n = int(r.integers(1, 120))
         p.add(k, np.full(n, 5, np.int32))
-        if best:
-            levels[best] -= 1
-        if best + n < 40:
-            levels[best + n] += 1
-        assert {h: int(c) for h, c in enumerate(p.count) if c} == {h: c for h, c in levels.items() if c}
+        total += n
+        rest = n % w
+        while rest:
+            options = []
+            for h in range(levels + 1):
+                if h and not stacks[h]:
+                    continue
+                after = [len(x) for x in stacks]
+                fill = rest
+                if h:
+                    after[h] -= 1
+                    fill += stacks[h][-1]
+                if fill % w:
+                    after[level(fill % w)] += 1
+                options.append((sum(c * c for c in after) + (packing.CUT if fill > w else 0), h))
+            h = min(options)[1]
+            fill = rest + (stacks[h].pop() if h else 0)
+            rest = max(fill - w, 0)
+            if fill < w:
+                stacks[level(fill)].append(fill)
+        assert p.count == [len(x) for x in stacks]
+    left = sum(map(sum, stacks))
+    assert left < 3 * levels * w
     p.flush()
-    by = defaultdict(int)
+    by, pieces = defaultdict(int), defaultdict(list)
     for row in p.closed():
         by[row[5]] += row[2]
-    assert sum(0 if x & (x - 1) == 0 else 40 - x for x in by.values()) <= 0.02 * sum(by.values())
+        pieces[row[0]].append((row[1], row[2], row[4]))
+    assert sum(by.values()) == total and all(x == w or x & (x - 1) == 0 for x in by.values())
+    for parts in pieces.values():  # each token lies in exactly one piece
+        parts.sort()
+        assert [a for a, *_ in parts] == [0, *np.cumsum([n for _, n, _ in parts])[:-1]] and sum(n for _, n, _ in parts) == parts[0][2]
+
+
+def test_word_cache_keeps_frequent_words(monkeypatch):
+    from larkspar.llm import common
+
+    monkeypatch.setattr(common, "CACHE_WORDS", 300)
+    built = Counter()
+
+    def encode(words):
+        built.update(words)
+        return common.flat([[len(w)] * (len(w) % 4) + [int(w[1:])] for w in words])
+
+    cache = common.RaggedCache(encode)
+    for k in range(40):
+        docs = [[b"w%d" % (i % 40) for i in range(120)], [], [b"x%d" % i for i in range(100 * k, 100 * k + 100)]]
+        tokens, begin, _, _ = cache.tokens(docs)
+        for d, words in enumerate(docs):
+            assert tokens[begin[d] : begin[d + 1]].tolist() == [x for w in words for x in [len(w)] * (len(w) % 4) + [int(w[1:])]]
+        assert len(cache.cache.ids) <= 300 + 140
+    assert all(built[b"w%d" % i] == 1 for i in range(40))
 
 
 # ---- 6 language ----------------------------------------------------------------------
