@@ -92,18 +92,28 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        for name in names:
+        for name in self.names & {*names}:
+            self.names.discard(name)
             p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def result(self, df: DataFrame) -> DataFrame:
+        """The table, written; all others are dropped."""
+        others = tuple(self.names)
+        df = self.write(df, "result")
+        self.drop(*others)
+        return df
+
 
 def few(df: DataFrame) -> DataFrame:
     """The table, marked for broadcast if it has at most BROADCAST_ROWS rows."""

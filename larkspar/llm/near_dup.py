@@ -4,27 +4,35 @@
    of BANDS x ROWS bins and each bin keeps its least hash; an empty bin borrows from the
    first filled bin in an order of its own (optimal densification: the orders are fixed
    random permutations, the same for all documents).  ROWS bins make one band key.
-2. Documents with the same shingle set are one class; only its representative (the
-   least doc_id) goes on, so exact copies never pair up.
+2. Documents with the same shingle set are one class, named by the set's digest; only one
+   row of each (with its least doc_id) goes on, so exact copies never pair up.
 3. In each bucket every member points to the bucket's least member: a star, so a bucket
    of n members has n - 1 candidate edges.  Of its stars a member first keeps the one it
    meets most often.  Edges are confirmed on full shingle sets, then components follow by
    alternating large-star and small-star steps.
 4. Buckets whose members are still in different components hold pairs that no star has
-   tested.  These are compared in blocks inside tasks (never as joined rows): sizes and
-   sketches rule out most; documents that stay form candidate groups, whose pairs are
-   compared on full sets, again in blocks.  Each search returns a spanning forest, so
-   rows grow with the documents and not with their pairs.  So no cap on bucket sizes is needed, and no pair that shares a bucket is
-   left out unless it is connected already.
+   tested.  Of buckets with the same members one goes on.  Its members are compared in
+   blocks inside tasks (never as joined rows); members of its largest component are not
+   dealt to each other.  Sizes and sketches rule out most pairs; documents that stay form
+   candidate groups, whose pairs are compared on full sets, again in blocks.  Each search
+   returns a spanning forest of stars.  So no cap on bucket sizes is needed, and no pair
+   that shares a bucket is left out unless it is connected already.
+
+Rows dealt in step 4: a block has a quarter of a bucket, within LEAST_BLOCK and MOST_BLOCK
+members, so a member is dealt about four times in buckets of up to 4 x MOST_BLOCK members,
+and once for every MOST_BLOCK members in larger ones that are not connected by stars.  The
+comparisons themselves (in numpy, in the tasks) grow with the square of such a bucket.
 
 A pair at the threshold of 85 % misses all 40 bands of 6 rows with a chance below 1e-8
-(80 %: below 1e-5).  Sketches are compared only for sets of SKETCH_FROM shingles or more
-and rule a pair out at MARGIN below the threshold, seven standard deviations away.
+(80 %: below 1e-5) if its sets fill most bins; small sets fill few and miss more often.
+Sketches are compared only for sets of SKETCH_FROM shingles or more and rule a pair out at
+MARGIN below the threshold, seven standard deviations away.
 
 Null, empty or blank texts have an empty set and are linked with nothing; texts of fewer
-words than a shingle are one shingle.  Rows with a null doc_id make classes like any other
-but represent none; without another id their component_id is null.  Repeated rows fall
-into one class.  An empty table gives no rows; other columns are ignored.
+words than a shingle are one shingle.  Rows with a null doc_id link like any other but are
+never the least; a component of such rows alone has a null component_id.  Rows that repeat
+a doc_id with another text are nodes of their own.  Repeated rows fall into one class.  An
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,18 +41,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Grow, Scratch, WordCache, chunked, few, ship, trim
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
-#: Members of a bucket that are compared with each other in one go.
-BLOCK = 512
+#: Members of a block, bytes of full sets in one, and members that one matrix product compares.
+LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES, TILE = 128, 4096, 32 << 20, 256
 SKETCH_FROM, MARGIN = 200, 0.2
-SIGNATURE = "doc_id long, n_shingles long, set_id binary, keys array<long>, sketch binary"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_id binary, keys array<long>, sketch binary"
 M1, M2, M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,6 +135,10 @@ class Signer:
         return key.view(np.int64)
 
 
+def set_digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def _sign(size: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -143,7 +154,7 @@ def _sign(size: int):
             sketch = mix(signatures).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), pa.array(lens), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
+                    part.column(0), part.column(2), pa.array(lens), pa.array([set_digest(x) if len(x) else None for x in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel())), pa.array([s.tobytes() if k else None for s, k in zip(sketch, some, strict=True)], pa.binary()),
                 ],
                 names=[c.split()[0] for c in SIGNATURE.split(", ")],
@@ -158,7 +169,8 @@ def _sets(size: int):
 
         shingler = Shingler(size)
         for part, texts in chunked(batches, 1):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in shingler.sets(texts)], pa.binary())], names=["node", "hashes"])
+            sets = shingler.sets(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "hashes"])
 
     return run
 
@@ -196,11 +208,11 @@ def _join_labels(label: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
 
 def _alike(g: dict, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of different components that are alike in size and sketch."""
-    node, comp, n, sketch, side = g["node"], g["comp"], g["n"], g["sketch"], g["side"]
+    comp, n, sketch, side = g["comp"], g["n"], g["sketch"], g["side"]
     right = np.flatnonzero(side != 0)
-    label = np.arange(len(node))
+    label = np.arange(len(comp))
     out = []
-    for i in np.flatnonzero(side != 1):
+    for i in np.flatnonzero(side != 1).tolist():
         at = right[(label[right] != label[i]) & (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
         if not len(at):
             continue
@@ -208,40 +220,55 @@ def _alike(g: dict, percent: int) -> list[tuple[int, int]]:
         like = ((sketch[at] == sketch[i]).mean(1) - 1 / 256) / (1 - 1 / 256)
         at = at[(np.minimum(n[at], n[i]) < SKETCH_FROM) | (like >= percent / 100 - MARGIN)]
         if len(at):
-            out += [(int(node[i]), int(node[j])) for j in _join_labels(label, i, at)]
+            out += [(i, j) for j in _join_labels(label, i, at).tolist()]
     return out
 
 
-def _linked(g: dict, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of different components that hold on full sets.
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, as products of 0-1 matrices of documents and shingles."""
+    every = np.unique(np.concatenate(left))
+    out = np.zeros((len(left), len(right)), np.float32)
+
+    def cells(sets):
+        owner, x = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(every, x), len(every) - 1)
+        ok = every[at] == x
+        order = np.argsort(at[ok], kind="stable")
+        return owner[ok][order], at[ok][order]
+
+    (a_owner, a), (b_owner, b) = cells(left), cells(right)
+    for low in range(0, len(every), 8192):
+        ms = []
+        for owner, at, sets in ((a_owner, a, left), (b_owner, b, right)):
+            i, j = np.searchsorted(at, (low, low + 8192))
+            m = np.zeros((len(sets), 8192), np.float32)
+            m[owner[i:j], at[i:j] - low] = 1
+            ms.append(m)
+        out += ms[0] @ ms[1].T
+    return out
 
-    Intersections of all pairs are products of the 0-1 matrix of documents and the shingles
-    that more than one of them has.
-    """
-    node, side = g["node"], g["side"]
+
+def _linked(g: dict, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of different components that hold on full sets."""
+    side, label = g["side"], g["comp"].copy()
     sets = [np.frombuffer(x, np.uint64) for x in g["hashes"]]
-    size = np.array([len(x) for x in sets])
-    every, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), size)
-    column = np.cumsum(times > 1) - 1
-    shared = times[at] > 1
-    owner, at = owner[shared], column[at[shared]]
-    order = np.argsort(at, kind="stable")
-    owner, at = owner[order], at[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for low in range(0, int(column[-1]) + 1, 8192):
-        a, b = np.searchsorted(at, (low, low + 8192))
-        m = np.zeros((len(sets), 8192), np.float32)
-        m[owner[a:b], at[a:b] - low] = 1
-        both += m @ m.T
-    _, label = np.unique(g["comp"], return_inverse=True)
-    right = np.flatnonzero(side != 0)
+    n = np.array([len(x) for x in sets])
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     out = []
-    for i in np.flatnonzero(side != 1):
-        near = right[label[right] != label[i]]
-        near = near[100 * both[i, near] >= percent * (size[i] + size[near] - both[i, near])]
-        if len(near):
-            out += [(int(node[i]), int(node[j])) for j in _join_labels(label, i, near)]
+    for a in range(0, len(left), TILE):
+        rows = left[a : a + TILE]
+        for b in range(0, len(right), TILE):
+            cols = right[b : b + TILE]
+            open_ = (label[rows][:, None] != label[cols][None, :]) & (100 * np.minimum(n[rows][:, None], n[cols][None, :]) >= percent * np.maximum(n[rows][:, None], n[cols][None, :]))
+            r, c = rows[open_.any(1)], cols[open_.any(0)]
+            if not len(r):
+                continue
+            both = _shared([sets[i] for i in r], [sets[j] for j in c])
+            holds = 100 * both >= percent * (n[r][:, None] + n[c][None, :] - both)
+            for i, ok in zip(r.tolist(), holds, strict=True):
+                near = c[ok & (label[c] != label[i])]
+                if len(near):
+                    out += [(i, j) for j in _join_labels(label, i, near).tolist()]
     return out
 
 
@@ -263,10 +290,16 @@ def _by_group(forest, percent: int, last: str):
             return g
 
         def emit(g):
+            g["comp"] = np.unique(g["comp"], return_inverse=True)[1]
             cut = np.flatnonzero((np.diff(g["key"]) != 0) | (np.diff(g["bi"]) != 0) | (np.diff(g["bj"]) != 0)) + 1
-            found = [pair for a, b in zip([0, *cut], [*cut, len(g["key"])]) for pair in forest({k: v[a:b] for k, v in g.items()}, percent)]
-            pairs = sorted({(min(p), max(p)) for p in found if p[0] != p[1]})
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+            pairs = set()
+            for a, b in zip([0, *cut], [*cut, len(g["key"])]):
+                node = g["node"][a:b]
+                for i, j in forest({k: v[a:b] for k, v in g.items()}, percent):
+                    if node[i] != node[j]:
+                        pairs.add((min(node[i], node[j]), max(node[i], node[j])))
+            found = sorted(pairs)
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], names=["a", "b"])
 
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
@@ -286,6 +319,9 @@ def _by_group(forest, percent: int, last: str):
     return run
 
 
+PAIRS = "a binary, b binary"
+
+
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """(node, comp): the least node reachable, for all nodes of the edges (a, b).
 
@@ -314,68 +350,79 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
 
 
 def groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+    """(doc_id, n_shingles, component_id, kept, text_hash) of every row; text_hash is xxhash64 of the text."""
     spark = df.sparkSession
     ship(spark)
-    d = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     signed = scratch.write(d.mapInArrow(_sign(shingle), SIGNATURE), "signed")
-    classes = signed.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows"))
-    classes = scratch.write(classes, "classes")
-    copies = classes.filter("rows > 1").select("set_id", "node")
-    # representatives: rows that are no copy of an earlier one
+    filled = signed.filter("set_id is not null")
+    copies = filled.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1").select("set_id", "least")
+    copies = scratch.write(copies, "copies")
     c = few(copies)
-    alone = signed.filter("set_id is not null and doc_id is not null").join(c, "set_id", "left").filter("node is null or node = doc_id").select("doc_id", "n_shingles", "keys", "sketch")
-    nodes = scratch.write(alone.withColumnRenamed("doc_id", "node"), "nodes")
+    columns = [F.col("set_id").alias("node"), "doc_id", "text_hash", "n_shingles", "keys", "sketch"]
+    first = filled.join(c, "set_id").filter("doc_id <=> least").dropDuplicates(["set_id"]).select(*columns)
+    nodes = scratch.write(filled.join(c, "set_id", "left_anti").select(*columns).unionByName(first), "nodes")
     members = nodes.select("node", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("k")).filter("k > 1").select("key", "centre")
-    buckets = scratch.write(members.join(shared, "key").distinct(), "buckets")
-    stars = buckets.filter("node != centre").groupBy("node", "centre").agg(F.count("*").alias("k"))
-    most = Window.partitionBy("node").orderBy(F.desc("k"), "centre")
-    first = stars.withColumn("rank", F.row_number().over(most)).filter("rank = 1").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    edges = _confirmed(d, scratch.write(first, "stars"), scratch, shingle, percent)
+    buckets = scratch.write(members.join(shared, "key"), "buckets")
+    stars = buckets.filter("node != centre").groupBy("node", "centre").agg((-F.count("*")).alias("k"))
+    stars = scratch.write(stars.groupBy("node").agg(F.min(F.struct("k", "centre")).alias("most")).select(F.col("most.centre").alias("a"), F.col("node").alias("b")), "stars")
+    edges = _confirmed(d, stars, nodes, scratch, shingle, percent)
     comps = components(edges, scratch, "first")
     more = _residual(d, buckets, nodes, comps, scratch, shingle, percent)
     if not more.isEmpty():
         all_edges = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)
         comps = components(all_edges, scratch, "second")
-    scratch.drop("buckets", "nodes")
-    ids = signed.select("doc_id", "n_shingles", "set_id")
-    out = ids.join(few(copies), "set_id", "left").withColumn("node", F.coalesce("node", "doc_id"))
-    out = out.join(few(comps), "node", "left")
-    component = F.coalesce("comp", "node")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    comps = comps.unionByName(comps.select(F.col("comp").alias("node"), "comp").distinct())
+    named = few(comps).join(nodes.select("node", "doc_id"), "node").select("node", "comp", "doc_id")
+    least = scratch.write(named.groupBy("comp").agg(F.min("doc_id").alias("component")), "least")
+    labels = few(scratch.write(comps.join(few(least), "comp").select(F.col("node").alias("set_id"), "component"), "labels"))
+    out = signed.select("doc_id", "text_hash", "n_shingles", "set_id").join(c, "set_id", "left").join(labels, "set_id", "left")
+    component = F.coalesce("component", "least", "doc_id")
+    return scratch.result(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash"))
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, label: str, shingle: int) -> DataFrame:
-    """(node, hashes) of the wanted documents, which are shingled again."""
-    wanted = few(scratch.write(wanted.distinct(), f"wanted_{label}"))
-    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return scratch.write(texts.mapInArrow(_sets(shingle), "node long, hashes binary"), f"sets_{label}")
+def _full_sets(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, scratch: Scratch, label: str, shingle: int) -> DataFrame:
+    """(node, hashes) of the wanted nodes, whose texts are shingled again."""
+    rows = few(wanted.distinct()).join(nodes.select("node", "doc_id", "text_hash"), "node")
+    rows = few(scratch.write(rows.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")), f"wanted_{label}"))
+    texts = docs.join(rows, docs["doc_id"].eqNullSafe(rows["i"]) & (docs["text_hash"] == rows["h"]), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return scratch.write(texts.mapInArrow(_sets(shingle), "node binary, hashes binary"), f"sets_{label}")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
+def _confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
     """The star edges (a, b) that hold on full sets."""
-    sets = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), scratch, "stars", shingle)
+    sets = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, scratch, "stars", shingle)
     a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-    found = scratch.write(joined.mapInArrow(_confirm(percent), "a long, b long").distinct(), "edges")
-    scratch.drop("sets_stars", "wanted_stars")
+    found = scratch.write(joined.mapInArrow(_confirm(percent), PAIRS).distinct(), "edges")
+    scratch.drop("sets_stars", "wanted_stars", "stars")
     return found
 
 
-def _in_blocks(rows: DataFrame, counts: DataFrame, block: int, last: str) -> DataFrame:
-    """Rows of (key, node, comp, n, last) dealt to all pairs of blocks of their key, sorted by them.
+def _in_blocks(rows: DataFrame, block: Column, last: str) -> DataFrame:
+    """Rows of (key, node, comp, n, last; k, main, n_main) dealt to pairs of blocks of their key, sorted by them.
 
-    A key of k members has ceil(k / block) blocks; a member goes to each pair that its block
-    is in.  No task sees more of a key than two blocks.
+    A key has k members, n_main of them in its largest component ``main``; these have blocks
+    of their own, which are not paired with each other.  A member goes to each pair that its
+    block is in, so no task sees more of a key than two blocks.
     """
-    counts = counts.select("key", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
-    rows = rows.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    is_main = F.col("comp") == F.col("main")
+    rows = rows.withColumn("m", F.ceil(F.col("n_main") / block).cast("int")).withColumn("o", F.ceil((F.col("k") - F.col("n_main")) / block).cast("int"))
+    number = F.xxhash64("node")
+    rows = rows.withColumn("block", F.when(is_main, F.pmod(number, F.col("m"))).otherwise(F.col("m") + F.pmod(number, F.col("o"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(is_main, F.col("m")).otherwise(0), F.col("m") + F.col("o") - 1))).select(
         "key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
         F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"), "node", "comp", "n", last,
     )
-    return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "node")
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(key, k, main, n_main, h) of the keys with members in different components; h stands for the members."""
+    per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))
+    per = per.groupBy("key").agg(F.sum("c").alias("k"), F.max(F.struct("c", "comp")).alias("top"), F.sum("h").alias("h"), F.count("*").alias("comps"))
+    return per.filter("comps > 1").select("key", "k", F.col("top.comp").alias("main"), F.col("top.c").alias("n_main"), "h")
 
 
 def _residual(docs: DataFrame, buckets: DataFrame, nodes: DataFrame, comps: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
@@ -385,19 +432,23 @@ def _residual(docs: DataFrame, buckets: DataFrame, nodes: DataFrame, comps: Data
     candidate groups; all pairs of a group's documents are then compared on full sets,
     block by block.  Either search returns fewer rows than it reads.
     """
+    block = F.least(F.greatest(F.ceil(F.col("k") / 4), F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
     placed = buckets.select("key", "node").join(few(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = scratch.write(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("k")).filter("low != high")
-    rows = placed.join(mixed.select("key"), "key", "left_semi").join(nodes.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
-    alike = scratch.write(_in_blocks(rows, mixed, BLOCK, "sketch").mapInArrow(_by_group(_alike, percent, "sketch"), "a long, b long").distinct(), "alike")
+    mixed = _mixed(placed).groupBy("k", "h").agg(F.min(F.struct("key", "main", "n_main")).alias("one")).select("one.*", "k")
+    mixed = scratch.write(mixed, "mixed")
+    rows = placed.join(few(mixed), "key").join(nodes.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
+    alike = scratch.write(_in_blocks(rows, block, "sketch").mapInArrow(_by_group(_alike, percent, "sketch"), PAIRS).distinct(), "alike")
     members = components(alike, scratch, "alike_groups")
-    members = members.unionByName(members.select(F.col("comp").alias("node"), "comp").distinct()).withColumnRenamed("comp", "key")
-    members = scratch.write(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
-    sets = _full_sets(docs, members.select(F.col("node").alias("doc_id")), scratch, "alike", shingle)
-    rows = members.join(sets, "node").withColumn("n", F.octet_length("hashes").cast("long"))
-    counts = members.groupBy("key").agg(F.count("*").alias("k"))
-    return scratch.write(_in_blocks(rows, counts, BLOCK // 2, "hashes").mapInArrow(_by_group(_linked, percent, "hashes"), "a long, b long").distinct(), "more")
+    members = members.unionByName(members.select(F.col("comp").alias("node"), "comp").distinct()).select("node", F.xxhash64("comp").alias("key"))
+    members = scratch.write(members.join(few(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
+    sets = _full_sets(docs, members.select("node"), nodes, scratch, "alike", shingle).withColumn("n", F.octet_length("hashes").cast("long"))
+    total = members.select("node", "key").join(sets.select("node", "n"), "node").groupBy("key").agg(F.sum("n").alias("bytes"))
+    groups_ = few(scratch.write(_mixed(members).join(total, "key"), "groups"))
+    rows = members.join(groups_, "key").join(sets, "node")
+    by_bytes = F.greatest(F.floor(F.col("k") * F.lit(BLOCK_BYTES) / F.col("bytes")), F.lit(1))
+    return scratch.write(_in_blocks(rows, F.least(block, by_bytes), "hashes").mapInArrow(_by_group(_linked, percent, "hashes"), PAIRS).distinct(), "more")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "near_dup"))
+    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "near_dup")).drop("text_hash")

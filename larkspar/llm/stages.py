@@ -22,10 +22,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (5-word shingles, similarity 0.8)."""
+    """One document of each group of near duplicates stays (5-word shingles, similarity 0.8).
+
+    A document is a doc_id with a text, so of rows that share a doc_id each text is judged by itself.
+    """
     found = near_dup.groups(docs, Scratch(spark, "stage_near_dup"), shingle=5, percent=80)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(few(gone), docs["doc_id"] == F.col("gone"), "left_anti")
+    gone = few(found.filter("not kept").select("doc_id", "text_hash").distinct())
+    same = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
+    return docs.join(gone, same, "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
