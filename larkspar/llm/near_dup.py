@@ -4,8 +4,9 @@
    of BANDS x ROWS bins and each bin keeps its least hash; an empty bin borrows from the
    first filled bin in an order of its own (optimal densification: the orders are fixed
    random permutations, the same for all documents).  ROWS bins make one band key.
-2. Documents with the same shingle set are one class, named by the set's digest; only one
-   row of each (with its least doc_id) goes on, so exact copies never pair up.
+2. Documents with the same shingle set are one class; only one row of each (with its least
+   doc_id) goes on, so exact copies never pair up.  A class is a node, numbered by eight
+   bytes of its set's digest; sets whose numbers clash take eight others.
 3. In each bucket every member points to the bucket's least member: a star, so a bucket
    of n members has n - 1 candidate edges.  Of its stars a member first keeps the one it
    meets most often.  Edges are confirmed on full shingle sets, then components follow by
@@ -51,7 +52,7 @@ BINS = BANDS * ROWS
 #: Members of a block, bytes of full sets in one, and members that one matrix product compares.
 LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES, TILE = 128, 4096, 32 << 20, 256
 SKETCH_FROM, MARGIN = 200, 0.2
-SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_id binary, keys array<long>, sketch binary"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_id binary, node long, other long, keys array<long>, sketch binary"
 M1, M2, M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,10 +136,6 @@ class Signer:
         return key.view(np.int64)
 
 
-def set_digest(hashes: np.ndarray) -> bytes:
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-
-
 def _sign(size: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -152,9 +149,11 @@ def _sign(size: int):
             some = lens > 0
             offsets = np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)
             sketch = mix(signatures).astype(np.uint8)
+            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+            numbers = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), part.column(2), pa.array(lens), pa.array([set_digest(x) if len(x) else None for x in sets], pa.binary()),
+                    part.column(0), part.column(2), pa.array(lens), pa.array([x if k else None for x, k in zip(digests, some, strict=True)], pa.binary()), *(pa.array(numbers[:, k]) for k in (0, 1)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel())), pa.array([s.tobytes() if k else None for s, k in zip(sketch, some, strict=True)], pa.binary()),
                 ],
                 names=[c.split()[0] for c in SIGNATURE.split(", ")],
@@ -169,8 +168,7 @@ def _sets(size: int):
 
         shingler = Shingler(size)
         for part, texts in chunked(batches, 1):
-            sets = shingler.sets(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([set_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in shingler.sets(texts)], pa.binary())], names=["node", "hashes"])
 
     return run
 
@@ -294,12 +292,12 @@ def _by_group(forest, percent: int, last: str):
             cut = np.flatnonzero((np.diff(g["key"]) != 0) | (np.diff(g["bi"]) != 0) | (np.diff(g["bj"]) != 0)) + 1
             pairs = set()
             for a, b in zip([0, *cut], [*cut, len(g["key"])]):
-                node = g["node"][a:b]
+                node = g["node"][a:b].tolist()
                 for i, j in forest({k: v[a:b] for k, v in g.items()}, percent):
                     if node[i] != node[j]:
                         pairs.add((min(node[i], node[j]), max(node[i], node[j])))
             found = sorted(pairs)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
@@ -319,7 +317,7 @@ def _by_group(forest, percent: int, last: str):
     return run
 
 
-PAIRS = "a binary, b binary"
+PAIRS = "a long, b long"
 
 
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -349,19 +347,27 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
+def _signed(docs: DataFrame, shingle: int) -> DataFrame:
+    return docs.mapInArrow(_sign(shingle), SIGNATURE)
+
+
 def groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_hash) of every row; text_hash is xxhash64 of the text."""
     spark = df.sparkSession
     ship(spark)
     d = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    signed = scratch.write(d.mapInArrow(_sign(shingle), SIGNATURE), "signed")
+    signed = scratch.write(_signed(d, shingle), "signed")
     filled = signed.filter("set_id is not null")
     copies = filled.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1").select("set_id", "least")
     copies = scratch.write(copies, "copies")
     c = few(copies)
-    columns = [F.col("set_id").alias("node"), "doc_id", "text_hash", "n_shingles", "keys", "sketch"]
+    columns = ["set_id", "node", "other", "doc_id", "text_hash", "n_shingles", "keys", "sketch"]
     first = filled.join(c, "set_id").filter("doc_id <=> least").dropDuplicates(["set_id"]).select(*columns)
-    nodes = scratch.write(filled.join(c, "set_id", "left_anti").select(*columns).unionByName(first), "nodes")
+    nodes = scratch.write(filled.join(c, "set_id", "left_anti").select(*columns).unionByName(first), "numbered")
+    clash = few(scratch.write(nodes.groupBy("node").agg(F.count("*").alias("sets")).filter("sets > 1").select(F.col("node").alias("clash")), "clash"))
+    if not clash.isEmpty():
+        nodes = nodes.join(clash, nodes["node"] == clash["clash"], "left").withColumn("node", F.when(F.col("clash").isNull(), F.col("node")).otherwise(F.col("other"))).drop("clash")
+        nodes = scratch.write(nodes, "nodes")
     members = nodes.select("node", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("k")).filter("k > 1").select("key", "centre")
     buckets = scratch.write(members.join(shared, "key"), "buckets")
@@ -374,9 +380,10 @@ def groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
         all_edges = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)
         comps = components(all_edges, scratch, "second")
     comps = comps.unionByName(comps.select(F.col("comp").alias("node"), "comp").distinct())
-    named = few(comps).join(nodes.select("node", "doc_id"), "node").select("node", "comp", "doc_id")
+    named = few(comps).join(nodes.select("node", "set_id", "doc_id"), "node").select("node", "set_id", "comp", "doc_id")
+    named = scratch.write(named, "named")
     least = scratch.write(named.groupBy("comp").agg(F.min("doc_id").alias("component")), "least")
-    labels = few(scratch.write(comps.join(few(least), "comp").select(F.col("node").alias("set_id"), "component"), "labels"))
+    labels = few(scratch.write(named.join(few(least), "comp").select("set_id", "component"), "labels"))
     out = signed.select("doc_id", "text_hash", "n_shingles", "set_id").join(c, "set_id", "left").join(labels, "set_id", "left")
     component = F.coalesce("component", "least", "doc_id")
     return scratch.result(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash"))
@@ -385,9 +392,9 @@ def groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
 def _full_sets(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, scratch: Scratch, label: str, shingle: int) -> DataFrame:
     """(node, hashes) of the wanted nodes, whose texts are shingled again."""
     rows = few(wanted.distinct()).join(nodes.select("node", "doc_id", "text_hash"), "node")
-    rows = few(scratch.write(rows.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")), f"wanted_{label}"))
-    texts = docs.join(rows, docs["doc_id"].eqNullSafe(rows["i"]) & (docs["text_hash"] == rows["h"]), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    return scratch.write(texts.mapInArrow(_sets(shingle), "node binary, hashes binary"), f"sets_{label}")
+    rows = few(scratch.write(rows.select("node", F.col("doc_id").alias("i"), F.col("text_hash").alias("h")), f"wanted_{label}"))
+    texts = docs.join(rows, docs["doc_id"].eqNullSafe(rows["i"]) & (docs["text_hash"] == rows["h"])).select("node", "text").dropDuplicates(["node"])
+    return scratch.write(texts.mapInArrow(_sets(shingle), "node long, hashes binary"), f"sets_{label}")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:

@@ -317,11 +317,34 @@ def test_repeated_and_null_ids_are_nodes_of_their_own(spark):
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == want
 
 
+def test_clashing_set_numbers(spark, monkeypatch):
+    """Sets whose numbers are equal still make nodes of their own."""
+    real = near_dup.hashlib.blake2b
+
+    class Clash:
+        def __init__(self, data, digest_size):
+            self.x = b"\0" * 8 + real(data, digest_size=8).digest()
+
+        def digest(self):
+            return self.x
+
+    monkeypatch.setattr(near_dup.hashlib, "blake2b", Clash)
+    rows = [(i, data.prose(60, 200 + i // 2) + (" more" if i % 2 else ""), "en", "s") for i in range(12)]
+    signed = near_dup._sign(3)
+    batch = spark.createDataFrame([(i, t, i) for i, t, *_ in rows], "doc_id long, text string, text_hash long").toArrow().to_batches()
+    table = [r for b in signed(iter(batch)) for r in b.to_pylist()]
+    df = spark.createDataFrame([tuple(r.values()) for r in table], near_dup.SIGNATURE)
+    monkeypatch.undo()
+    frame = data.frame(spark, rows)
+    monkeypatch.setattr(near_dup, "_signed", lambda *_: df.join(frame.select("doc_id", F.xxhash64("text").alias("h")), "doc_id").withColumn("text_hash", F.col("h")).drop("h"))
+    got = {r["doc_id"]: r["component_id"] for r in rows_of(near_dup.groups(frame, Scratch(spark, "t")))}
+    assert got == {i: i - i % 2 for i in range(12)}
+
+
 def test_cross_pairs_in_blocks(spark, monkeypatch):
     """A bucket much larger than a block gives the same clusters as one block; its largest component is not dealt to itself."""
     r = np.random.default_rng(1)
     n = 60
-    name = lambda i: b"%04d" % i
     sketches = [r.integers(0, 3, near_dup.BINS).astype(np.uint8).tobytes() for _ in range(n)]
     shown = [np.sort(np.concatenate((np.arange(90), r.integers(1000, 1 << 40, 10 if i % 3 else 60)))).astype(np.uint64) for i in range(n)]
     linked = {(i, j) for i in range(n) for j in range(i) if 100 * len(np.intersect1d(shown[i], shown[j])) >= 80 * len(np.union1d(shown[i], shown[j]))}
@@ -335,30 +358,30 @@ def test_cross_pairs_in_blocks(spark, monkeypatch):
         return {frozenset(i for i in range(n) if label[i] == x) for x in set(label)}
 
     for comp in (lambda i: i, lambda i: min(i, 40)):
-        sizes = (n, name(comp(59)), 1 if comp(59) == 59 else 20)
-        d = spark.createDataFrame([(7, name(i), name(comp(i)), 300, sketches[i], *sizes) for i in range(n)], "key long, node binary, comp binary, n long, sketch binary, k long, main binary, n_main long")
-        full = spark.createDataFrame([(7, name(i), name(comp(i)), 1, shown[i].tobytes(), *sizes) for i in range(n)], "key long, node binary, comp binary, n long, hashes binary, k long, main binary, n_main long")
+        sizes = (n, comp(59), 1 if comp(59) == 59 else 20)
+        d = spark.createDataFrame([(7, i, comp(i), 300, sketches[i], *sizes) for i in range(n)], "key long, node long, comp long, n long, sketch binary, k long, main long, n_main long")
+        full = spark.createDataFrame([(7, i, comp(i), 1, shown[i].tobytes(), *sizes) for i in range(n)], "key long, node long, comp long, n long, hashes binary, k long, main long, n_main long")
         for block in (512, 7):
             dealt = near_dup._in_blocks(d, F.lit(block), "sketch")
-            got = {(int(x["a"]), int(x["b"])) for x in rows_of(dealt.mapInArrow(near_dup._by_group(near_dup._alike, 10, "sketch"), near_dup.PAIRS))}
+            got = {(x["a"], x["b"]) for x in rows_of(dealt.mapInArrow(near_dup._by_group(near_dup._alike, 10, "sketch"), near_dup.PAIRS))}
             assert clusters(got, comp) == {frozenset(range(n))}
             dealt = near_dup._in_blocks(full, F.lit(block), "hashes")
-            got = {(int(x["a"]), int(x["b"])) for x in rows_of(dealt.mapInArrow(near_dup._by_group(near_dup._linked, 80, "hashes"), near_dup.PAIRS))}
+            got = {(x["a"], x["b"]) for x in rows_of(dealt.mapInArrow(near_dup._by_group(near_dup._linked, 80, "hashes"), near_dup.PAIRS))}
             assert clusters(got, comp) == clusters(linked, comp)
             assert not any(comp(i) == 40 == comp(j) for i, j in got)
 
 
 def test_rows_dealt_grow_with_a_bucket(spark):
     """Four times the members of an unconnected bucket: four times the rows."""
-    d = spark.range(4000).select(F.lit(7).cast("long").alias("key"), F.col("id").cast("string").cast("binary").alias("node"), F.lit(300).alias("n"), F.lit(b"").alias("sketch"))
-    d = d.withColumn("comp", F.col("node")).withColumn("main", F.lit(b"0")).withColumn("n_main", F.lit(1))
+    d = spark.range(4000).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node"), F.lit(300).alias("n"), F.lit(b"").alias("sketch"))
+    d = d.withColumn("comp", F.col("node")).withColumn("main", F.lit(0)).withColumn("n_main", F.lit(1))
     block = lambda k: F.lit(min(max(-(-k // 4), near_dup.LEAST_BLOCK), near_dup.MOST_BLOCK))
     counts = [near_dup._in_blocks(d.limit(k).withColumn("k", F.lit(k)), block(k), "sketch").count() for k in (1000, 4000)]
     assert counts[1] <= 4.1 * counts[0] and counts[0] <= 5 * 1000
 
 
 def test_components_of_long_paths(spark):
-    e = [(i, i + 1) for i in range(60) if i != 30] + [(5, 5), (2, 1)]  # any ordered type can name a node
+    e = [(i, i + 1) for i in range(60) if i != 30] + [(5, 5), (2, 1)]
     got = {r["node"]: r["comp"] for r in rows_of(near_dup.components(spark.createDataFrame(e, "a long, b long"), Scratch(spark, "t"), "c"))}
     assert all(got[i] == (0 if i <= 30 else 31) for i in range(1, 61) if i != 31)
 
