@@ -2,9 +2,11 @@
 
 The index is a table bucketed and sorted by the SHA-256 of the normalised text (A-Z
 lower-cased, null as empty).  A batch of new documents is reduced to one row per digest
-(partial aggregation, so a group of copies of any size meets as one row per task), joined
-to the index by sort-merge anti-join on the bucket key (the index side is neither
-shuffled nor sorted again), and what is new is appended.
+(partial aggregation, so a group of copies of any size meets as one row per task) and
+split by sort-merge anti-join and semi-join with the index (whose side is neither shuffled
+nor sorted again): digests that are new are appended as entries, digests that are known as
+changes of their counts.  Reading merges the rows of a digest, bucket by bucket, so the
+kept doc_id is the largest of all batches and group_size counts them all.
 
 Nulls: a null text counts as the empty text, a null doc_id loses against any other.
 Empty tables give an empty index and no rows.  Rows that repeat a doc_id and its text are
@@ -19,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import Scratch, ascii_lower, few
 
 
 #: A group of copies is hot if it has more than HOT_ROWS rows and more than 1 / HOT_GROUPS of all rows.
@@ -30,12 +32,15 @@ def digest(text="text"):
     return F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256)
 
 
+#: Batches in which :meth:`DigestIndex.load` brings a table into an index.
+BATCHES = 2
+
+
 class DigestIndex:
-    """A table of (digest, keep_id, group_size), bucketed and sorted by digest.
+    """A table of (digest, keep_id, group_size, entry, batch), bucketed and sorted by digest.
 
-    Later batches never displace an indexed row: the first batch that brings a digest
-    decides keep_id (its largest doc_id), and each batch appends its own counts only for
-    new digests.  A batch is appended in one job; re-running it appends nothing.
+    ``entry`` marks the row that first brought a digest; later batches add rows that only
+    change it.  A batch is appended in one job, and one that the index has is not added again.
     """
 
     def __init__(self, spark: SparkSession, table: str, buckets: int = 64):
@@ -49,18 +54,37 @@ class DigestIndex:
         return self.spark.catalog.tableExists(self.table)
 
     def rows(self) -> DataFrame:
-        return self.spark.table(self.table)
+        """(digest, keep_id, group_size), one row per digest; no shuffle, as the table is bucketed."""
+        return self.spark.table(self.table).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table} PURGE")
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        batch = (
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> None:
+        """Adds a batch; ``batch`` is its name, drawn if not given."""
+        found = (
             docs.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("digest"))
             .groupBy("digest")
             .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         )
         if self.exists():
-            batch = batch.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        batch = batch.repartition(self.buckets, "digest")
-        batch.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+            index = self.spark.table(self.table)
+            if batch is not None and not index.filter(F.col("batch") == batch).isEmpty():
+                return
+            known = index.filter("entry").select("digest").hint("merge")
+            new = found.join(known, "digest", "left_anti").withColumn("entry", F.lit(True))
+            found = new.unionByName(found.join(known, "digest", "left_semi").withColumn("entry", F.lit(False)))
+        else:
+            found = found.withColumn("entry", F.lit(True))
+        found = found.withColumn("batch", F.lit(batch or uuid.uuid4().hex)).repartition(self.buckets, "digest")
+        found.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+
+    def load(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DigestIndex:
+        """Adds a table in batches by a hash of the id, each deduplicated against those before."""
+        part = F.pmod(F.xxhash64(F.col(id_col), F.lit(10)), F.lit(batches))
+        for k in range(batches):
+            self.add(docs.filter(part == k), id_col, text_col)
+        return self
 
     def look_up(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Each document with its keep_id, group_size and whether it is the row that stays."""
@@ -77,24 +101,26 @@ class DigestIndex:
         )
 
 
-def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    names = docs.columns
-    shape = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), digest(text_col).alias("digest"), docs[id_col].alias("id"))
-    many = shape.groupBy("digest", "id").agg((F.count("*") > 1).alias("repeated"))
-    keep = index.rows().select("digest", F.col("keep_id").alias("id"))
-    chosen = many.alias("m").join(keep.alias("k"), (F.col("m.digest") == F.col("k.digest")) & F.col("m.id").eqNullSafe(F.col("k.id"))).select("m.*")
-    found = shape.alias("s").join(chosen.alias("c"), (F.col("s.digest") == F.col("c.digest")) & F.col("s.id").eqNullSafe(F.col("c.id"))).select("s.*", "c.repeated")
-    once = found.filter(~F.col("repeated")).select("row.*")
-    again = found.filter("repeated").dropDuplicates(["digest", "id"]).select("row.*")
-    return once.unionByName(again)
+def keep_first(docs: DataFrame, index: DigestIndex, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, with all their columns.
+
+    Only digests of two rows or more matter: they are broadcast if they are few (else both
+    sides are shuffled), and of the rows only those that stay for such a digest are dealt
+    by it, to leave one of repeated rows.
+    """
+    many = scratch.write(index.rows().filter("group_size > 1").select("digest", "keep_id"), "many")
+    shape = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), digest(text_col).alias("digest"), docs[id_col].alias("id"))
+    found = shape.join(few(many.withColumn("copied", F.lit(True))), "digest", "left")
+    alone = found.filter("copied is null").select("row.*")
+    return alone.unionByName(found.filter("copied and id <=> keep_id").dropDuplicates(["digest"]).select("row.*"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    index = DigestIndex.fresh(spark)
-    index.add(docs)
-    return index.look_up(docs)
+    index = DigestIndex.fresh(spark).load(docs)
+    out = Scratch(spark, "exact_dedup").result(index.look_up(docs))
+    index.drop()
+    return out
 
 
 OP10_SQL = """

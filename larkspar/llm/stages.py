@@ -16,9 +16,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
-    index = digest_index.DigestIndex.fresh(spark)
-    index.add(docs)
-    return digest_index.keep_first(docs, index)
+    index = digest_index.DigestIndex.fresh(spark).load(docs)
+    kept = digest_index.keep_first(docs, index, Scratch(spark, "stage_exact"))
+    index.drop()  # its repeated digests are written by now
+    return kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,16 +34,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it.  Rows with equal doc_id, source and size are taken alike."""
-    keys = ["doc_id", "source", "size"]
+    """Each document as often as the mix takes it.
+
+    Rows equal in doc_id, source and text are one: it is returned as often as all of them are taken.
+    """
     scratch = Scratch(spark, "stage_mix")
-    taken = cube.mix(docs, scratch).groupBy(*keys).agg(F.max("copies").alias("copies")).filter("copies > 0")
-    taken = taken.select(*[F.col(k).alias(f"taken_{k}") for k in keys], "copies")
-    taken = scratch.write(taken, "taken")
-    at = [docs["doc_id"].eqNullSafe(F.col("taken_doc_id")), docs["source"].eqNullSafe(F.col("taken_source")), cube.word_count(docs["text"]) == F.col("taken_size")]
-    joined = docs.join(few(taken), at[0] & at[1] & at[2])
-    repeat = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return joined.select(*[docs[c] for c in docs.columns], repeat.alias("__copy")).select(*docs.columns)
+    taken = cube.mix(docs, scratch).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    taken = few(scratch.result(taken))
+    same = docs["doc_id"].eqNullSafe(taken["doc_id"]) & docs["source"].eqNullSafe(taken["source"]) & (F.xxhash64(docs["text"]) == taken["text_hash"])
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    found = docs.join(taken, same).select(row, taken["copies"].alias("copies"), taken["rows"].alias("rows"), *[taken[c].alias(f"of_{c}") for c in ("doc_id", "source", "text_hash")])
+    again = found.filter("rows > 1").dropDuplicates(["of_doc_id", "of_source", "of_text_hash"])
+    found = found.filter("rows = 1").unionByName(again)
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

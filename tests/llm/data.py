@@ -4,7 +4,7 @@ import random
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size string, key string, node int, comp int, digest string, p double, block int, `order` string, held_out string"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size string, key string, node int, comp int, digest string, p double, block int, `order` string, held_out string, gone long, taken_doc_id long, copies int, text_hash string, row string, node2 string"
 VOCABULARY = [a + b for a in ("the", "and", "er", "in", "on", "st", "qu", "ré", "über") for b in ("", "ing", "tion", "eau", "lich", "ment", "ó")]
 
 
@@ -27,7 +27,7 @@ def texts():
 
 def frame(spark, rows=None):
     rows = texts() if rows is None else rows
-    return spark.createDataFrame([(i, t, g, s, len(t or ""), "x", "k", 1, 2, "d", 0.5, 9, "o", "h") for i, t, g, s in rows], COLUMNS)
+    return spark.createDataFrame([(i, t, g, s, len(t or ""), "x", "k", 1, 2, "d", 0.5, 9, "o", "h", 5, 6, 7, "th", "r", "n") for i, t, g, s in rows], COLUMNS)
 
 
 def words(text):
