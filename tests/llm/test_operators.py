@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -156,6 +157,104 @@ def test_site_templates_inside_articles_are_deleted(spark):
     assert got[105] == "Story 0\n\nPoint 0\n\nWrite to us\n\nAll rights\n\nSome of us\n\nFollow us"
 
 
+def test_wrappers_and_headings_stay():
+    text = lambda h: site_templates.Page(h).result()[1]
+    assert text('<div class="layout has-sidebar"><article><p>Body</p></article><div class="sidebar"><p>s</p></div></div>') == ["Body"]
+    assert text('<div id="main-menu-page"><form><article><p>x</p></article></form></div>') == ["x"]
+    assert text('<article><div class="legal-analysis">L</div><h2 class="share">S</h2><p hidden>H</p><p class="ad">A</p></article>') == ["L", "S", "H"]
+    assert text("<h1><a href=x>Linked</a></h1><p>t</p><ul><li><a>m</a></ul><form><p>f</p></form>") == ["Linked", "t"]
+    assert text('<article>a <span class="ad">AD</span> b<div class="comment-list"><p>c</p></div></article>') == ["a", "b"]
+
+
+def test_long_and_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (10_000, 100_000):
+        start = time.perf_counter()
+        for h in ("<div>" * n + "x" + "</i>" * n, "<b><div>" + "<i>" * n + "</b>" * n, '<a "x>y' * n, '<a b="x>y' * n, "<p>x" * n, "<ul>" + "<li>x" * n, "<!-- " * n):
+            _, texts, owners, parents, elements = site_templates.Page(h).result()
+            assert len(texts) == len(owners) and len(parents) == len(elements) <= n + 1
+        took.append(time.perf_counter() - start)
+    assert took[1] < 40 * took[0] + 2
+
+
+class PlainPage(HTMLParser):
+    """Main text of well-formed pages by a plain walk."""
+
+    FURNITURE = {"head", "nav", "aside", "footer", "form", "script", "style"}
+
+    def __init__(self, html):
+        super().__init__()
+        self.path, self.blocks, self.text = [], [], ""
+        self.feed(html)
+        self.cut()
+
+    def cut(self):
+        if words := self.text.split():
+            self.blocks.append(" ".join(words))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "meta", "input", "img"):
+            self.text += " "
+            return
+        if tag in ("p", "div", "article", "h1", "ul", "li", "table", "section"):
+            self.cut()
+        if tag == "p" and "p" in self.path:
+            self.handle_endtag("p")
+        self.path.append(tag if dict(attrs).get("class") not in ("ad", "comments") else "nav")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "div", "article", "h1", "ul", "li", "table", "section"):
+            self.cut()
+        while self.path and tag in (*self.path, "div") and self.path.pop() not in (tag, "nav"):
+            pass
+
+    def handle_data(self, data):
+        if "article" in self.path and not self.FURNITURE & {*self.path}:
+            self.text += data
+
+
+def test_pages_by_brute_force(spark):
+    """Every generated page against a plain walk, and templates against counts in dictionaries."""
+    rows = [r.asDict() for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    got = {r["page_id"]: r["text"] for r in rows_of(site_templates.extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), Scratch(spark, "t")))}
+    assert len(got) == len(rows) and all(got[r["page_id"]] == "\n\n".join(PlainPage(r["html"]).blocks) for r in rows)
+
+    r = random.Random(8)
+    word = lambda k: f"w{r.randrange(k)}"
+    block = lambda: r.choice([f"<p>{word(6)}</p>", f"<div><p>{word(9)}</p>{word(4)}</div>", f"<ul><li>{word(3)}<li>{word(30)}</ul>", f"<section class=x><h2>{word(5)}</h2><p>{word(40)}</section>"])
+    pages = [(i, f"http://h{i % 3}.example/{i}", "".join(block() for _ in range(4)) + ("<article>" + "".join(block() for _ in range(3)) + "</article>" if i % 2 else "")) for i in range(90)]
+    limits = {"least_pages": 3, "min_share": 0.3, "many_pages": 12, "min_pages": 5, "main_share": 0.4}
+    seen, roots, parsed = defaultdict(set), defaultdict(set), {}
+    for i, url, html in pages:
+        host, p = site_templates.host_of(url), site_templates.Page(html).result()
+        parsed[i] = (host, p)
+        roots[host].add(p[0])
+        for e in p[4]:
+            seen[host, e & -2].add(p[0])
+    want = {}
+    for i, (host, (_, texts, owners, parents, elements)) in parsed.items():
+        def template(k):
+            n = len(seen[host, elements[k] & -2])
+            share = n / len(roots[host])
+            return n >= 5 and share >= 0.4 if elements[k] & 1 else n >= 3 and (share >= 0.3 or n >= 12)
+
+        left = []
+        for text, k in zip(texts, owners, strict=True):
+            above = []
+            while k >= 0:
+                above.append(k)
+                k = parents[k]
+            if not any(map(template, above)):
+                left.append(text)
+        want[i] = "\n\n".join(left)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {x["page_id"]: x["text"] for x in rows_of(site_templates.extract(df, Scratch(spark, "t"), **limits))} == want
+    assert any(len(parsed[i][1][1]) != len(t.split("\n\n")) for i, t in want.items())
+
+
 # ---- 5 packing -----------------------------------------------------------------------
 
 
