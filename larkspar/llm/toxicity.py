@@ -8,11 +8,12 @@ long text counts.  Embeddings and softmax are trained jointly (Adam on the full
 in numpy, on the driver) from labelled documents only.
 
 The training sample is bounded: at most TRAIN_ROWS documents of each label, of at most
-TRAIN_BYTES bytes each, chosen by hash.  Scoring reads whole texts.
+TRAIN_BYTES bytes each, the first by a hash of their ids.  Scoring reads whole texts.
 
 Null or empty texts score the prior of the sample.  Unlabelled or null-labelled rows
-are no examples; without examples of both labels every score is the prior (0.5 if
-there is none).  Repeated rows score alike; extra columns are ignored.
+are no examples; without examples of both labels, or with no word in any of them, every
+score is the prior (0.5 if there is none).  Of rows that share a labelled doc_id one text
+is an example.  Repeated rows score alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words' subwords in a row, and how many each word has."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     marked = [b"<" + w.strip(b".,;:!?\"'()[]#*$%&|").lower() + b">" for w in words]
     lens = np.fromiter(map(len, marked), np.int64, len(marked))
     begin = np.cumsum(lens) - lens
@@ -111,10 +114,10 @@ def pooled(mean: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np
 
 def train(texts: list[bytes], labels: list[int], prior: float | None = None, steps: int = 60, seed: int = 2) -> Model:
     y = np.asarray(labels, float)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, float(y.mean()) if len(y) else 0.5)
-    prior = float(y.mean()) if prior is None else prior
+    prior = (float(y.mean()) if len(y) else 0.5) if prior is None else prior
     docs = [t.split() for t in texts]
+    if not len(y) or y.min() == y.max() or not any(docs):
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, prior)
     vocabulary: dict[bytes, int] = {}
     at = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for words in docs for w in words), np.int64)
     begin = np.concatenate(([0], np.cumsum([len(x) for x in docs])))
@@ -156,7 +159,7 @@ def train(texts: list[bytes], labels: list[int], prior: float | None = None, ste
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.trained = model, bool(model.unit.any())
         self.cache = WordCache(self._build, self._reset, lambda at: (self.sums.keep(at), self.counts.keep(at)))
 
     def _reset(self) -> None:
@@ -168,6 +171,8 @@ class Scorer:
         self.counts.extend(c)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
+        if not self.trained:
+            return np.full(len(texts), self.model.prior)
         at, begin = self.cache.number([t.split() for t in texts])
         _, _, doc, mean = windows(self.sums.a[at], self.counts.a[at], begin)
         margin, _ = pooled(mean, doc, len(texts))
@@ -176,29 +181,20 @@ class Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[bytes], list[int], float]:
-    """The bounded training sample and the share of label 1 among all training rows.
-
-    One row per document and label is an example.  The rows of each label are thinned by
-    hash to the bound, after one count.
-    """
+    """The bounded training sample and the share of label 1 among all training rows."""
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter("i is not null and y in (0, 1)")
     known = known.groupBy("i").agg(F.max("y").alias("y")).filter(~held_out(F.col("i")))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], [], 0.5
-    line = F.pmod(F.xxhash64("i", F.lit(2)), F.lit(1 << 20))
-    chosen = known.filter(F.when(F.col("y") == 1, line < _line(counts.get(1, 0))).otherwise(line < _line(counts.get(0, 0))))
+    first = [known.filter(F.col("y") == y).orderBy(F.xxhash64("i", F.lit(2)), "i").limit(TRAIN_ROWS) for y in (0, 1)]
     d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(F.octet_length("t") <= TRAIN_BYTES)
-    # the sample is bounded, so it goes to the documents and no text is shuffled
-    rows = d.join(F.broadcast(chosen.limit(2 * TRAIN_ROWS + 1000)), "i").select("i", "t", "y").limit(2 * TRAIN_ROWS + 1000).collect()
+    # the sample is bounded, so it goes to the documents and no text is shuffled before it is thinned
+    rows = d.join(F.broadcast(first[0].unionByName(first[1])), "i").groupBy("i", "y").agg(F.min("t").alias("t")).collect()
     rows.sort(key=lambda r: (r["i"], r["t"]))
     return [r["t"].encode() for r in rows], [r["y"] for r in rows], counts.get(1, 0) / sum(counts.values())
 
 
-def _line(count: int) -> int:
-    return (1 << 20) if count <= TRAIN_ROWS else int((1 << 20) * TRAIN_ROWS / count)
-
-
 def _scores(broadcast):
     def run(batches) -> Iterator:
         import pyarrow as pa
