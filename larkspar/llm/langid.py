@@ -1,6 +1,7 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
-The network runs over words (A-Z lower-cased, in pieces of at most PIECE bytes): a forward
+The network runs over words (A-Z lower-cased, in pieces of at most PIECE bytes, cut between
+characters): a forward
 and a backward gated recurrent unit read the bytes, and a softmax over both states labels
 every position.  A document's probabilities are the mean over all its positions; words
 without a letter have none.  Words are independent of each other, so each distinct word
@@ -8,8 +9,9 @@ runs once per task and its summed probabilities are reused; every byte of every
 counts.
 
 Training is backpropagation through time in numpy on the driver, on a bounded sample:
-about SAMPLE_DOCS documents per language, chosen by hash, TRAIN_BYTES of each, and
-STEPS batches of BATCH words drawn evenly over the languages.
+about SAMPLE_DOCS documents per language (fewer if all languages together have more than
+SAMPLE_ALL), chosen by hash, TRAIN_CHARS characters of each, and STEPS batches of BATCH
+pieces of words drawn evenly over the languages.  Any number of languages can be learned.
 
 Null texts and texts without a letter are 'und' with score 0.  With no labelled text
 every document is 'und' with score 0; a single language is predicted with score 1.
@@ -25,19 +27,27 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Grow, WordCache, chunked, held_out, read, ship
+from .common import Grow, WordCache, chunked, few, held_out, read, ship
 
 HIDDEN, PIECE = 16, 32
-SAMPLE_DOCS, TRAIN_BYTES = 400, 4_000
+SAMPLE_DOCS, SAMPLE_ALL, TRAIN_CHARS = 400, 16_000, 4_000
 STEPS, BATCH = 400, 256
-#: Languages that a model can learn; more raise an error.
-MOST_LANGUAGES = 512
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
+def cuts(word: bytes) -> list[bytes]:
+    """The word in pieces of at most PIECE bytes, cut before a byte that begins a character."""
+    out = []
+    while len(word) > PIECE:
+        at = next((k for k in range(PIECE, PIECE - 4, -1) if word[k] & 0xC0 != 0x80), PIECE)
+        out.append(word[:at])
+        word = word[at:]
+    return [*out, word]
+
+
 def pieces(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(byte matrix, lengths, word) of all words, in pieces of at most PIECE bytes."""
-    cut = [(w[i : i + PIECE], k) for k, w in enumerate(words) for i in range(0, len(w), PIECE)] if any(len(w) > PIECE for w in words) else [(w, k) for k, w in enumerate(words)]
+    cut = [(x, k) for k, w in enumerate(words) for x in (cuts(w) if len(w) > PIECE else (w,))]
     lens = np.fromiter((len(w) for w, _ in cut), np.int64, len(cut))
     width = int(lens.max()) if len(lens) else 1
     flat = np.frombuffer(b"".join(w for w, _ in cut), np.uint8)
@@ -173,10 +183,11 @@ class Model:
 def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 6) -> Model | None:
     """Adam on batches of words drawn evenly over the languages; None without examples."""
     names = sorted(set(langs))
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {MOST_LANGUAGES} can be learned")
     rng = np.random.default_rng(seed)
-    by = [[w.lower() for t, x in zip(texts, langs, strict=True) if x == name for w in t.encode().split() if has_letter(w)] for name in names]
+    words_of: dict[str, list[bytes]] = {name: [] for name in names}
+    for t, x in zip(texts, langs, strict=True):
+        words_of[x] += [w.lower() for w in t.encode().split() if has_letter(w)]
+    by = [words_of[name] for name in names]
     names = [n for n, words in zip(names, by, strict=True) if words]
     by = [words for words in by if words]
     if not names:
@@ -187,7 +198,7 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 6)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in model.params]
     for step in range(1, steps + 1):
         y = rng.integers(0, len(names), BATCH)
-        words = [by[k][rng.integers(len(by[k]))][:PIECE] for k in y]
+        words = [(parts := cuts(by[k][rng.integers(len(by[k]))]))[rng.integers(len(parts))] for k in y]
         x, lens, _ = pieces(words)
         order = np.argsort(-lens, kind="stable")
         _, grads = model.gradients(x[order], lens[order], y[order])
@@ -234,15 +245,16 @@ class Labeller:
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """About SAMPLE_DOCS training documents of each language, by hash, TRAIN_BYTES of each."""
+    """About SAMPLE_DOCS training documents of each language, by hash, TRAIN_CHARS of each."""
     d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("l is not null and t is not null").filter(~held_out(F.col("i")))
-    counts = {r["l"]: r["n"] for r in d.groupBy("l").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if not counts:
+    counts = d.groupBy("l").agg(F.count("*").alias("n")).withColumnRenamed("l", "of")
+    many = counts.count()
+    if not many:
         return [], []
-    line = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, SAMPLE_DOCS / n) * (1 << 20))])
-    d = d.filter(F.pmod(F.xxhash64("i", F.lit(6)), F.lit(1 << 20)) < F.element_at(line, F.col("l")))
-    rows = d.select("i", F.substring("t", 1, TRAIN_BYTES).alias("t"), "l").limit(2 * SAMPLE_DOCS * len(counts)).collect()
-    rows.sort(key=lambda r: (r["i"] is None, r["i"] or 0, r["t"]))
+    line = counts.withColumn("line", F.lit(max(1, min(SAMPLE_DOCS, SAMPLE_ALL // many)) * float(1 << 20)) / F.col("n"))
+    d = d.join(few(line), F.col("l") == F.col("of")).filter(F.pmod(F.xxhash64("i", "t", F.lit(6)), F.lit(1 << 20)) < F.col("line"))
+    rows = d.select("i", F.substring("t", 1, TRAIN_CHARS).alias("t"), "l").distinct().collect()
+    rows.sort(key=lambda r: (r["i"] is None, r["i"] or 0, r["t"], r["l"]))
     return [r["t"] for r in rows], [r["l"] for r in rows]
 
 

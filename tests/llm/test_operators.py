@@ -68,6 +68,47 @@ def test_toxicity_catches_unseen_misspelling():
     assert got[0] < 0.5 and got[1] > 0.5 and got[2] > got[0] and got[3] == model.prior and got[4] > 0.5
 
 
+def test_toxicity_by_brute_force():
+    """Window averages and their smooth maximum by plain loops."""
+    import math
+
+    r = np.random.default_rng(4)
+    texts = [data.prose(30, 2000 + i).encode() + (b" moron" if i % 2 else b"") for i in range(60)]
+    model = toxicity.train(texts, [i % 2 for i in range(60)])
+    model.unit[:] += r.normal(0, 0.05, len(model.unit)).astype(np.float32)
+    shown = [*texts[:5], b"one", b"one two", b"", b"!!! ...", ("ü日 " * 50).encode()]
+    for t, got in zip(shown, toxicity.Scorer(model).scores(shown), strict=True):
+        w = t.split()
+        bags = [model.unit[toxicity.subwords([x])[0]].astype(float) for x in w]
+        means = []
+        for i in range(max(1, len(w) - toxicity.WINDOW + 1)):
+            inside = [x for b in bags[i : i + toxicity.WINDOW] for x in b]
+            means.append(sum(inside) / max(len(inside), 1))
+        margin = math.log(sum(math.exp(toxicity.SHARPNESS * m) for m in means)) / toxicity.SHARPNESS if w else 0
+        want = 1 / (1 + math.exp(-margin - model.bias)) if w else model.prior
+        assert abs(got - want) < 1e-5
+    # n-grams of 3 to 5 bytes and the word itself, with boundaries
+    assert toxicity.subwords([b"abc", b"a"])[1].tolist() == [3 + 2 + 1 + 1, 1 + 1] and len(toxicity.subwords([])[0]) == 0
+
+
+def test_toxicity_without_words_or_labels(spark):
+    rows = [(i, "" if i % 2 else None, "en", "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, 0, i % 3 % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = data.frame(spark, rows)
+    t, y, prior = toxicity.sample(docs, labels)
+    got = rows_of(toxicity.score(data.frame(spark), toxicity.train(t, y, prior)))
+    assert len(got) == len(data.texts()) and {round(r["score"], 9) for r in got} == {round(prior, 9)}
+    assert toxicity.Scorer(toxicity.train([b"a b", b"c"], [0, 0])).scores([b"x y", b""]).max() < 1e-9
+
+
+def test_toxicity_sample_is_bounded_and_stable(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 5)
+    rows = [(i, f"text {i} {k}", "en", "s") for i in range(60) for k in range(3)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    runs = [toxicity.sample(data.frame(spark, rows).repartition(n), labels.repartition(n)) for n in (1, 4)]
+    assert runs[0] == runs[1] and Counter(runs[0][1]) == {0: 5, 1: 5}
+
+
 def test_toxicity_edges(spark):
     docs, labels = data.frame(spark), spark.createDataFrame([(1, 1, 0), (2, 1, 1), (2, 1, None), (None, 1, 1), (999, 0, 1)], "doc_id long, quality int, toxic int")
     t, y, prior = toxicity.sample(docs, labels)
@@ -371,6 +412,43 @@ def test_gradients_by_finite_differences():
         assert abs((up - down) / 2e-3 - grad[at]) < 2e-3
 
 
+def test_labelling_by_brute_force():
+    """Position by position over one text, from the equations of the network."""
+    m = langid.Model(["a", "b", "c"], hidden=5, seed=3)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(d, piece):
+        h, out = np.zeros(5), []
+        for byte in piece:
+            a = d.w[byte] + d.b
+            z, r = sig(a[:5] + h @ d.u[:, :5]), sig(a[5:10] + h @ d.u[:, 5:10])
+            h = (1 - z) * h + z * np.tanh(a[10:] + (r * h) @ d.u[:, 10:])
+            out.append(h)
+        return out
+
+    text = "Über den Fluß 123 !? " + "langeswort" * 9 + " 日本語の長い文章はここで続きますそして終わります x"
+    total, n = np.zeros(3), 0
+    for word in text.encode().lower().split():
+        if not any(c.isalpha() for c in word.decode()):
+            continue
+        for piece in langid.cuts(word):
+            assert len(piece) <= langid.PIECE and piece.decode()
+            ahead, behind = states(m.both[0], piece), states(m.both[1], piece[::-1])[::-1]
+            for f, b in zip(ahead, behind, strict=True):
+                e = np.exp(np.concatenate((f, b)) @ m.v + m.c)
+                total += e / e.sum()
+                n += 1
+    names, scores = langid.Labeller(m).label([text.encode()])
+    assert names[0] == "abc"[total.argmax()] and abs(scores[0] - total.max() / n) < 1e-5
+
+
+def test_many_languages(spark):
+    rows = [(i, f"word{i} other{i} text", f"l{i % 700}", "s") for i in range(1400)]
+    texts, langs = langid.sample(data.frame(spark, rows))
+    model = langid.train(texts, langs, steps=3)
+    assert 600 < len(set(langs)) <= 700 and len(model.langs) == len(set(langs))
+
+
 def test_language(spark):
     english, german = "the house and the garden with this thing " * 3, "der garten und das haus mit dem schönen baum " * 3
     texts = [english, german] * 40
