@@ -3,77 +3,49 @@
 A public vocabulary with byte fallback encodes every word of a text (words are encoded one
 by one, as its pieces never cross white space, so each distinct word is encoded once per
 task).  Three measures follow: characters per token, the share of byte-fallback tokens and
-the entropy of the text's token distribution.  A text is rejected outside its band; bands
-are chosen by language, or by script where the language has none.  Before that stand the
-base rules: fewer than 10 words, or more than a fifth of all words inside repeated 5-word
-windows.
-
-Null or empty texts have no words: all counts are 0 and they fail the base rule.  Texts of
-under MIN_TOKENS tokens are judged too: their limits on characters and bytes are eased in
-proportion to the tokens they lack (one identifier weighs much in a short text), and their
-entropy is compared with the most that so many tokens can have, log2 of their number.
-Repeated rows get equal rows; extra columns are ignored (:func:`filter_docs` passes them
-through).
+the entropy of the text's tokens as a share of the most that so many tokens can have.  A
+text is rejected outside its band; there is one band for each language, and one for each
+script of the texts without a language.
+
+Bands are fitted on the table itself, on all texts that pass the base rules (fewer than 10
+words, or more than a fifth of all words inside repeated 5-word windows, fail them).  The
+middle of a band is the median of its texts.  A measure of n tokens scatters with the root
+of n, so distances from the middle are compared times that root: the limit is REACH times
+their quartile distance, which shrinks to PRIOR for bands of few texts, plus FLOOR.  So a
+short text has wide limits and a long one narrow ones, without a length at which rules
+change.  Medians and quartiles come from counts of values in fixed steps: they are exact
+up to a step, do not depend on the order of rows and hold a few thousand counts per band.
+
+Null or empty texts have no words: all counts are 0 and they fail the base rule.  A null
+or empty language counts as none.  Repeated rows get equal rows; extra columns are ignored
+(:func:`filter_docs` passes them through).  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import RaggedCache, chunked, flat, ship, ship_file, shipped_file
+from .common import RaggedCache, Scratch, chunked, few, flat, ship, ship_file, shipped_file
 
-SCHEMA = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "kept boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double, band string"
+MEASURED = (
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
+    "n_tokens long, chars_per_token double, byte_share double, token_entropy double, band string"
 )
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 WINDOW = 5
-#: From so many tokens on the bands hold as they stand; limits are eased by up to EASE below.
-MIN_TOKENS, EASE = 200, 0.6
-
-
-@dataclass(frozen=True)
-class Band:
-    """Limits a text must keep: characters per token, byte-fallback share, token entropy in bits.
-
-    ``min_fill`` is the share of log2(tokens) that a short text's entropy must have; without
-    one it is what ``min_entropy`` is of log2(MIN_TOKENS).
-    """
-
-    min_chars: float
-    max_chars: float
-    max_bytes: float
-    min_entropy: float
-    min_fill: float | None = None
-
-    def holds(self, n_tokens: int, chars: float, byte_share: float, bits: float) -> bool:
-        ease = EASE * max(0.0, 1 - n_tokens / MIN_TOKENS)
-        min_bits = self.min_entropy
-        if ease:
-            fill = self.min_entropy / np.log2(MIN_TOKENS) if self.min_fill is None else self.min_fill + ease / 10
-            min_bits = fill * np.log2(max(n_tokens, 1))
-        most_bytes = self.max_bytes + ease / 2 * (1 - self.max_bytes)
-        return bool(self.min_chars * (1 - ease) <= chars <= self.max_chars * (1 + ease) and byte_share <= most_bytes and bits >= min_bits)
-
-
-#: Fixed values.  Bands by language, then by script, of a vocabulary learned mostly from English.
-BANDS = {
-    "en": Band(1.95, 7.0, 0.02, 4.0, 0.74),
-    "de": Band(1.95, 7.0, 0.03, 4.0, 0.74),
-    "fr": Band(1.8, 7.0, 0.03, 4.0, 0.74),
-    "es": Band(1.75, 7.0, 0.03, 4.0, 0.74),
-    "latin": Band(1.5, 8.0, 0.05, 3.5),
-    "cyrillic": Band(0.9, 6.0, 0.1, 3.0),
-    "greek": Band(0.5, 6.0, 0.2, 3.0),
-    "cjk": Band(0.3, 2.0, 0.8, 3.0),
-    "other": Band(0.3, 8.0, 0.95, 2.5),
-}
+#: Quartile distances that a text may be away from its band's middle, by measure.
+REACH = {"chars": 4.0, "bytes": 4.0, "fill": 8.0}
+#: Quartile distance (times the root of the tokens) before any text is seen, worth so many texts.
+PRIOR, PRIOR_TEXTS = {"chars": 1.2, "bytes": 1.0, "fill": 0.5}, 20
+#: What every text may be away, and the steps in which values and distances are counted.
+FLOOR, STEPS = {"chars": 0.02, "bytes": 0.02, "fill": 0.0}, {"middle": 0.001, "spread": 0.01}
 #: Code point ranges of the scripts that have bands.
 SCRIPTS = [("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("cjk", 0x3040, 0x30FF), ("cjk", 0x3400, 0x9FFF), ("cjk", 0xAC00, 0xD7AF)]
 
@@ -160,53 +132,97 @@ class Meter:
         per_token = chars / some
         byte_share = (byte_sum[begin[1:]] - byte_sum[begin[:-1]]) / some
         bits = entropy(tokens, begin)
-        names = [lang if lang in BANDS else script_of(t.decode("utf-8", "replace")) for lang, t in zip(langs, texts, strict=True)]
-        limits = [BANDS[x] for x in names]
-        within = np.array([b.holds(*x) for b, *x in zip(limits, n_tokens, per_token, byte_share, bits, strict=True)], bool)
+        names = [lang or script_of(t.decode("utf-8", "replace")) for lang, t in zip(langs, texts, strict=True)]
         return {
             "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeated, "base_failed": failed,
-            "kept": ~failed & within, "n_tokens": n_tokens, "chars_per_token": per_token, "byte_share": byte_share, "token_entropy": bits, "band": names,
+            "n_tokens": n_tokens, "chars_per_token": per_token, "byte_share": byte_share, "token_entropy": bits, "band": names,
         }
 
 
-def _scores(name: str):
+def _measures(name: str, text_at: int, lang_at: int):
+    """Adds the measures to all columns."""
+
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         meter = Meter(shipped_file(name))
-        for part, texts in chunked(batches, 1):
-            found = meter.measure(texts, part.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in found.values())], names=["doc_id", *found])
+        for part, texts in chunked(batches, text_at):
+            found = meter.measure(texts, part.column(lang_at).to_pylist())
+            columns = [*part.columns, *(pa.array(x) for x in found.values())]
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(part.columns))] + list(found))
 
     return run
 
 
-def _filter(name: str, text_at: int, lang_at: int):
-    def run(batches) -> Iterator:
-        import pyarrow as pa
+def measured(df: DataFrame, vocabulary: str, text_at: int, lang_at: int) -> DataFrame:
+    """All columns, named c0, c1 and so on, and the measures of the text."""
+    spark = df.sparkSession
+    ship(spark)
+    columns = [T.StructField(f"c{k}", f.dataType, True) for k, f in enumerate(df.schema.fields)]
+    schema = T.StructType([*columns, *T.StructType.fromDDL(MEASURED).fields])
+    return df.toDF(*(f.name for f in columns)).mapInArrow(_measures(ship_file(spark, vocabulary), text_at, lang_at), schema)
 
-        meter = Meter(shipped_file(name))
-        for part, texts in chunked(batches, text_at):
-            kept = meter.measure(texts, part.column(lang_at).to_pylist())["kept"]
-            yield part.filter(pa.array(kept))
 
-    return run
+def _value(measure: str) -> Column:
+    return {
+        "chars": F.col("chars_per_token"),
+        "bytes": F.col("byte_share"),
+        "fill": F.col("token_entropy") / F.log2(F.greatest(F.col("n_tokens"), F.lit(2)).cast("double")),
+    }[measure]
+
+
+def _quantiles(df: DataFrame, value: dict[str, Column], step: float) -> DataFrame:
+    """(band, measure, texts, q1, q2, q3): quartiles of each measure, from counts of its values in steps."""
+    cells = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(v / step).cast("long").alias("cell")) for m, v in value.items()])
+    counts = df.select("band", F.explode(cells).alias("x")).groupBy("band", "x.measure", "x.cell").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("band", "measure")
+    upto = F.sum("n").over(whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("upto", upto).withColumn("texts", F.sum("n").over(whole))
+    at = lambda q: (F.min(F.when(4 * F.col("upto") >= q * F.col("texts"), F.col("cell"))) * F.lit(step)).alias(f"q{q}")
+    return counts.groupBy("band", "measure").agg(F.max("texts").alias("texts"), at(1), at(2), at(3))
+
 
+def fit(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The bands: (band, chars, chars_spread, bytes, bytes_spread, fill, fill_spread).
 
-def score(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    The middle of each measure, and the distance from it, times the root of the tokens, that is allowed.
+    """
+    texts = texts.filter("not base_failed and n_tokens > 0")
+    middle = _quantiles(texts, {m: _value(m) for m in REACH}, STEPS["middle"]).groupBy("band").pivot("measure", list(REACH)).agg(F.first("q2"))
+    middle = scratch.write(middle, "middle")
+    far = texts.select("band", "n_tokens", *[_value(m).alias(f"of_{m}") for m in REACH]).join(few(middle), "band")
+    root = F.sqrt(F.col("n_tokens").cast("double"))
+    spread = _quantiles(far, {m: (F.col(f"of_{m}") - F.col(m)) * root for m in REACH}, STEPS["spread"])
+    by = lambda d: F.element_at(F.create_map(*[F.lit(x) for m in REACH for x in (m, d[m])]), F.col("measure"))
+    distance = (F.col("texts") * (F.col("q3") - F.col("q1")) + PRIOR_TEXTS * by(PRIOR)) / (F.col("texts") + PRIOR_TEXTS)
+    spread = spread.withColumn("spread", by(REACH) * distance).groupBy("band").pivot("measure", list(REACH)).agg(F.first("spread"))
+    return scratch.write(middle.join(spread.toDF("band", *(f"{m}_spread" for m in REACH)), "band"), "bands")
+
+
+def judge(texts: DataFrame, bands: DataFrame) -> DataFrame:
+    """Adds ``kept``: whether a text passes the base rules and lies within its band."""
+    root = F.sqrt(F.col("n_tokens").cast("double"))
+    within = F.lit(True)
+    for m in REACH:
+        within = within & (F.abs(_value(m) - F.col(m)) <= F.col(f"{m}_spread") / root + FLOOR[m])
+    texts = texts.join(few(bands), "band", "left")
+    return texts.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True)))
+
+
+def score(df: DataFrame, vocabulary: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Counts, measures and verdict of every document; ``vocabulary`` is a path on the driver."""
-    spark = df.sparkSession
-    ship(spark)
     d = df.select(F.col(id_col).cast("long"), F.col(text_col), F.col(lang_col).cast("string"))
-    return d.mapInArrow(_scores(ship_file(spark, vocabulary)), SCHEMA)
+    texts = scratch.write(measured(d, vocabulary, 1, 2).drop("c1", "c2"), "measured")
+    found = judge(texts, fit(texts, scratch)).withColumnRenamed("c0", "doc_id")
+    return scratch.result(found.select("doc_id", *[c.split()[0] for c in MEASURED.split(", ")][:6], "kept", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "band"))
 
 
-def filter_docs(df: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    spark = df.sparkSession
-    ship(spark)
+def filter_docs(df: DataFrame, vocabulary: str, scratch: Scratch, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents that are kept, with all their columns; they are written once with their measures."""
     at = df.columns.index
-    return df.mapInArrow(_filter(ship_file(spark, vocabulary), at(text_col), at(lang_col)), df.schema)
+    texts = scratch.write(measured(df, vocabulary, at(text_col), at(lang_col)), "measured")
+    kept = judge(texts, fit(texts, scratch)).filter("kept")
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns)])
 
 
 def default_vocabulary() -> str:
@@ -216,7 +232,7 @@ def default_vocabulary() -> str:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_vocabulary())
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_vocabulary(), Scratch(spark, "fertility"))
 
 
 def brute_force(text: str | None) -> dict[str, int]:

@@ -11,7 +11,7 @@ from .common import Scratch, few
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a quality rule go."""
-    return fertility.filter_docs(docs, fertility.default_vocabulary())
+    return fertility.filter_docs(docs, fertility.default_vocabulary(), Scratch(spark, "stage_quality"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,12 +124,13 @@ def test_toxicity_edges(spark):
 
 def test_fertility_counts(spark):
     rows = data.texts()
-    got = rows_of(fertility.score(data.frame(spark), fertility.default_vocabulary()))
+    got = rows_of(fertility.score(data.frame(spark), fertility.default_vocabulary(), Scratch(spark, "t")))
     want = Counter((i, *fertility.brute_force(t).values()) for i, t, *_ in rows)
     assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == want
     assert all(r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]) and not (r["kept"] and r["base_failed"]) for r in got)
-    kept = rows_of(fertility.filter_docs(data.frame(spark), fertility.default_vocabulary()))
+    kept = rows_of(fertility.filter_docs(data.frame(spark), fertility.default_vocabulary(), Scratch(spark, "t")))
     assert len(kept) == sum(r["kept"] for r in got) and set(kept[0]) == set(data.frame(spark).columns)
+    assert fertility.score(data.frame(spark, []), fertility.default_vocabulary(), Scratch(spark, "t")).count() == 0
 
 
 def test_fertility_measures_by_brute_force():
@@ -148,20 +149,40 @@ def test_fertility_measures_by_brute_force():
     assert fertility.script_of("привет мир") == "cyrillic" and fertility.script_of("123") == "other"
 
 
-def test_short_texts_are_judged():
+def test_bands_by_brute_force(spark):
+    """Medians, quartiles, limits and verdicts of every language and script, in plain loops."""
+    import math
+
     r = random.Random(4)
-    junk = " | ".join("".join(r.choice(["the", "er", "on", "st", "and", "ha"]) for _ in range(3)) for _ in range(30))
-    prose = "The old harbour town woke slowly that morning while two fishing boats came back with a small catch and a tired crew."
-    digits = " ".join(str(r.getrandbits(60)) for _ in range(10))
-    symbols = " ".join(chr(0x1D100 + r.randrange(200)) for _ in range(20))
-    mail = prose + " Call +1 (372) 555-7739 or 44.144.126.223 today."
-    m = fertility.Meter(fertility.default_vocabulary()).measure([x.encode() for x in (junk, prose, digits, symbols, mail)], ["en"] * 5)
-    assert max(m["n_tokens"]) < fertility.MIN_TOKENS and not any(m["base_failed"])
-    assert list(m["kept"]) == [False, True, False, False, True]
-    band = fertility.BANDS["en"]
-    assert band.holds(200, 1.95, 0.02, 4.0) and not band.holds(200, 1.94, 0.02, 4.0) and not band.holds(199, 1.93, 0.02, 7.0)
-    # a script of bytes only has little entropy, short or long
-    assert fertility.BANDS["other"].holds(120, 0.5, 0.9, 4.0) and not fertility.BANDS["other"].holds(120, 0.5, 0.9, 1.0)
+    cyrillic = "привет мир это длинный текст о городе и людях которые живут там давно у реки под горой".split()
+    rows = [(i, data.prose(r.randint(8, 400), i), r.choice(["en", "fr"]), "s") for i in range(160)]
+    rows += [(200 + i, " | ".join(data.prose(60, 900 + i).split(" ")), "en", "s") for i in range(6)]
+    rows += [(300 + i, " ".join(r.choice(cyrillic) + r.choice("абв") for _ in range(60)), None, "s") for i in range(30)]
+    rows += [(400, "".join(chr(0x1D100 + r.randrange(200)) + " " for _ in range(60)), "en", "s"), (401, " ".join(str(r.getrandbits(70)) for _ in range(80)), "fr", "s"), (402, data.prose(80, 5), "xx", "s"), (403, "so so so " * 9, "en", "s"), (404, "", "", "s")]
+    got = {x["doc_id"]: x for x in rows_of(fertility.score(data.frame(spark, rows), fertility.default_vocabulary(), Scratch(spark, "t")))}
+    value = {"chars": lambda x: x["chars_per_token"], "bytes": lambda x: x["byte_share"], "fill": lambda x: x["token_entropy"] / math.log2(max(x["n_tokens"], 2))}
+
+    def quartile(values, q, step):
+        cells = sorted(math.floor(abs(v) / step + 0.5) * (1 if v >= 0 else -1) for v in values)
+        return cells[-(-q * len(cells) // 4) - 1] * step
+
+    verdicts = Counter()
+    for i, x in got.items():
+        peers = [y for y in got.values() if y["band"] == x["band"] and not y["base_failed"] and y["n_tokens"]]
+        kept, close = not x["base_failed"], False
+        for m, f in value.items():
+            if x["base_failed"]:
+                break
+            middle = quartile([f(y) for y in peers], 2, 0.001)
+            far = [(f(y) - middle) * math.sqrt(y["n_tokens"]) for y in peers]
+            iqr = quartile(far, 3, 0.01) - quartile(far, 1, 0.01)
+            limit = fertility.REACH[m] * (len(peers) * iqr + 20 * fertility.PRIOR[m]) / (len(peers) + 20) / math.sqrt(x["n_tokens"]) + fertility.FLOOR[m]
+            kept &= abs(f(x) - middle) <= limit
+            close |= abs(abs(f(x) - middle) - limit) < 1e-3
+        assert close or x["kept"] == kept, x
+        verdicts[x["band"], x["kept"]] += 1
+    assert got[300]["band"] == "cyrillic" and verdicts["cyrillic", True] == 30 and got[402]["kept"] and not got[404]["kept"]
+    assert not any(got[200 + i]["kept"] for i in range(6)) and not got[400]["kept"] and not got[401]["kept"] and verdicts["en", True] + verdicts["fr", True] > 140
 
 
 # ---- 4 pages -------------------------------------------------------------------------

@@ -7,6 +7,7 @@ import numpy as np
 
 import corpus_pipeline
 from larkspar.llm import fertility, packing
+from larkspar.llm.common import Scratch
 from tests.llm import data
 
 
@@ -14,8 +15,10 @@ def test_stages_and_run(spark, tmp_path):
     rows = data.texts()
     data.frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    meter = fertility.Meter(fertility.default_vocabulary())
-    kept = [r for r in rows if meter.measure([(r[1] or "").encode()], [r[2]])["kept"][0]]
+    verdict = {}
+    for r in fertility.score(docs, fertility.default_vocabulary(), Scratch(spark, "t")).collect():
+        verdict.setdefault((r["doc_id"], r["n_words"], r["word_chars"]), r["kept"])
+    kept = [r for r in rows if verdict[r[0], len(data.words(r[1])), sum(map(len, data.words(r[1])))]]
     best = {}
     for r in kept:
         k = data.lower(r[1])
