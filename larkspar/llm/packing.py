@@ -38,9 +38,9 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 #: ASCII punctuation that may end a word; no apostrophe, which can begin a token of its own.
-TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-#: Words that are encoded in one call.
-BULK = 200
+TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Words that are encoded as one text, and texts in one call.
+BULK, CALL = 50, 100
 
 
 def word_encoder(path: str):
@@ -63,28 +63,31 @@ def word_encoder(path: str):
     ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        cores = [w.rstrip(TAIL) for w in words]
-        texts = b"\n".join(cores).decode("utf-8", "replace").split("\n")
         whole = b"\n".join(words).decode("utf-8", "replace").split("\n")
-        units = np.fromiter(((2 if len(c) != len(w) else 1) if x.isalpha() else 0 for c, w, x in zip(cores, words, texts, strict=True)), np.int64, len(words))
-        for k in [k for k, w in enumerate(words) if b"<|" in w]:
-            units[k] = 0
+        units = np.fromiter(map(str.isalpha, whole), np.int64, len(words))
+        for k in np.flatnonzero(units == 0).tolist():
+            w = whole[k]
+            if w.rstrip(TAIL).isalpha() and "<|" not in w:
+                units[k] = 2
         plain = np.flatnonzero(units)
         lens, starts, parts, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
         odd = np.flatnonzero(units == 0).tolist()
-        for i in range(0, len(plain), BULK):
-            some = plain[i : i + BULK]
-            ids = np.array(t.encode(" ".join([whole[k] for k in some.tolist()]), add_special_tokens=False).ids, np.int32)
-            cuts = np.flatnonzero(ends[ids]) + 1
-            upto = np.cumsum(units[some])
-            if len(cuts) != upto[-1] or cuts[-1] != len(ids):
-                odd += some.tolist()
-                continue
-            stop = cuts[upto - 1]
-            begin = np.concatenate(([0], stop[:-1]))
-            lens[some], starts[some] = stop - begin, at + begin
-            parts.append(ids)
-            at += len(ids)
+        bulks = [plain[i : i + BULK] for i in range(0, len(plain), BULK)]
+        for i in range(0, len(bulks), CALL):
+            some = bulks[i : i + CALL]
+            found = t.encode_batch_fast([" ".join([whole[k] for k in x.tolist()]) for x in some], add_special_tokens=False)
+            for x, e in zip(some, found, strict=True):
+                ids = np.array(e.ids, np.int32)
+                cuts = np.flatnonzero(ends[ids]) + 1
+                upto = np.cumsum(units[x])
+                if len(cuts) != upto[-1] or cuts[-1] != len(ids):
+                    odd += x.tolist()
+                    continue
+                stop = cuts[upto - 1]
+                begin = np.concatenate(([0], stop[:-1]))
+                lens[x], starts[x] = stop - begin, at + begin
+                parts.append(ids)
+                at += len(ids)
         if odd:
             values, n = flat([e.ids for e in t.encode_batch_fast([whole[k] for k in odd], add_special_tokens=False)])
             lens[odd], starts[odd] = n, at + np.cumsum(n) - n
