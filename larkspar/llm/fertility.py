@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import RaggedCache, Scratch, chunked, few, flat, ship, ship_file, shipped_file
+from .common import BROADCAST_ROWS, RaggedCache, Scratch, chunked, few, flat, ship, ship_file, shipped_file
 
 MEASURED = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -218,10 +218,24 @@ def score(df: DataFrame, vocabulary: str, scratch: Scratch, id_col: str = "doc_i
 
 
 def filter_docs(df: DataFrame, vocabulary: str, scratch: Scratch, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that are kept, with all their columns; they are written once with their measures."""
+    """The documents that are kept, with all their columns.
+
+    A verdict depends on text and language alone.  The measures are written without the
+    texts; rejected documents are then known by 128 bits of hash and left out by a broadcast
+    anti-join if they are few, or else by measuring once more, so texts are never shuffled.
+    """
     at = df.columns.index
-    texts = scratch.write(measured(df, vocabulary, at(text_col), at(lang_col)), "measured")
-    kept = judge(texts, fit(texts, scratch)).filter("kept")
+    lang = F.col(lang_col).cast("string")
+    number = lambda d: [F.xxhash64(d[text_col], d[lang_col].cast("string")), F.xxhash64(F.lit(3), d[lang_col].cast("string"), d[text_col])]
+    d = df.select(number(df)[0].alias("h"), number(df)[1].alias("g"), F.col(text_col).alias("text"), lang.alias("lang"))
+    texts = scratch.write(measured(d, vocabulary, 2, 3).drop("c2", "c3"), "measured")
+    bands = fit(texts, scratch)
+    gone = scratch.write(judge(texts, bands).filter("not kept").select("c0", "c1").distinct(), "gone")
+    scratch.drop("measured", "middle")
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        h, g = number(df)
+        return df.join(F.broadcast(gone), (h == gone["c0"]) & (g == gone["c1"]), "left_anti")
+    kept = judge(measured(df, vocabulary, at(text_col), at(lang_col)), bands).filter("kept")
     return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns)])
 
 

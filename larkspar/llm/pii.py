@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -134,7 +135,7 @@ def features(word: bytes) -> list[int]:
         names.append("key_value")
     n = len(core)
     names.append("len<6" if n < 6 else "len<12" if n < 12 else "len<20" if n < 20 else "len<32" if n < 32 else "len>=32")
-    turns = sum(1 for _ in TURN.finditer(core[:400])) - 1
+    turns = sum(1 for _ in islice(TURN.finditer(core), 7)) - 1
     names.append("turns0" if turns < 1 else "turns1" if turns < 3 else "turns3" if turns < 6 else "turns6")
     return [AT[x] for x in names]
 

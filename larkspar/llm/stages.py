@@ -40,7 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     scratch = Scratch(spark, "stage_mix")
     taken = cube.mix(docs, scratch).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
-    taken = few(scratch.result(taken))
+    # one row for each document taken: it grows as the documents do, so it is never broadcast
+    taken = scratch.result(taken).hint("merge")
     same = docs["doc_id"].eqNullSafe(taken["doc_id"]) & docs["source"].eqNullSafe(taken["source"]) & (F.xxhash64(docs["text"]) == taken["text_hash"])
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     found = docs.join(taken, same).select(row, taken["copies"].alias("copies"), taken["rows"].alias("rows"), *[taken[c].alias(f"of_{c}") for c in ("doc_id", "source", "text_hash")])

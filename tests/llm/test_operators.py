@@ -122,13 +122,16 @@ def test_toxicity_edges(spark):
 # ---- 3 quality rules -----------------------------------------------------------------
 
 
-def test_fertility_counts(spark):
+def test_fertility_counts(spark, monkeypatch):
     rows = data.texts()
     got = rows_of(fertility.score(data.frame(spark), fertility.default_vocabulary(), Scratch(spark, "t")))
     want = Counter((i, *fertility.brute_force(t).values()) for i, t, *_ in rows)
     assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == want
     assert all(r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]) and not (r["kept"] and r["base_failed"]) for r in got)
     kept = rows_of(fertility.filter_docs(data.frame(spark), fertility.default_vocabulary(), Scratch(spark, "t")))
+    monkeypatch.setattr(fertility, "BROADCAST_ROWS", 2)  # measured a second time
+    again = rows_of(fertility.filter_docs(data.frame(spark), fertility.default_vocabulary(), Scratch(spark, "t")))
+    assert sorted(map(repr, again)) == sorted(map(repr, kept))
     assert len(kept) == sum(r["kept"] for r in got) and set(kept[0]) == set(data.frame(spark).columns)
     assert fertility.score(data.frame(spark, []), fertility.default_vocabulary(), Scratch(spark, "t")).count() == 0
 
