@@ -98,14 +98,15 @@ def first_non_null(doc: Column, *paths: str) -> Column:
     return F.coalesce(*[F.when(text(doc, p).isNotNull(), truthy(doc, p)) for p in paths], F.lit(False))
 
 
-#: Fixed pattern: what Python's float() accepts.
-FLOAT = r"^\s*[+-]?((\d+(_\d+)*)?\.?\d*([eE][+-]?\d+)?|inf(inity)?|nan)\s*$"
-
-
 def to_float(value: Column, default: float | None = None) -> Column:
-    """Number of a text, or the default; true and false count as 1 and 0.  No suffixes such as '1d'."""
+    """Number of a text, or the default; true and false count as 1 and 0.
+
+    A cast reads all numbers, but also suffixes such as '1d' and hexadecimal floats, which are no numbers here.
+    """
     v = F.lower(F.trim(value.cast("string")))
-    parsed = F.when(v == "true", 1.0).when(v == "false", 0.0).when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$") | v.rlike("^[+-]?(inf|infinity|nan)$"), v.try_cast("double"))
+    last = F.right(v, F.lit(1))
+    odd = (last == "d") | (last == "f") & ~v.endswith("inf") | v.contains("x")
+    parsed = F.coalesce(F.when(~odd, v.try_cast("double")), F.when(v == "true", 1.0).when(v == "false", 0.0))
     return F.coalesce(parsed, F.lit(default)) if default is not None else parsed
 
 

@@ -119,30 +119,42 @@ def transition_drift(df: DataFrame, vec: str, keys: list[str], order: str) -> Da
 INDICATORS = "rsi double, macd_line double, macd_signal double, macd_hist double, adx double, plus_di double, minus_di double, atr double, bb_pos double, volume_ratio double"
 
 
-def wilder(x, n: int, first: int):
-    """Wilder smoothing seeded with the mean of the first n values from position ``first``."""
-    import numpy as np
+#: Steps of a recursion that one matrix product covers.
+STRIDE = 64
 
-    out = np.full(len(x), np.nan)
-    if len(x) >= first + n:
-        out[first + n - 1] = x[first : first + n].mean()
-        for i in range(first + n, len(x)):
-            out[i] = (out[i - 1] * (n - 1) + x[i]) / n
-    return out
 
+def smooth(x, weight: float, n: int, first: int):
+    """y[i] = y[i-1] + weight * (x[i] - y[i-1]), seeded with the mean of n values from position ``first``.
 
-def ema(x, n: int, first: int = 0):
-    """Exponential mean with weight 2 / (n + 1), seeded with the mean of the first n values."""
+    STRIDE steps at a time: a triangular matrix of powers of (1 - weight) applied to the
+    inputs, plus what remains of the last value before them.
+    """
     import numpy as np
 
     out = np.full(len(x), np.nan)
-    if len(x) >= first + n:
-        out[first + n - 1] = x[first : first + n].mean()
-        for i in range(first + n, len(x)):
-            out[i] = out[i - 1] + 2 / (n + 1) * (x[i] - out[i - 1])
+    start = first + n - 1
+    if start >= len(x):
+        return out
+    out[start] = x[first : first + n].mean()
+    power = (1 - weight) ** np.arange(STRIDE + 1)
+    lag = np.arange(STRIDE)[:, None] - np.arange(STRIDE)[None, :]
+    matrix = np.where(lag >= 0, weight * power[np.maximum(lag, 0)], 0.0)
+    for i in range(start + 1, len(x), STRIDE):
+        m = min(STRIDE, len(x) - i)
+        out[i : i + m] = matrix[:m, :m] @ x[i : i + m] + power[1 : m + 1] * out[i - 1]
     return out
 
 
+def wilder(x, n: int, first: int):
+    """Wilder smoothing."""
+    return smooth(x, 1 / n, n, first)
+
+
+def ema(x, n: int, first: int = 0):
+    """Exponential mean with weight 2 / (n + 1)."""
+    return smooth(x, 2 / (n + 1), n, first)
+
+
 def indicators_of(high, low, close, volume):
     """All indicators of one series as a dict of arrays; NaN until enough bars are there."""
     import numpy as np
@@ -174,15 +186,40 @@ def indicators_of(high, low, close, volume):
 
 
 def indicators(df: DataFrame, key: str, order: str) -> DataFrame:
-    """RSI, MACD, ADX, ATR, Bollinger position and volume ratio of every bar; one series is one task's group."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    """RSI, MACD, ADX, ATR, Bollinger position and volume ratio of every bar.
 
-    def run(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        found = indicators_of(*(pdf[c].to_numpy(float) for c in ("high", "low", "close", "volume")))
-        return pdf[[key, order]].assign(**found)
-
-    return df.select(key, order, "high", "low", "close", "volume").groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {INDICATORS}")
+    Series come one after the other in sorted partitions; each is one slice of arrays.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    names = [c.split()[0] for c in INDICATORS.split(", ")]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def emit(table):
+            keys = table.column(0).combine_chunks()
+            values = [table.column(k).cast(pa.float64()).to_numpy() for k in range(2, 6)]
+            text = keys.to_numpy(zero_copy_only=False)
+            cut = [0, *(np.flatnonzero(text[1:] != text[:-1]) + 1), len(text)]
+            parts = [indicators_of(*(v[a:b] for v in values)) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
+            columns = [pa.array(np.concatenate([p[n] for p in parts])) for n in names]
+            return pa.RecordBatch.from_arrays([keys, table.column(1).combine_chunks(), *columns], names=[key, order, *names])
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            keys = table.column(0).to_numpy()
+            last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if len(keys) and (keys != keys[-1]).any() else 0
+            if last:
+                yield emit(table.slice(0, last))
+            held = table.slice(last)
+        if held is not None and held.num_rows:
+            yield emit(held)
+
+    rows = df.select(key, order, "high", "low", "close", "volume").repartition(key).sortWithinPartitions(key, order)
+    return rows.mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {INDICATORS}")
 
 
 def volume_state(ratio: Column) -> Column:

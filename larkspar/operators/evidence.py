@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 LABELS = ("true_S", "stale_S", "false_trap")
 #: Warnings of a card.
@@ -22,40 +23,67 @@ def nearest_rank(column: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
 
 
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float], parts: int = 128) -> DataFrame:
+    """Exact nearest-rank quantiles of groups of any size: (keys, one column per rank).
+
+    Approximate cuts part each group's values, counts by part tell which part holds a rank,
+    and only the rows of those parts are sorted; no task holds a whole group.
+    """
+    d = df.select(*keys, F.col(value).alias("x")).filter("x is not null")
+    cuts = d.groupBy(*keys).agg(F.percentile_approx("x", [i / parts for i in range(1, parts)], 4 * parts).alias("cuts"))
+    part = F.aggregate("cuts", F.lit(0), lambda n, cut: n + (cut < F.col("x")).cast("int"))
+    d = d.join(cuts, keys).select(*keys, "x", part.alias("part"))
+    counts = d.groupBy(*keys, "part").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(*keys)
+    upto = F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.ceil(F.lit(q) * F.col("total")).alias("rank")) for name, q in ranks.items()])
+    found = counts.withColumns({"upto": upto, "total": F.sum("n").over(whole)}).withColumn("w", F.explode(wanted))
+    found = found.filter((F.col("w.rank") <= F.col("upto")) & (F.col("w.rank") > F.col("upto") - F.col("n")))
+    found = found.groupBy(*keys, "part").agg(F.collect_list(F.struct("w.name", (F.col("w.rank") - F.col("upto") + F.col("n")).alias("at"))).alias("wanted"))
+    at = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("x"))
+    rows = d.join(found, [*keys, "part"]).withColumn("at", at).withColumn("w", F.explode("wanted")).filter("w.at = at")
+    return rows.groupBy(*keys).agg(*[F.max(F.when(F.col("w.name") == name, F.col("x"))).alias(name) for name in ranks])
+
+
+def _rank_of(values: Column, q: float) -> Column:
+    """Nearest-rank quantile of a short sorted array; NULL for an empty one."""
+    return F.get(values, F.ceil(F.lit(q) * F.size(values)).cast("int") - 1)
+
+
 def cards(hits: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """One card per query, also for queries without neighbours.
 
-    hits: query_id, case_id, case_symbol, similarity, label, fwd_return, mae, case_idx,
+    hits: query_id, case_id, case_symbol, similarity, rank, label, fwd_return, mae, case_idx,
     case_regime; queries: query_id, symbol, idx, regime.  Rates divide by all hits, labelled
-    or not; entropy takes its probabilities over all hits too.  Two aggregations share the
-    partitioning by query_id.
+    or not; entropy takes its probabilities over all hits too.  The at most k hits of a query
+    are gathered once and everything is computed on that array, so the recall runs once.
     """
-    joined = hits.join(queries.select("query_id", F.col("symbol").alias("q_symbol"), F.col("idx").alias("q_idx"), F.col("regime").alias("q_regime")), "query_id")
-    per_label = joined.filter("label is not null").groupBy("query_id", "label").agg(F.count("*").alias("n"))
-    total = joined.groupBy("query_id").agg(F.count("*").alias("all"))
-    p = F.col("n") / F.col("all")
-    entropy = per_label.join(total, "query_id").groupBy("query_id").agg((-F.sum(p * F.log(p))).alias("label_entropy"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("label_distribution"))
-    body = joined.groupBy("query_id").agg(
-        F.count("*").alias("returned"),
-        *[F.count_if(F.col("label") == x).alias(f"n_{x}") for x in LABELS],
-        F.avg("fwd_return").alias("avg_fwd_return"), nearest_rank("fwd_return", 0.5).alias("median_fwd_return"), F.min("mae").alias("worst_mae"),
-        *[nearest_rank("mae", q).alias(f"mae_p{int(q * 100)}") for q in (0.25, 0.5, 0.75)],
-        nearest_rank("(q_idx - case_idx)", 0.5).cast("long").alias("age_median"), F.min(F.col("q_idx") - F.col("case_idx")).alias("age_min"), F.max(F.col("q_idx") - F.col("case_idx")).alias("age_max"),
-        F.count_if(F.col("case_symbol") == F.col("q_symbol")).alias("same_symbol"), F.count_distinct("case_symbol").alias("symbols"),
-        F.count_if(F.col("case_regime") == F.col("q_regime")).alias("same_regime"), F.count("case_regime").alias("with_regime"),
-        F.transform(F.sort_array(F.collect_list(F.struct(F.col("rank"), F.col("case_id")))), lambda x: x["case_id"]).alias("case_ids"),
-    )
-    c = queries.select("query_id", F.col("regime").alias("q_regime")).join(body, "query_id", "left").join(entropy, "query_id", "left")
-    n = F.coalesce("returned", F.lit(0))
-    same = rate(F.coalesce("same_symbol", F.lit(0)), n)
+    hit = F.struct("rank", "case_id", "case_symbol", "label", "fwd_return", "mae", "case_idx", "case_regime")
+    found = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+    c = queries.select("query_id", F.col("symbol").alias("q_symbol"), F.col("idx").alias("q_idx"), F.col("regime").alias("q_regime")).join(found, "query_id", "left")
+    c = c.withColumn("hits", F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)))
+    h, n = F.col("hits"), F.size("hits").cast("long")
+    values = lambda name: F.array_sort(F.array_compact(F.transform(h, lambda x: x[name])))
+    count = lambda test: F.size(F.filter(h, lambda x: F.coalesce(test(x), F.lit(False))))
+    c = c.withColumns({"fwd": values("fwd_return"), "mae": values("mae"), "labels": values("label"), "age": F.array_sort(F.transform(h, lambda x: F.col("q_idx") - x["case_idx"]))})
+    total = lambda column: F.aggregate(column, F.lit(0.0), lambda s, x: s + x)
+    names = F.array_distinct("labels")
+    of = lambda name: F.size(F.filter("labels", lambda x: x == name))
+    # log2-free entropy over the labels of the card; a card without labels has 0
+    entropy = F.aggregate(names, F.lit(0.0), lambda s, x: s - of(x) / n * F.log(of(x) / n))
+    same = rate(count(lambda x: x["case_symbol"] == F.col("q_symbol")), n)
+    with_regime = count(lambda x: x["case_regime"].isNotNull())
     return c.select(
-        "query_id", F.lit(k).alias("top_k_requested"), n.cast("long").alias("top_k_returned"), "label_distribution",
-        *[rate(F.coalesce(f"n_{x}", F.lit(0)), n).alias(f"{x}_rate") for x in LABELS],
-        F.coalesce("label_entropy", F.lit(0.0)).alias("label_entropy"), "avg_fwd_return", "median_fwd_return", "worst_mae", "mae_p25", "mae_p50", "mae_p75",
-        "age_median", "age_min", "age_max", same.alias("same_symbol_ratio"), rate(F.coalesce("symbols", F.lit(0)), n).alias("support_diversity"),
-        F.when(F.col("q_regime").isNotNull(), F.try_divide(F.col("same_regime").cast("double"), F.col("with_regime").cast("double"))).alias("regime_match_rate"),
-        F.coalesce("case_ids", F.array().cast("array<bigint>")).alias("case_ids"),
-        F.array_compact(F.array(F.when(same > 0.5, SAME_SYMBOL), F.when(n == 0, NO_NEIGHBOURS).when(n < max(1, k // 2), SPARSE))).alias("warnings"),
+        "query_id", F.lit(k).alias("top_k_requested"), n.alias("top_k_returned"),
+        F.when(F.size("labels") > 0, F.map_from_entries(F.transform(names, lambda x: F.struct(x.alias("label"), of(x).cast("long").alias("n"))))).alias("label_distribution"),
+        *[rate(of(F.lit(x)), n).alias(f"{x}_rate") for x in LABELS],
+        F.coalesce(entropy, F.lit(0.0)).alias("label_entropy"), F.try_divide(total("fwd"), F.size("fwd").cast("double")).alias("avg_fwd_return"), _rank_of(F.col("fwd"), 0.5).alias("median_fwd_return"),
+        F.get("mae", F.lit(0)).alias("worst_mae"), *[_rank_of(F.col("mae"), q).alias(f"mae_p{int(q * 100)}") for q in (0.25, 0.5, 0.75)],
+        _rank_of(F.col("age"), 0.5).cast("long").alias("age_median"), F.get("age", F.lit(0)).alias("age_min"), F.get("age", (n - 1).cast("int")).alias("age_max"),
+        same.alias("same_symbol_ratio"), rate(F.size(F.array_distinct(values("case_symbol"))), n).alias("support_diversity"),
+        F.when(F.col("q_regime").isNotNull(), F.try_divide(count(lambda x: x["case_regime"] == F.col("q_regime")).cast("double"), with_regime.cast("double"))).alias("regime_match_rate"),
+        F.transform(h, lambda x: x["case_id"]).alias("case_ids"),
+        F.array_distinct(F.array_compact(F.array(F.when(same > 0.5, SAME_SYMBOL), F.when(n == 0, NO_NEIGHBOURS).when(n < max(1, k // 2), SPARSE)))).alias("warnings"),
     )
 
 

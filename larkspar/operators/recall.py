@@ -1,10 +1,15 @@
 """Exact guarded cosine top-k for many queries at once.
 
-Queries and candidates are hashed into blocks of bounded size; blocks of one cohort meet
-in pairs (never rows), pairs that the guard rules out as a whole are skipped, and each
-pair is one matrix product in numpy that returns at most k rows per query.  A window over
-those rows keeps the best k.  Similarities are compared to 12 digits, ties go to the smaller id.  Zero vectors, NULL vectors and
-vectors of another length are never neighbours.
+Rows of a cohort are dealt into blocks by their index, so a block spans few indices.  Only
+the blocks' keys and bounds are joined, and pairs of blocks that the guard rules out as a
+whole are dropped there, before any vector moves: about half of all pairs, as a query sees
+the past only.  A task then holds the rows of one query block and streams the candidate
+blocks past it: one matrix product per batch, with the k best of every query kept running,
+so query vectors move once, candidate vectors once per query block and no more than k rows
+per query come out.  Similarities are compared to 12 digits, ties go to the smaller id.
+Zero vectors, NULL vectors and vectors of another length are never neighbours.
+
+An exact search compares all allowed pairs: its work grows with the square of a cohort.
 """
 
 from __future__ import annotations
@@ -17,53 +22,88 @@ from pyspark.sql.window import Window
 
 from . import guards
 
-#: Rows of a block: 2048 vectors of 64 doubles are one megabyte.
+#: Rows of a block, about: 2048 vectors of 64 doubles are one megabyte.
 BLOCK = 2048
+#: Candidate rows that one matrix product takes.
+BATCH = 4096
 
 
-def _blocks(df: DataFrame, block: int, prefix: str) -> DataFrame:
-    """One row per (cohort, block): arrays of ids, symbols, indices and vectors."""
-    counts = df.groupBy("cohort").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = df.join(counts, "cohort").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = dealt.groupBy("cohort", "block").agg(F.collect_list(F.struct("id", "symbol", "idx", "vec")).alias("rows"), F.min("idx").alias("low"), F.max("idx").alias("high"))
-    return rows.select("cohort", *[F.col(c).alias(f"{prefix}_{c}") for c in ("block", "rows", "low", "high")])
+def _blocks(df: DataFrame, block: int) -> DataFrame:
+    """Adds the block of every row: its place in the order of indices, divided by ``block``.
 
+    Places come from counts per index; rows of one index share its places by hash, so an
+    index with very many rows has several blocks.
+    """
+    counts = df.groupBy("cohort", "idx").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("cohort").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    place = F.col("first") + F.pmod(F.xxhash64("id"), F.col("n"))
+    return df.join(first, ["cohort", "idx"]).withColumn("block", F.floor(place / block)).drop("n", "first")
+
+
+def _search(k: int, ahead: int, exclude_symbol: bool, gap: int | None):
+    """Runs over rows sorted by query block, the queries of each before its candidates."""
 
-def _match(k: int, ahead: int, exclude_symbol: bool, gap: int | None):
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        def side(column, row):
-            rows = column[row].values
-            ids, symbols, idx, vec = (rows.field(name) for name in ("id", "symbol", "idx", "vec"))
+        def side(rows):
+            vec = rows.column(6).combine_chunks() if isinstance(rows, pa.Table) else rows.column(6)
             lens = np.asarray(pc.list_value_length(vec))
-            return np.asarray(ids), np.array(symbols.fill_null("").to_pylist(), object), np.asarray(idx), lens, np.asarray(vec.flatten()), np.cumsum(lens) - lens
+            return {
+                "id": np.asarray(rows.column(3)), "symbol": np.array(rows.column(4).to_pylist(), object), "idx": np.asarray(rows.column(5)),
+                "lens": lens, "start": np.cumsum(lens) - lens, "flat": np.asarray(vec.flatten()),
+            }
 
         def vectors(x, at, size):
-            return x[4][x[5][at][:, None] + np.arange(size)[None, :]]
-
+            return x["flat"][x["start"][at][:, None] + np.arange(size)[None, :]]
+
+        def merge(q, best, c):
+            for size in np.intersect1d(q["lens"], c["lens"]):
+                a, b = np.flatnonzero(q["lens"] == size), np.flatnonzero(c["lens"] == size)
+                x, y = vectors(q, a, size), vectors(c, b, size)
+                nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
+                with np.errstate(all="ignore"):
+                    sim = np.round((x @ y.T) / (nx[:, None] * ny[None, :]), 12)
+                ok = np.isfinite(sim) & (c["idx"][b][None, :] <= q["idx"][a][:, None] - ahead) & (c["id"][b][None, :] != q["id"][a][:, None])
+                if exclude_symbol:
+                    other = c["symbol"][b][None, :] != q["symbol"][a][:, None]
+                    ok &= other if gap is None else other | (c["idx"][b][None, :] <= q["idx"][a][:, None] - gap)
+                sim = np.concatenate((best[0][a], np.where(ok, sim, -np.inf)), 1)
+                ids = np.concatenate((best[1][a], np.broadcast_to(c["id"][b], ok.shape)), 1)
+                order = np.lexsort((ids, -sim), axis=1)[:, :k]
+                best[0][a], best[1][a] = np.take_along_axis(sim, order, 1), np.take_along_axis(ids, order, 1)
+
+        def show(q, best):
+            i, rank = np.nonzero(np.isfinite(best[0]))
+            columns = (q["id"][i], best[1][i, rank], best[0][i, rank], (rank + 1).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query_id", "case_id", "similarity", "rank"])
+
+        key, waiting, q, best = None, [], None, None
         for batch in batches:
-            for row in range(batch.num_rows):
-                q, c = side(batch.column(0), row), side(batch.column(1), row)
-                out = []
-                for size in np.intersect1d(q[3], c[3]):
-                    a, b = np.flatnonzero(q[3] == size), np.flatnonzero(c[3] == size)
-                    x, y = vectors(q, a, size), vectors(c, b, size)
-                    nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
-                    with np.errstate(all="ignore"):
-                        sim = np.round((x @ y.T) / (nx[:, None] * ny[None, :]), 12)
-                    ok = np.isfinite(sim) & (c[2][b][None, :] <= q[2][a][:, None] - ahead) & (c[0][b][None, :] != q[0][a][:, None])
-                    if exclude_symbol:
-                        other = c[1][b][None, :] != q[1][a][:, None]
-                        ok &= other if gap is None else other | (c[2][b][None, :] <= q[2][a][:, None] - gap)
-                    sim = np.where(ok, sim, -np.inf)
-                    order = np.lexsort((np.broadcast_to(c[0][b], sim.shape), -sim), axis=1)[:, :k]
-                    for i, best in enumerate(order):
-                        out += [(int(q[0][a[i]]), int(c[0][b[j]]), float(sim[i, j])) for j in best if np.isfinite(sim[i, j])]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(col) for col in zip(*out, strict=True)], names=["query_id", "case_id", "similarity"])
+            if not batch.num_rows:
+                continue
+            keys = np.array(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)), object)
+            cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), batch.num_rows]
+            for start, stop in zip(cut[:-1], cut[1:], strict=True):
+                *of, candidate = keys[start]
+                part = batch.slice(start, stop - start)
+                if of != key:
+                    if q is not None:
+                        yield show(q, best)
+                    key, waiting, q = of, [], None
+                if not candidate:
+                    waiting.append(part)
+                    continue
+                if q is None:
+                    q = side(pa.Table.from_batches(waiting))
+                    best = (np.full((len(q["id"]), k), -np.inf), np.full((len(q["id"]), k), np.iinfo(np.int64).max))
+                for at in range(0, part.num_rows, BATCH):
+                    merge(q, best, side(part.slice(at, BATCH)))
+        if q is not None:
+            yield show(q, best)
 
     return run
 
@@ -76,13 +116,22 @@ def top_k(
 
     Both tables have id, symbol, idx, cohort and vec (array<double>).
     """
+    ahead = horizon + purge
     keep = F.col("vec").isNotNull() & F.col("idx").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x))
-    shape = lambda df: df.select(F.col("id").cast("long"), F.col("symbol").cast("string"), F.col("idx").cast("long"), F.coalesce("cohort", F.lit("")).alias("cohort"), F.col("vec").cast("array<double>")).filter(keep)
-    pairs = _blocks(shape(queries), block, "q").join(_blocks(shape(candidates), block, "c"), "cohort")
-    pairs = pairs.filter(F.col("c_low") <= F.col("q_high") - (horizon + purge)).repartition("cohort", "q_block", "c_block")
-    found = pairs.select("q_rows", "c_rows").mapInArrow(_match(k, horizon + purge, exclude_symbol, gap), "query_id long, case_id long, similarity double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "case_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    def shape(df: DataFrame) -> DataFrame:
+        columns = [F.col("id").cast("long"), F.coalesce(F.col("symbol").cast("string"), F.lit("")).alias("symbol"), F.col("idx").cast("long")]
+        return df.select(F.coalesce("cohort", F.lit("")).alias("cohort"), *columns, F.col("vec").cast("array<double>")).filter(keep)
+
+    q, c = _blocks(shape(queries), block), _blocks(shape(candidates), block)
+    bounds = lambda df, name, bound: df.groupBy("cohort", "block").agg(bound("idx").alias(f"{name}_idx")).withColumnRenamed("block", f"{name}_block")
+    # one row per block: keys and bounds alone
+    pairs = bounds(q, "q", F.max).join(bounds(c, "c", F.min), "cohort").filter(F.col("c_idx") <= F.col("q_idx") - ahead).select("cohort", "q_block", "c_block")
+    columns = ["cohort", "q_block", "candidate", "id", "symbol", "idx", "vec"]
+    asked = q.withColumnRenamed("block", "q_block").withColumn("candidate", F.lit(0)).select(*columns)
+    shown = c.withColumnRenamed("block", "c_block").join(pairs, ["cohort", "c_block"]).withColumn("candidate", F.lit(1)).select(*columns)
+    rows = asked.unionByName(shown).repartition("cohort", "q_block").sortWithinPartitions("cohort", "q_block", "candidate")
+    return rows.mapInArrow(_search(k, ahead, exclude_symbol, gap), "query_id long, case_id long, similarity double, rank int")
 
 
 def by_scenario(cases: DataFrame, scenario: str, k: int) -> DataFrame:

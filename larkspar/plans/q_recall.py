@@ -116,7 +116,9 @@ def znorm(spark, sf):
 
 QUERIES["agg12_z_vectors"] = znorm
 SQL["agg12_z_vectors"] = "WITH u AS (SELECT vec_id, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT dim, avg(x) AS m, greatest(stddev_pop(x), 1e-9) AS sd FROM u GROUP BY dim) SELECT vec_id, u.dim, round((x - m) / sd, 5) AS z FROM u JOIN s ON u.dim = s.dim"
-QUERIES["agg4_nearest_rank"] = lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*[evidence.nearest_rank("l_extendedprice", q).alias(n) for n, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))])
+QUERIES["agg4_nearest_rank"] = lambda s, d: evidence.nearest_ranks(
+    table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+)
 SQL["agg4_nearest_rank"] = "SELECT l_returnflag, l_linestatus, quantile_disc(l_extendedprice, 0.25) AS p25, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.75) AS p75 FROM lineitem GROUP BY ALL"
 QUERIES["flt1_guard_pairs"] = lambda s, d: bind(s, d, PATTERNS).filter(guards.check_index(F.col("idx"))).groupBy("symbol").agg(F.max("idx").alias("last"), F.count("*").alias("n"), F.count_if(guards.is_safe(F.lit(300), F.col("idx"))).alias("safe"), F.count_if(guards.future(F.lit(300), F.col("idx"))).alias("future"))
 SQL["flt1_guard_pairs"] = f"SELECT symbol, max(idx) AS last, count(*) AS n, count(*) FILTER (idx <= 260) AS safe, count(*) FILTER (idx > 299) AS future FROM ({PATTERNS}) GROUP BY 1"
@@ -160,7 +162,7 @@ QUERIES["emb4_build_fused"] = fused
 def bootstrap(spark, sf):
     # an ablation asks an evenly spaced sample of 100 queries
     rows = stats.evenly_spaced(cards(spark, sf).select("query_id", "true_S_rate", "support_diversity"), 100, "query_id").collect()
-    arms = {a: stats.bca([r[c] for r in rows], resamples=2000) for a, c in (("true_S", "true_S_rate"), ("diversity", "support_diversity"))}
+    arms = {a: stats.bca([r[c] for r in rows]) for a, c in (("true_S", "true_S_rate"), ("diversity", "support_diversity"))}
     found = stats.compare_arms(arms)
     return spark.createDataFrame([(a, x["point"], x["lower"], x["upper"], x["n"], found["champion"] == a) for a, x in arms.items()], "arm string, point double, lower double, upper double, n long, champion boolean")
 
