@@ -23,16 +23,19 @@ def nearest_rank(column: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
 
 
-def nearest_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float], parts: int = 128) -> DataFrame:
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float], width: int = 16) -> DataFrame:
     """Exact nearest-rank quantiles of groups of any size: (keys, one column per rank).
 
     Approximate cuts part each group's values, counts by part tell which part holds a rank,
     and only the rows of those parts are sorted; no task holds a whole group.
     """
     d = df.select(*keys, F.col(value).alias("x")).filter("x is not null")
+    parts = width * width
     cuts = d.groupBy(*keys).agg(F.percentile_approx("x", [i / parts for i in range(1, parts)], 4 * parts).alias("cuts"))
-    part = F.aggregate("cuts", F.lit(0), lambda n, cut: n + (cut < F.col("x")).cast("int"))
-    d = d.join(cuts, keys).select(*keys, "x", part.alias("part"))
+    cuts = cuts.withColumn("coarse", F.transform(F.sequence(F.lit(width), F.lit(parts - width), F.lit(width)), lambda i: F.get("cuts", i - 1)))
+    below = lambda array: F.aggregate(array, F.lit(0), lambda n, cut: n + (cut < F.col("x")).cast("int"))
+    d = d.join(cuts, keys).withColumn("part", below(F.col("coarse")) * width)  # two steps of ``width`` comparisons
+    d = d.select(*keys, "x", (F.col("part") + below(F.slice("cuts", F.col("part") + 1, F.lit(width - 1)))).alias("part"))
     counts = d.groupBy(*keys, "part").agg(F.count("*").alias("n"))
     whole = Window.partitionBy(*keys)
     upto = F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
