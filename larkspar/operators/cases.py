@@ -81,6 +81,41 @@ def title(verdict: Column, action: Column, price: Column) -> Column:
     return F.when(price.isNull(), verb).otherwise(F.concat(verb, F.format_string(" at %.2f", price)))
 
 
+#: What follows the move in a case's summary, and the frame of the prompt text.
+ENDINGS = {
+    "MISSED_ENTRY": "Lesson: Should have entered with PROBE conviction.", "GOOD_ENTRY": "Entry was correct.",
+    "PREMATURE_EXIT": "Exit was premature; protect strong structures from fear-driven selling.", "GOOD_EXIT": "Exit was correct; risk control saved capital.",
+    "CORRECT_WAIT": "Patience was correct.", "VALIDATED": "Exit was correct.", "BAD_ENTRY": "The action was premature.", "REFUTED": "The action was premature.",
+}
+HEAD = [
+    "## 📋 Case Memory (Outcome-Validated)", "These are past decisions validated before today against actual market outcomes.",
+    "Use them as calibration, not as commands.\n",
+]
+FOOT = (
+    '⚠️ Memory is calibration, not truth. A past SKIP is "correct" only if the subsequent path did NOT offer a risk-adjusted entry. '
+    "Today's market structure decides everything."
+)
+
+
+def summary(verdict: Column, price: Column, pnl: Column, lesson: Column) -> Column:
+    """What came of a case: its move over 10 days (or its lesson, if unknown) and an ending by verdict."""
+    lesson = F.trim(F.coalesce(lesson, F.lit("")))
+    move = F.concat(F.lit("Price "), F.when(pnl >= 0, "rose").otherwise("fell"), F.format_string(" to %.2f (", price), F.format_string("%+.0f%%", F.bround(pnl)), F.lit(") in 10 days."))
+    move = F.when(price.isNotNull() & pnl.isNotNull(), move).otherwise(lesson)
+    endings = [F.when(verdict == v, F.concat(move, F.lit(" " + x))) for v, x in ENDINGS.items()]
+    return F.coalesce(*endings, F.when(lesson != "", lesson).otherwise(move))
+
+
+def case_block(found: DataFrame) -> DataFrame:
+    """Retrieved cases (verdict, journal_date, action, price, verdict_price, pnl_pct, lesson) as one prompt text, the latest first; empty without any."""
+    head = F.concat(F.lit("**["), F.coalesce("verdict", F.lit("CASE")), F.lit("] "), F.coalesce(F.col("journal_date").cast("string"), F.lit("N/A")), F.lit(" — "), title(F.col("verdict"), F.col("action"), F.col("price")), F.lit("**"))
+    line = F.concat_ws("\n", head, F.concat(F.lit("> "), summary(F.col("verdict"), F.col("verdict_price"), F.col("pnl_pct"), F.col("lesson"))), F.lit(""))
+    order = F.sort_array(F.collect_list(F.struct("journal_date", "verdict", line.alias("line"))), asc=False)
+    lines = F.transform(order, lambda x: x["line"])
+    frame = [F.array(*[F.lit(x) for x in HEAD]), lines, F.array(F.lit(FOOT))]
+    return found.agg(F.when(F.count("*") > 0, F.array_join(F.concat(*frame), "\n")).otherwise("").alias("block"))
+
+
 def regrets(trades: DataFrame, top: int = 3) -> DataFrame:
     """Trades that ran far ahead and gave much back, the last ones by day."""
     return trades.filter("mfe_pct > 15 and regret_pct > 10").orderBy(F.desc("day"), "id").limit(top)

@@ -116,10 +116,15 @@ def divergence(day: DataFrame, minutes: DataFrame) -> DataFrame:
 
 
 def memory_text(p: DataFrame) -> DataFrame:
-    """One sentence per selected pattern."""
+    """A few sentences per selected pattern: archetype, score, structure, spring and what followed."""
     pct = lambda c: F.format_string("%+.1f%%", F.col(c))
-    s = F.concat(
-        F.lit("["), F.col("as_of_date").cast("string"), F.lit("] "), F.col("symbol"), F.lit(": "), F.replace("archetype", F.lit("_"), F.lit(" ")), F.lit(" detected. Score "), F.format_string("%.0f", "v8_score"),
-        F.lit(". T10: "), F.col("label_T10"), F.lit(", fwd_return="), pct("fwd_return_T10"), F.lit(", MAE="), pct("mae_T10"), F.lit("."),
+    or_else = lambda c, x: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)).otherwise(x)
+    on = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False))
+    after = lambda h: F.concat(F.lit(f"{h}: "), F.coalesce(F.col(f"label_{h}"), F.lit("None")), F.lit(", fwd_return="), pct(f"fwd_return_{h}"), F.lit(", MAE="), pct(f"mae_{h}"), F.lit("."))
+    text = F.concat_ws(
+        " ",
+        F.concat(F.lit("["), F.col("as_of_date").cast("string"), F.lit("] "), F.col("symbol"), F.lit(" "), F.col("name"), F.lit(": "), F.replace("archetype", F.lit("_"), F.lit(" ")), F.lit(" detected.")),
+        F.concat(F.lit("V8="), F.col("v8_grade"), F.lit("("), F.format_string("%.0f", F.bround("v8_score")), F.lit("), Chan="), or_else("chan_trend_type", "?"), F.lit(" "), or_else("chan_bsp_side", ""), F.lit(" "), or_else("chan_bsp_types", ""), F.lit(".")),
+        F.when(on("spring_coiling"), "Spring coiling active."), F.when(on("spring_launch"), "Spring launch confirmed."), after("T10"), after("T20"),
     )
-    return p.select("pattern_id", s.alias("memory_text"))
+    return p.select("pattern_id", text.alias("memory_text"))

@@ -92,23 +92,54 @@ def replay(atoms: DataFrame, default_prices: tuple[float, ...] = (10.0,) * 6) ->
     d = d.withColumn("outcome", outcome(F.coalesce("prices", F.array(*[F.lit(p) for p in default_prices])), F.col("human_action")))
     x = F.col("outcome")
     kind = diagnose(F.col("tensor.is_lethal"), F.col("tensor.grade"), x["outcome_label"], F.col("discipline.panic_exit"), x["return_t5"], x["return_t10"], F.col("discipline.sizing_pct"))
-    return d.withColumn("diagnosis", kind).withColumn("lesson", lesson(F.col("diagnosis"), F.col("tensor.symbol"), F.col("tensor.as_of_date")))
-
-
-#: What each diagnosis teaches.
-AXIOMS = {
-    "alpha_error": "A clean structure can still fail; check the regime before trusting it.",
-    "beta_error": "Discipline decides; act on the signal, not on the mood.",
-    "scoring_error": "A high grade does not outweigh a lethal flag.",
-    "mixed_error": "Warnings call for a smaller position.",
-    "no_error": "Structure and execution agreed; keep the rule.",
+    risk, regime = F.col("tensor.risk"), F.col("tensor.global_regime")
+    alpha = {"grade": F.col("tensor.grade"), "overheat": risk["overheat_index"], "trap": risk["is_trap"], "lethal": F.col("tensor.is_lethal"), "regime": regime["market_regime"]}
+    return d.withColumn("diagnosis", kind).withColumn("lesson", lesson(F.col("diagnosis"), F.col("tensor.symbol"), F.col("tensor.as_of_date"), alpha, F.col("discipline"), x))
+
+
+#: What each diagnosis teaches.  A beta error has three texts: a panic exit, a lethal chart, else.
+LESSONS = {
+    "panic": "【纪律教训】大周期趋势与支撑位完好，绝不能在盘中洗盘（Washout）低点因恐慌而割肉离场。必须严格以大周期收盘或结构破位为退出信号。",
+    "lethal": "【纪律教训】大周期指标已提示超买或微观存在高潮骗炮（Overheat={overheat}），绝对严禁满仓追高！必须遵守分批或轻仓纪律。",
+    "intraday": "【纪律教训】在面临日内波动时，必须严格执行日内T+0减仓规避短线波动，而非在持仓期不做任何对冲保护。",
+    "alpha_error": "【系统教训】个股在健康的左侧和右侧共振形态下依然发生跌破，表明市场大环境出现短期风格切换（Regime={regime}）或局部主力诱多出货，指标发生回撤。",
+    "scoring_error": "【评分教训】V8评分系统存在钝化滞后。在个股量能微观场已经检测出骗炮/诱多风险（is_trap=True）的情况下，评分依然给出了 S/A 的高评分，需要修正评分权重。",
+    "mixed_error": "【综合教训】个股本身处于量能与风险的模糊边界，同时执行端严重超重仓（Sizing={sizing}），在没有对冲保护的情况下，多重失误共振导致亏损。",
+    "no_error": "【操作规范】在 Grade={grade} 且大盘稳定的背景下，严格按照模型信号操作，交易逻辑闭环，无纪律违规。",
 }
-
-
-def lesson(diagnosis: Column, symbol: Column, as_of: Column) -> Column:
-    """struct(id, axiom): no part of the chat gets in."""
-    axiom = F.coalesce(*[F.when(diagnosis == k, F.lit(x)) for k, x in AXIOMS.items()], F.lit(""))
-    return F.struct(F.substring(F.sha2(F.concat_ws("|", symbol, as_of, diagnosis), 256), 1, 16).alias("lesson_id"), axiom.alias("axiom"))
+EVIDENCE = "Alpha: Grade={grade}, Overheat={overheat}, is_trap={trap} | Beta: Sizing={share}, Panic={panic}, Override={override} | Outcome: T5_ret={t5}, MAE={mae}, MFE={mfe}"
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A text with its {names} replaced by columns."""
+    parts, rest = [], template
+    while "{" in rest:
+        before, _, rest = rest.partition("{")
+        name, _, rest = rest.partition("}")
+        parts += [F.lit(before), values[name]]
+    return F.concat(*parts, F.lit(rest))
+
+
+def lesson(diagnosis: Column, symbol: Column, as_of: Column, alpha: dict[str, Column], beta: Column, outcome_: Column) -> Column:
+    """struct(lesson_id, verdict_type, core_axiom, evidence): no part of the chat gets in.
+
+    alpha: grade, overheat (double), trap and lethal (boolean), regime; beta and outcome_ are
+    the structs of :func:`discipline` and :func:`outcome`.
+    """
+    flag = lambda c: F.when(c, "True").otherwise("False")
+    percent = lambda c: F.format_string("%.2f%%", 100 * c)
+    sizing = beta["sizing_pct"]
+    values = {
+        "grade": alpha["grade"], "overheat": alpha["overheat"].cast("string"), "regime": alpha["regime"], "trap": flag(alpha["trap"]),
+        "sizing": sizing.cast("string"), "share": F.format_string("%.1f", sizing), "panic": flag(beta["panic_exit"]), "override": flag(beta["fundamental_override"]),
+        "t5": percent(outcome_["return_t5"]), "mae": percent(outcome_["mae"]), "mfe": percent(outcome_["mfe"]),
+    }
+    kind = F.when(diagnosis == "beta_error", F.when(beta["panic_exit"], "panic").when(alpha["lethal"], "lethal").otherwise("intraday"))
+    kind = kind.when(diagnosis.isin("alpha_error", "scoring_error", "mixed_error"), diagnosis).otherwise("no_error")
+    axiom = F.coalesce(*[F.when(kind == k, fill(x, **values)) for k, x in LESSONS.items()])
+    moment = F.translate(as_of, ":-", "")
+    number = F.concat(F.lit("LS1-"), F.replace(symbol, F.lit("."), F.lit("_")), F.lit("-"), F.upper(diagnosis), F.lit("-"), moment)
+    return F.struct(number.alias("lesson_id"), F.upper(diagnosis).alias("verdict_type"), axiom.alias("core_axiom"), fill(EVIDENCE, **values).alias("evidence"))
 
 
 def distil(kind: Column, symbol: Column, as_of: Column, text: Column) -> Column:

@@ -89,21 +89,27 @@ def bca(values: list[float], resamples: int = 10_000, level: float = 0.95, seed:
     return {"point": point, "lower": ends[0], "upper": ends[1], "n": n, "n_resamples": resamples, "method": "bca", "acceleration": a}
 
 
-def compare_arms(intervals: dict[str, dict[str, float]]) -> dict:
-    """Pairwise verdicts of arms: SIGNIFICANT or HURTS if intervals are disjoint, else UNCERTAIN; champion by tally."""
-    names = list(intervals)
-    pairs, tally = [], {n: [0, 0, 0] for n in names}
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            x, y = intervals[a], intervals[b]
-            verdict = "SIGNIFICANT" if y["lower"] > x["upper"] else "HURTS" if y["upper"] < x["lower"] else "UNCERTAIN"
-            pairs.append((a, b, verdict))
-            better, worse = {"SIGNIFICANT": (b, a), "HURTS": (a, b)}.get(verdict, (None, None))
-            for n in (a, b):
-                tally[n][0 if n == better else 2 if n == worse else 1] += 1
-    order = sorted(names, key=lambda n: (-tally[n][0], -tally[n][1], tally[n][2]))
-    tied = len(order) > 1 and tally[order[0]] == tally[order[1]]
-    return {"pairs": pairs, "tally": tally, "order": order, "champion": order[0] if order else None, "tied": tied}
+def compare_arms(arms: dict[str, dict[str, float]]) -> dict:
+    """Every arm against every other, by its point and the lower end of its interval.
+
+    SIGNIFICANT: the lower end is above the other's point; UNCERTAIN: only the point is;
+    else HURTS.  Arms rank by wins of either kind, then by fewer losses.  The report is
+    PENDING for fewer than two arms, SIGNIFICANT if the first arm beats all others clearly,
+    TIED if the first two have the same tally, else UNCERTAIN.
+    """
+    kinds = ("SIGNIFICANT", "UNCERTAIN", "HURTS")
+    pairs = {
+        (a, b): kinds[0] if x["lower"] > y["point"] else kinds[1] if x["point"] > y["point"] else kinds[2]
+        for a, x in arms.items() for b, y in arms.items() if a != b
+    }
+    tally = {a: tuple(sum(v == kind for (left, _), v in pairs.items() if left == a) for kind in kinds) for a in arms}
+    merit = lambda a: (tally[a][0], tally[a][1], -tally[a][2])
+    order = sorted(arms, key=merit, reverse=True)
+    if len(order) < 2:
+        return {"verdict": "PENDING", "champion": None, "order": order, "pairs": pairs, "tally": tally}
+    first = tally[order[0]]
+    verdict = kinds[0] if first[0] == len(order) - 1 and not first[2] else "TIED" if merit(order[0]) == merit(order[1]) else kinds[1]
+    return {"verdict": verdict, "champion": order[0], "order": order, "pairs": pairs, "tally": tally}
 
 
 def mean_metrics(cards: DataFrame) -> DataFrame:
@@ -111,6 +117,30 @@ def mean_metrics(cards: DataFrame) -> DataFrame:
     return cards.agg(F.count("*").alias("queries"), *[F.avg(c).alias(f"mean_{c}") for c in ("true_S_rate", "stale_S_rate", "false_trap_rate", "label_entropy", "avg_fwd_return", "support_diversity", "same_symbol_ratio")])
 
 
+#: Least gain of the fused arm's rank correlation over the plain one's.
+GATE = 0.02
+
+
+def rank_ic_gate(arms: DataFrame, base: str = "z", fused: str = "fused", gate: float = GATE) -> DataFrame:
+    """arms: arm, n, rank_ic.  One row: both values, their difference and whether it exceeds the gate (NULL if a value is missing)."""
+    of = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
+    one = arms.agg(of(base, "rank_ic").alias("base_ic"), of(fused, "rank_ic").alias("fused_ic"), of(base, "n").alias("n_base"), of(fused, "n").alias("n_fused"))
+    delta = F.col("fused_ic") - F.col("base_ic")
+    return one.select("base_ic", "fused_ic", delta.alias("delta"), (delta > gate).alias("passes_gate"), "n_base", "n_fused")
+
+
+def out_of_sample(patterns: DataFrame, most: int, share: float = 0.7, order: str = "idx", key: str = "id") -> DataFrame:
+    """At most ``most`` evenly spaced rows of those after the first ``share`` by order."""
+    ranked = ordinal(patterns, order, key, "__at")
+    n = patterns.count()
+    split = split_point(n, share)
+    left = n - split
+    if left <= most or most <= 0:
+        return ranked.filter(F.col("__at") > split).drop("__at")
+    wanted = {split + 1 + int(i * (left - 1) / (most - 1)) for i in range(most)} if most > 1 else {split + 1}
+    return ranked.filter(F.col("__at").isin(sorted(wanted))).drop("__at")
+
+
 def split_point(n: int, share: float = 0.7) -> int:
     return int(share * n)
 

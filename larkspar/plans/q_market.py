@@ -130,7 +130,6 @@ def brute_select(s, d):
 QUERIES["top2_select_patterns"] = brute_select
 QUERIES["jon9_similar_to"] = lambda s, d: graph.similar_to(selected(s, d), "vec", least=0.0).select("source", "target", F.round("weight", 6).alias("weight"))
 QUERIES["jon10_supports"] = lambda s, d: graph.supports(selected(s, d)).select("source", "target", F.round("weight", 6).alias("weight"))
-QUERIES["prj24_memory_text"] = lambda s, d: graph.memory_text(selected(s, d))
 QUERIES["jon7_follows"] = lambda s, d: graph.follows(bind(s, d, PATTERNS)).select("source", "target", F.round("weight", 6).alias("weight"))
 SQL["jon7_follows"] = f"WITH p AS ({PATTERNS}) SELECT a.id AS source, b.id AS target, round(greatest(0, 1 - (b.idx - a.idx) / 5), 6) AS weight FROM p a JOIN p b ON a.symbol = b.symbol AND b.idx > a.idx AND b.idx <= a.idx + 5 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.idx, b.id) <= 3"
 QUERIES["jon8_recovered_from"] = lambda s, d: graph.recovered_from(bind(s, d, PATTERNS).withColumn("symbol", F.lit("x"))).select("source", "target", F.round("weight", 6).alias("weight"))

@@ -123,14 +123,12 @@ SQL["rul3_sandbox_diagnosis"] = f"SELECT conv_id, turn, CASE WHEN starts_with(ac
 
 
 def replay(s, d):
-    c = bind(s, d, CHATS).select("conv_id", "turn", F.col("said").alias("raw_text"), F.col("reply").alias("agent_reply"), F.col("action").alias("human_action"), F.when(F.col("r5").isNotNull(), F.array(F.lit(10.0), F.lit(10.0), 10 * (1 + F.col("r10")))).alias("prices"), F.struct(F.col("lethal").alias("is_lethal"), "grade", F.lit("S").alias("symbol"), F.lit("2026-01-01").alias("as_of_date")).alias("tensor"))
+    c = bind(s, d, CHATS).select("conv_id", "turn", F.col("said").alias("raw_text"), F.col("reply").alias("agent_reply"), F.col("action").alias("human_action"), F.when(F.col("r5").isNotNull(), F.array(F.lit(10.0), F.lit(10.0), 10 * (1 + F.col("r10")))).alias("prices"), F.struct(F.col("lethal").alias("is_lethal"), "grade", F.lit("S").alias("symbol"), F.lit("2026-01-01").alias("as_of_date"), F.struct(F.lit(1.5).alias("overheat_index"), F.lit(False).alias("is_trap")).alias("risk"), F.struct(F.lit("range").alias("market_regime")).alias("global_regime")).alias("tensor"))
     return pv.replay(c).select("conv_id", "turn", F.round("outcome.return_t5", 6).alias("r5"), F.round("outcome.mae", 6).alias("mae"), F.round("outcome.return_t1", 6).alias("r1"), "outcome.outcome_label")
 
 
 QUERIES["api9_replay"] = replay
 SQL["api9_replay"] = f"WITH c AS (SELECT conv_id, turn, action, r5 IS NOT NULL AS has, CASE WHEN r5 IS NOT NULL THEN r10::DOUBLE ELSE 0 END AS r FROM ({CHATS})) SELECT conv_id, turn, round(r, 6) AS r5, round(least(r, 0), 6) AS mae, 0.0::DOUBLE AS r1, CASE WHEN contains(action, 'BUY') AND NOT contains(action, 'NO') AND r >= 0.02 THEN 'TRUE_POSITIVE' WHEN action IN ('NO_BUY', 'AVOID') AND r >= 0.02 THEN 'FALSE_NEGATIVE' ELSE 'NEUTRAL' END AS outcome_label FROM c"
-QUERIES["prj30_lesson_axiom"] = lambda s, d: bind(s, d, CHATS).select("conv_id", "turn", pv.lesson(F.when(F.col("lethal"), "beta_error").otherwise("no_error"), F.lit("S"), F.col("turn").cast("string")).alias("l")).select("conv_id", "turn", "l.*")
-SQL["prj30_lesson_axiom"] = f"SELECT conv_id, turn, substr(sha256('S|' || turn::VARCHAR || '|' || CASE WHEN lethal THEN 'beta_error' ELSE 'no_error' END), 1, 16) AS lesson_id, CASE WHEN lethal THEN '{pv.AXIOMS['beta_error']}' ELSE '{pv.AXIOMS['no_error']}' END AS axiom FROM ({CHATS})"
 QUERIES["rul13_forward_label"] = lambda s, d: bind(s, d, PATTERNS).select("id", *[pv.forward_label(h, F.col("fwd_return_T10")).alias(h.lower()) for h in ("T5", "T10", "T20")])
 SQL["rul13_forward_label"] = f"SELECT id, {', '.join(f'CASE WHEN fwd_return_T10 >= {a} THEN {chr(39)}true_S{chr(39)} WHEN fwd_return_T10 <= {b} THEN {chr(39)}stale_S{chr(39)} ELSE {chr(39)}neutral{chr(39)} END AS {h}' for h, a, b in (('t5', 3, -2), ('t10', 5, -3), ('t20', 8, -5)))} FROM ({PATTERNS})"
 
@@ -186,8 +184,10 @@ QUERIES["snk10_ghost_trades"] = lambda s, d: sinks.ghost_trades(table(s, d, "ord
 SQL["snk10_ghost_trades"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 5 ELSE 20 END AS horizon, 0 AS days FROM orders"
 QUERIES["src12_semi_join"] = lambda s, d: readers.existing(table(s, d, "customer").select("c_custkey"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 SQL["src12_semi_join"] = "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"
-QUERIES["jon12_anti_join"] = lambda s, d: readers.unseen(table(s, d, "customer").select("c_custkey"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
-SQL["jon12_anti_join"] = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+QUERIES["jon12_anti_join"] = lambda s, d: readers.unseen(
+    table(s, d, "customer").select("c_custkey"), table(s, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]
+)
+SQL["jon12_anti_join"] = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"
 QUERIES["set2_distinct_cohorts"] = lambda s, d: bind(s, d, PATTERNS).select("symbol", F.size("vec").alias("dims")).distinct()
 SQL["set2_distinct_cohorts"] = f"SELECT DISTINCT symbol, len(vec) AS dims FROM ({PATTERNS})"
 QUERIES["jon6_left_join_default"] = lambda s, d: pv.with_default(table(s, d, "customer").select("c_custkey"), table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderpriority").alias("snapshot")), ["c_custkey"], "none")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larkspar.functions import snapshot as sn
 from larkspar.functions import text as tx
 from larkspar.functions import vectors as v
-from larkspar.operators import bars, evidence, fusion, guards, provenance, recall, stats, tensor
+from larkspar.operators import bars, cases, evidence, fusion, guards, provenance, recall, stats, tensor
 from larkspar.plans import actions
 from larkspar.sources import sinks
 from larkspar.streaming import episodes
@@ -133,9 +133,98 @@ def test_bca_contains_point():
 
 
 def test_compare_arms():
-    arms = {"a": {"lower": 0.1, "upper": 0.2}, "b": {"lower": 0.3, "upper": 0.4}, "c": {"lower": 0.15, "upper": 0.35}}
+    arms = {"a": {"point": 0.15, "lower": 0.1}, "b": {"point": 0.35, "lower": 0.3}, "c": {"point": 0.25, "lower": 0.15}}
     r = stats.compare_arms(arms)
-    assert r["champion"] == "b" and ("a", "b", "SIGNIFICANT") in r["pairs"] and not r["tied"]
+    assert r["champion"] == "b" and r["verdict"] == "SIGNIFICANT" and r["pairs"]["a", "b"] == "HURTS" and r["pairs"]["c", "a"] == "UNCERTAIN" and r["tally"]["b"] == (2, 0, 0)
+    assert stats.compare_arms({"a": arms["a"]})["verdict"] == "PENDING"
+    same = {"a": {"point": 0.2, "lower": 0.1}, "b": {"point": 0.2, "lower": 0.1}}
+    assert stats.compare_arms(same)["verdict"] == "TIED" and stats.compare_arms(arms | {"b": {"point": 0.35, "lower": 0.2}})["verdict"] == "UNCERTAIN"
+
+
+def test_indicator_recursions_by_plain_loops():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for n in (5, 14, 15, 78, 79, 300):
+        x = r.normal(10, 3, n)
+        for weight, seed, first in ((1 / 14, 14, 1), (2 / 13, 12, 0)):
+            want = [None] * n
+            if n >= first + seed:
+                want[first + seed - 1] = float(np.mean(x[first : first + seed]))
+                for i in range(first + seed, n):
+                    want[i] = want[i - 1] + weight * (x[i] - want[i - 1])
+            got = bars.smooth(x, weight, seed, first)
+            assert all(np.isnan(g) if w is None else abs(g - w) < 1e-9 for g, w in zip(got, want, strict=True))
+
+
+def test_indicators_are_those_of_each_series(spark):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    series = {f"s{k}": r.normal(50, 5, (n, 4)).cumsum(0) for k, n in enumerate((1, 20, 33, 90, 250))}
+    rows = [(k, i, *map(float, v)) for k, m in series.items() for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "symbol string, day int, high double, low double, close double, volume double").repartition(3)
+    got = {}
+    for x in bars.indicators(df, "symbol", "day").collect():
+        got[x["symbol"], x["day"]] = x
+    for k, m in series.items():
+        want = bars.indicators_of(*m.T)
+        for name, values in want.items():
+            assert all((got[k, i][name] is None or np.isnan(got[k, i][name])) if np.isnan(v) else abs(got[k, i][name] - v) < 1e-9 for i, v in enumerate(values)), (k, name)
+
+
+def test_recall_by_brute_force_over_cohorts_and_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    rows = [(i, f"s{i % 4}", int(r.integers(0, 90)), "a" if i % 3 else "b", [float(v) for v in r.normal(size=6 if i % 7 else 4)]) for i in range(300)]
+    rows += [(400, "s1", 80, "a", [0.0] * 6), (401, "s1", 80, None, [1.0] * 6), (402, "s1", None, "a", [1.0] * 6)]
+    df = spark.createDataFrame(rows, "id long, symbol string, idx long, cohort string, vec array<double>")
+
+    def cosine(a, b):
+        d = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b)) / d, 12) if d else None
+
+    for options in ({}, {"exclude_symbol": True}, {"exclude_symbol": True, "gap": 60}):
+        want = set()
+        for q in rows:
+            found = []
+            for c in rows:
+                if None in (q[2], c[2]) or (q[3] or "") != (c[3] or "") or len(q[4]) != len(c[4]) or c[0] == q[0] or c[2] > q[2] - 40:
+                    continue
+                if options and c[1] == q[1] and not ("gap" in options and c[2] <= q[2] - 60):
+                    continue
+                if (s := cosine(q[4], c[4])) is not None:
+                    found.append((-s, c[0]))
+            want |= {(q[0], c, k + 1) for k, (_, c) in enumerate(sorted(found)[:5])}
+        for block in (7, 2048):
+            got = {(x["query_id"], x["case_id"], x["rank"]) for x in recall.top_k(df, df, block=block, **options).collect()}
+            assert got == want
+    plan = recall.top_k(df, df)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+
+
+def test_nearest_ranks_of_odd_groups(spark):
+    import math
+
+    groups = {"one": [5.0], "ties": [1.0] * 50 + [2.0], "two": [3.0, 1.0], "long": [float((i * 7919) % 1000) for i in range(3000)]}
+    df = spark.createDataFrame([(k, v) for k, x in groups.items() for v in [*x, None]], "g string, v double")
+    got = {x["g"]: (x["a"], x["b"], x["c"]) for x in evidence.nearest_ranks(df, ["g"], "v", {"a": 0.25, "b": 0.5, "c": 1.0}).collect()}
+    assert got == {k: tuple(sorted(x)[max(math.ceil(q * len(x)), 1) - 1] for q in (0.25, 0.5, 1.0)) for k, x in groups.items()}
+
+
+def test_case_block(spark):
+    rows = [("GOOD_ENTRY", "2024-01-02", "BUY", 10.0, 12.5, 25.0, None), ("MISSED_ENTRY", "2024-02-02", "WAIT", None, None, None, " waited too long "), (None, None, "HOLD", 3.0, 2.0, -33.4, "x")]
+    df = spark.createDataFrame(rows, "verdict string, journal_date string, action string, price double, verdict_price double, pnl_pct double, lesson string")
+    block = cases.case_block(df).first()["block"]
+    assert block.index("**[MISSED_ENTRY] 2024-02-02 — You waited**\n> waited too long Lesson: Should have entered") < block.index("**[GOOD_ENTRY] 2024-01-02 — You bought at 10.00**\n> Price rose to 12.50 (+25%) in 10 days. Entry was correct.")
+    assert "**[CASE] N/A — You acted at 3.00**\n> x\n" in block and cases.case_block(df.limit(0)).first()["block"] == ""
+
+
+def test_out_of_sample(spark):
+    d = spark.range(100).select("id", (99 - F.col("id")).alias("idx"))
+    assert sorted(x["idx"] for x in stats.out_of_sample(d, 4).collect()) == [70, 79, 89, 99]
+    assert stats.out_of_sample(d, 50).count() == 30 and stats.out_of_sample(d, 0).count() == 30
 
 
 def test_outcome_edges(spark):
