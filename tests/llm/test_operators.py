@@ -34,6 +34,34 @@ def test_sharding(spark):
     assert sharding.assign(data.frame(spark, [])).count() == 0
 
 
+def test_placement_by_brute_force(spark):
+    """The descent of every key in plain loops, for two trees; ties of slots are numbered without gaps."""
+    import math
+
+    def choose(key, prefix, weights):
+        draws = []
+        for i, w in enumerate(weights):
+            if w:
+                bits = int(hashlib.md5(f"larkspar|{key}|{prefix}/{i}".encode()).hexdigest()[:13], 16)
+                draws.append((-math.log((bits + 0.5) / (1 << 52)) / w, i))
+        return min(draws)[1]
+
+    def descend(key, tree):
+        total = lambda rack: sum(w for _, w in rack)
+        r = choose(key, "r", [sum(map(total, region)) for region in tree.regions])
+        k = choose(key, f"r/{r}", list(map(total, tree.regions[r])))
+        return tree.regions[r][k][choose(key, f"r/{r}/{k}", [w for _, w in tree.regions[r][k]])][0]
+
+    tree = sharding.uniform_tree(40)
+    rows = data.texts() + [(None, None, None, None)] * 50
+    got = rows_of(sharding.assign(data.frame(spark, rows)))
+    for r in got:
+        key = "null" if r["doc_id"] is None else str(r["doc_id"])
+        assert r["shard"] == descend(key, tree) and r["grown_shard"] == descend(key, sharding.grow(tree))
+    null = [r["slot"] for r in got if r["doc_id"] is None]
+    assert len(null) == len(set(null)) == sum(i is None for i, *_ in rows)
+
+
 def test_weights_share_keys_and_confine_movement(spark):
     d = spark.range(20_000)
     tree = sharding.Tree(((((0, 1.0), (1, 3.0)), ((2, 2.0),)), (((3, 2.0), (4, 0.0)),)))
