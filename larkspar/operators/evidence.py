@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,29 +25,34 @@ def nearest_rank(column: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
 
 
-def nearest_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float], width: int = 16) -> DataFrame:
+#: Accuracy of the approximate quantiles, and how far around a rank the bounds are taken.
+ACCURACY, AROUND = 1024, 1 / 128
+
+
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
     """Exact nearest-rank quantiles of groups of any size: (keys, one column per rank).
 
-    Approximate cuts part each group's values, counts by part tell which part holds a rank,
-    and only the rows of those parts are sorted; no task holds a whole group.
+    Approximate quantiles AROUND each rank, eight times as far as they can be off, bound
+    where it lies.  Rows below the bounds are counted, and those within, about one in 64,
+    are reduced to counts by value, in whose order the rank is found.
     """
     d = df.select(*keys, F.col(value).alias("x")).filter("x is not null")
-    parts = width * width
-    cuts = d.groupBy(*keys).agg(F.percentile_approx("x", [i / parts for i in range(1, parts)], 4 * parts).alias("cuts"))
-    cuts = cuts.withColumn("coarse", F.transform(F.sequence(F.lit(width), F.lit(parts - width), F.lit(width)), lambda i: F.get("cuts", i - 1)))
-    below = lambda array: F.aggregate(array, F.lit(0), lambda n, cut: n + (cut < F.col("x")).cast("int"))
-    d = d.join(cuts, keys).withColumn("part", below(F.col("coarse")) * width)  # two steps of ``width`` comparisons
-    d = d.select(*keys, "x", (F.col("part") + below(F.slice("cuts", F.col("part") + 1, F.lit(width - 1)))).alias("part"))
-    counts = d.groupBy(*keys, "part").agg(F.count("*").alias("n"))
-    whole = Window.partitionBy(*keys)
-    upto = F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.ceil(F.lit(q) * F.col("total")).alias("rank")) for name, q in ranks.items()])
-    found = counts.withColumns({"upto": upto, "total": F.sum("n").over(whole)}).withColumn("w", F.explode(wanted))
-    found = found.filter((F.col("w.rank") <= F.col("upto")) & (F.col("w.rank") > F.col("upto") - F.col("n")))
-    found = found.groupBy(*keys, "part").agg(F.collect_list(F.struct("w.name", (F.col("w.rank") - F.col("upto") + F.col("n")).alias("at"))).alias("wanted"))
-    at = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("x"))
-    rows = d.join(found, [*keys, "part"]).withColumn("at", at).withColumn("w", F.explode("wanted")).filter("w.at = at")
-    return rows.groupBy(*keys).agg(*[F.max(F.when(F.col("w.name") == name, F.col("x"))).alias(name) for name in ranks])
+    names = list(ranks)
+    at = [min(max(q + side * AROUND, 0.0), 1.0) for q in ranks.values() for side in (-1, 1)]
+    cuts = d.groupBy(*keys).agg(F.percentile_approx("x", at, ACCURACY).alias("cuts"), F.count("*").alias("total"))
+    cuts = cuts.select(*keys, "total", *[F.get("cuts", F.lit(k)).alias(f"cut{k}") for k in range(len(at))])
+    d = d.join(cuts, keys)
+    x, low, high = F.col("x"), [F.col(f"cut{2 * k}") for k in range(len(names))], [F.col(f"cut{2 * k + 1}") for k in range(len(names))]
+    below = d.groupBy(*keys).agg(*[F.count_if(x < low[k]).alias(f"below{k}") for k in range(len(names))])
+    near = [(x >= low[k]) & (x <= high[k]) for k in range(len(names))]
+    inside = d.filter(reduce(lambda a, b: a | b, near)).select(*keys, "x", "total", F.explode(F.array(*[F.when(near[k], F.lit(k)) for k in range(len(names))])).alias("k"))
+    counts = inside.filter("k is not null").groupBy(*keys, "k", "x").agg(F.count("*").alias("n"), F.first("total").alias("total"))
+    upto = F.sum("n").over(Window.partitionBy(*keys, "k").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    of_k = lambda columns: F.coalesce(*[F.when(F.col("k") == k, c) for k, c in enumerate(columns)])
+    counts = counts.withColumn("upto", upto).join(below, keys)
+    rank = F.ceil(of_k([F.lit(q) for q in ranks.values()]) * F.col("total"))
+    found = counts.filter(of_k([F.col(f"below{k}") for k in range(len(names))]) + F.col("upto") >= rank)
+    return found.groupBy(*keys).agg(*[F.min(F.when(F.col("k") == k, x)).alias(name) for k, name in enumerate(names)])
 
 
 def _rank_of(values: Column, q: float) -> Column:
