@@ -12,7 +12,7 @@ WARN_OVERHEAT, DAY_TRADE = ["overheat", "超买", "过热"], ["做t", "日内"]
 WARN_SIZE = ["仓位", "不建议满仓", "风控", "风险"]
 PANIC = ["慌了", "怕了", "砸了", "割肉", "急跌", "panic"]
 FUNDAMENTAL = ["基本面", "研报", "业绩", "行业", "override"]
-HALF, FULL, TENTH, THIRD = ["半", "0.5"], ["满仓", "梭哈", "全仓", "1.0", "full"], ["一成", "0.1"], ["三成", "0.3"]
+HALF, FULL, TENTH, THIRD = ["半", "一半", "0.5", "半分"], ["满仓", "梭哈", "全仓", "1.0", "full"], ["一成", "0.1"], ["三成", "0.3"]
 
 
 def has_any(value: Column, words: list[str]) -> Column:

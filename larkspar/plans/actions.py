@@ -36,12 +36,17 @@ def require(params: dict, *names: str) -> None:
         raise ValueError(f"missing parameters: {', '.join(gone)}")
 
 
-@action("evaluate", "run summary of a ledger")
+@action("evaluate", "run summary of a ledger, written as a table if an output is named")
 def _evaluate(spark, p):
     from ..operators import ledger
 
     require(p, "ledger")
-    return {"status": "ok", "runs": [r.asDict() for r in ledger.summary(spark.read.parquet(p["ledger"])).limit(1000).collect()]}
+    found = ledger.summary(spark.read.parquet(p["ledger"]))
+    if p.get("output"):
+        found.write.mode("overwrite").parquet(p["output"])
+        return {"status": "ok", "output": p["output"]}
+    # one row per run; a result that is returned as JSON passes through the driver as a whole
+    return {"status": "ok", "runs": [r.asDict() for r in found.toLocalIterator()]}
 
 
 @action("evolve", "write a new version of a table; needs dry_run off and unfreeze on", writes=True)

@@ -34,9 +34,17 @@ def bars(spark: SparkSession, path: str, symbols: list[str] | None = None, perio
 
 
 def runs(spark: SparkSession, *paths: str) -> DataFrame:
-    """Ledgers of many runs as one table; files that vanish or cannot be read are skipped, repeated paths count once."""
+    """Ledgers of many runs as one table.
+
+    Paths that are not there, and files that vanish or cannot be read, are skipped; repeated paths count once.  No path at all raises.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = [(p, jvm.org.apache.hadoop.fs.Path(p)) for p in dict.fromkeys(paths)]
+    paths = [p for p, x in at if x.getFileSystem(conf).exists(x)]
+    if not paths:
+        raise FileNotFoundError("none of the ledgers is there")
     reader = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).option("mergeSchema", True)
-    return reader.parquet(*dict.fromkeys(paths)).withColumn("source_db", F.input_file_name())
+    return reader.parquet(*paths).withColumn("source_db", F.input_file_name())
 
 
 def pending(queue: DataFrame) -> DataFrame:

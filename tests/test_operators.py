@@ -204,6 +204,17 @@ def test_recall_by_brute_force_over_cohorts_and_blocks(spark):
     assert "CartesianProduct" not in plan
 
 
+def test_ledgers_of_many_runs(spark, tmp_path):
+    from larkspar.sources import readers
+
+    for k in range(2):
+        spark.createDataFrame([(k, "BUY")], "id long, action string").write.parquet(str(tmp_path / f"run{k}"))
+    paths = [str(tmp_path / x) for x in ("run0", "gone", "run1", "run0")]
+    assert sorted(r["id"] for r in readers.runs(spark, *paths).collect()) == [0, 1]
+    with pytest.raises(FileNotFoundError):
+        readers.runs(spark, str(tmp_path / "gone"))
+
+
 def test_nearest_ranks_of_odd_groups(spark):
     import math
 
