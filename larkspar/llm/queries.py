@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cube, digest_index, fertility, hamerly, langid, near_dup, packing, pii, sharding, site_templates, toxicity, treaps
+from . import cube, digest_index, fertility, hamerly, langid, metric_join, near_dup, packing, pii, sharding, site_templates, toxicity, treaps
 
 QUERIES = {
     "op1_hash_tree": sharding.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_cube_mix": cube.op8,
     "op9_crf_pii": pii.op9,
     "op10_digest_index": digest_index.op10,
+    "op11_voronoi_join": metric_join.op11,
     "op12_inverted_treaps": treaps.op12,
     "op13_hamerly": hamerly.op13,
 }
