@@ -14,13 +14,17 @@ inequality.  Links are pairs within EPS = 1 - percent / 100.
 2. *First pivots.*  The least member of a region is its pivot.  A document goes to the pivot
    that it shares most slices with; the distance to it is computed on full sets.  Components
    of the links found, and only regions with members of several components go on.
-3. *Voronoi regions.*  A region of more than LEAF members gets PIVOTS pivots, drawn by hash.
+3. *Profiles.*  A profile counts a set's shingles by bin.  Profiles of linked sets differ by d
+   at most, summed over bins, as each shingle that only one has changes one count by one: a
+   coarser metric that bounds the sets' own from below, at a 32nd of their bytes.  Members of
+   a region that it does not part form the groups whose full sets are compared.
+4. *Voronoi regions.*  A group of more than LEAF members gets PIVOTS pivots, drawn by hash.
    Distances of all members to them are exact.  A member lives in the cell of its nearest
    pivot p, and is replicated to that of any pivot q with d(x, q) <= d(x, p) + 2 EPS: for a
    partner y that lives there d(x, q) <= d(y, q) + EPS <= d(y, p) + EPS <= d(x, p) + 2 EPS.
    Members within EPS of a pivot are linked to it at once.  Cells are split again, up to
    DEPTH times, while they shrink below SHRINK of their region and mix components.
-4. *Leaves.*  Pairs of a cell are compared exactly if one of them lives there, their
+5. *Leaves.*  Pairs of a cell are compared exactly if one of them lives there, their
    components differ, their sizes allow it, and their distances to the cell's pivot differ
    by EPS at most (triangle inequality).  A cell is dealt to tasks in pairs of blocks, so no
    task holds more than two blocks, and a search returns a spanning forest of its links,
@@ -58,7 +62,9 @@ PIVOTS, LEAF, DEPTH, SHRINK = 16, 512, 4, 0.75
 DEAL, LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 2048, 128, 4096, 32 << 20
 #: Rounding of distances as doubles; windows are wider by it.
 TINY = 1e-9
-SLICED = "doc_id long, text_hash long, n_shingles long, set_id binary, node long, other long, keys array<long>"
+#: Least number of bins of a profile, and shingles of a bin; the number is a power of two.
+LEAST_BINS, BIN = 64, 4
+SLICED = "doc_id long, text_hash long, n_shingles long, set_id binary, node long, other long, keys array<long>, profile binary"
 
 
 def steps(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +96,13 @@ def keys_of(x: np.ndarray, first: np.ndarray, slices: np.ndarray, percent: int)
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
+def profile(x: np.ndarray) -> bytes:
+    """Shingles by bin, up to 255; the number of bins follows the size."""
+    bins = max(LEAST_BINS, 1 << (max(1, len(x) // BIN) - 1).bit_length())
+    at = (x >> np.uint64(64 - (bins.bit_length() - 1))).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=bins), 255).astype(np.uint8).tobytes()
+
+
 def _slice(size: int, percent: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -107,7 +120,8 @@ def _slice(size: int, percent: int):
             numbers = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             names = pa.array([x if n else None for x, n in zip(digests, lens, strict=True)], pa.binary())
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            columns = [part.column(0), part.column(2), pa.array(lens), names, pa.array(numbers[:, 0]), pa.array(numbers[:, 1]), listed]
+            profiles = pa.array([profile(x) if len(x) else None for x in sets], pa.binary())
+            columns = [part.column(0), part.column(2), pa.array(lens), names, pa.array(numbers[:, 0]), pa.array(numbers[:, 1]), listed, profiles]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SLICED.split(", ")])
 
     return run
@@ -123,6 +137,32 @@ def near_bytes(distance: np.ndarray, home: np.ndarray) -> list[bytes]:
 UNDEALT = near_bytes(np.zeros(1), np.ones(1))[0]
 
 
+def _possible(g: dict, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of different components whose sizes and profiles allow a link.
+
+    A pair is compared at half the bins of the larger set, which the smaller one has as well.
+    """
+    comp, n, side = g["comp"], g["n"], g["side"]
+    own = [np.frombuffer(x, np.uint8).astype(np.int16) for x in g["profile"]]
+    bins = np.array([len(x) for x in own])
+    right, label, out = np.flatnonzero(side != 0), np.arange(len(comp)), []
+    differ = n * (100 - percent) // percent
+    folded: dict[int, np.ndarray] = {}
+    for i in np.flatnonzero(side != 1).tolist():
+        at = right[(label[right] != label[i]) & (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        for size in np.unique(np.maximum(bins[at], bins[i]) // 2).tolist():
+            if size not in folded:
+                folded[size] = np.zeros((len(own), size), np.int16)
+                for j in np.flatnonzero(bins >= size).tolist():
+                    folded[size][j] = own[j].reshape(size, -1).sum(1)
+            m, these = folded[size], at[np.maximum(bins[at], bins[i]) // 2 == size]
+            these = these[label[these] != label[i]]
+            near = these[np.abs(m[these] - m[i]).sum(1, dtype=np.int64) <= np.minimum(differ[these], differ[i])]
+            if len(near):
+                out += [(i, j) for j in _join_labels(label, i, near).tolist()]
+    return out
+
+
 def _leaf(g: dict, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between different components of a cell (or a pair of its blocks)."""
     eps, side, label = 1 - percent / 100, g["side"], g["comp"].copy()
@@ -236,11 +276,17 @@ def _regions(rows: DataFrame) -> DataFrame:
 
 def residual(docs: DataFrame, buckets: DataFrame, nodes: DataFrame, comps: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
     """Links between different components that share a region, as a forest (a, b)."""
+    by_size = F.least(F.greatest(F.ceil(F.col("k") / 4), F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
     placed = buckets.select("key", "node").join(few(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = scratch.write(placed, "placed")
     # of regions with the same members one goes on
-    mixed = _mixed(placed).groupBy("k", "h").agg(F.min("key").alias("key")).select("key")
-    rows = placed.join(few(scratch.write(mixed, "mixed")), "key").withColumn("near", F.lit(UNDEALT))
+    mixed = _mixed(placed).groupBy("k", "h").agg(F.min(F.struct("key", "main", "n_main")).alias("one")).select("one.*", "k")
+    rows = placed.join(few(scratch.write(mixed, "mixed")), "key").join(nodes.select("node", F.col("n_shingles").alias("n"), "profile"), "node")
+    possible = scratch.write(_in_blocks(rows, by_size, "profile").mapInArrow(_by_group(_possible, percent, "profile"), PAIRS).distinct(), "possible")
+    scratch.drop("placed", "buckets")
+    groups = components(possible, scratch, "possible_groups")
+    groups = groups.unionByName(groups.select(F.col("comp").alias("node"), "comp").distinct()).select("node", F.xxhash64("comp").alias("key"))
+    rows = groups.join(few(comps), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), F.lit(UNDEALT).alias("near"))
     rows = scratch.write(_regions(rows), "regions0")
     sets = _full_sets(docs, rows.select("node"), nodes, scratch, "regions", shingle).withColumn("bytes", F.octet_length("hashes").cast("long"))
     leaves, links, n = [rows.filter(F.col("k") <= LEAF)], [], 0
@@ -267,7 +313,6 @@ def residual(docs: DataFrame, buckets: DataFrame, nodes: DataFrame, comps: DataF
     all_leaves = all_leaves.join(sets, "node")
     size = few(scratch.write(all_leaves.groupBy("key").agg(F.sum("bytes").alias("region_bytes")), "sizes"))
     all_leaves = all_leaves.join(size, "key").withColumn("n", F.col("bytes")).withColumn("hashes", F.concat("near", "hashes"))
-    by_size = F.least(F.greatest(F.ceil(F.col("k") / 4), F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
     by_bytes = F.greatest(F.floor(F.col("k") * F.lit(BLOCK_BYTES) / F.col("region_bytes")), F.lit(1))
     last = scratch.write(_in_blocks(all_leaves, F.least(by_size, by_bytes), "hashes").mapInArrow(_by_group(_leaf, percent, "hashes"), PAIRS).distinct(), "leaf_links")
     for found in links:
@@ -285,16 +330,20 @@ def join(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
     filled = sliced.filter("set_id is not null")
     copies = filled.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1").select("set_id", "least")
     copies = few(scratch.write(copies, "copies"))
-    columns = ["set_id", "node", "other", "doc_id", "text_hash", "n_shingles", "keys"]
+    columns = ["set_id", "node", "other", "doc_id", "text_hash", "n_shingles", "keys", "profile"]
     first = filled.join(copies, "set_id").filter("doc_id <=> least").dropDuplicates(["set_id"]).select(*columns)
-    nodes = scratch.write(filled.join(copies, "set_id", "left_anti").select(*columns).unionByName(first), "numbered")
-    clash = few(scratch.write(nodes.groupBy("node").agg(F.count("*").alias("sets")).filter("sets > 1").select(F.col("node").alias("clash")), "clash"))
+    numbered = scratch.write(filled.join(copies, "set_id", "left_anti").select(*columns).unionByName(first), "numbered")
+    # keys are the bulk of both tables: what stays of them is written without
+    rows = scratch.write(sliced.select("doc_id", "n_shingles", "set_id"), "rows")
+    scratch.drop("sliced")
+    clash = few(scratch.write(numbered.groupBy("node").agg(F.count("*").alias("sets")).filter("sets > 1").select(F.col("node").alias("clash")), "clash"))
     if not clash.isEmpty():
-        nodes = nodes.join(clash, nodes["node"] == clash["clash"], "left").withColumn("node", F.when(F.col("clash").isNull(), F.col("node")).otherwise(F.col("other"))).drop("clash")
-        nodes = scratch.write(nodes, "nodes")
-    members = nodes.select("node", F.explode("keys").alias("key"))
+        numbered = numbered.join(clash, numbered["node"] == clash["clash"], "left").withColumn("node", F.when(F.col("clash").isNull(), F.col("node")).otherwise(F.col("other"))).drop("clash")
+    members = numbered.select("node", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("k")).filter("k > 1").select("key", "centre")
     buckets = scratch.write(members.join(few(scratch.write(shared, "shared")), "key"), "buckets")
+    nodes = scratch.write(numbered.drop("keys"), "nodes")
+    scratch.drop("numbered", "shared")
     stars = buckets.filter("node != centre").groupBy("node", "centre").agg((-F.count("*")).alias("k"))
     stars = scratch.write(stars.groupBy("node").agg(F.min(F.struct("k", "centre")).alias("most")).select(F.col("most.centre").alias("a"), F.col("node").alias("b")), "stars")
     edges = _confirmed(d, stars, nodes, scratch, shingle, percent)
@@ -306,7 +355,7 @@ def join(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
     named = scratch.write(few(comps).join(nodes.select("node", "set_id", "doc_id"), "node").select("set_id", "comp", "doc_id"), "named")
     least = few(scratch.write(named.groupBy("comp").agg(F.min("doc_id").alias("component")), "least"))
     labels = few(scratch.write(named.join(least, "comp").select("set_id", "component"), "labels"))
-    out = sliced.select("doc_id", "n_shingles", "set_id").join(copies, "set_id", "left").join(labels, "set_id", "left")
+    out = rows.join(copies, "set_id", "left").join(labels, "set_id", "left")
     return scratch.result(out.select("doc_id", "n_shingles", F.coalesce("component", "least", "doc_id").alias("component_id")))
 
 

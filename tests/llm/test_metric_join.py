@@ -58,6 +58,8 @@ def test_regions_split_by_pivots(spark, monkeypatch):
     r = random.Random(5)
     # one large region of several groups that share most of their words, so that one pivot links few of them
     rows = [(i, shared + " " + " ".join(edited(prose(30, 500 + i % 6).split(" "), r.randint(0, 6), r)), "en", "src0") for i in range(90)] + clusters(4)[:60]
+    # without the profiles all members of a region stay together
+    monkeypatch.setattr(metric_join, "_possible", lambda g, percent: [(0, j) for j in range(1, len(g["comp"]))])
     numbers = []
     split = metric_join.split
     monkeypatch.setattr(metric_join, "split", lambda *a: numbers.append(a[-1]) or split(*a))
@@ -85,3 +87,15 @@ def test_edges(spark):
     assert joined(spark, rows) == plain(rows)
     with pytest.raises(ValueError):
         metric_join.join(frame(spark, rows), Scratch(spark, "metric"), percent=50)
+
+
+def test_profiles_bound_the_difference():
+    r = np.random.default_rng(7)
+    for n in (9, 60, 250, 260, 1000, 5000):
+        x = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        y = np.unique(np.concatenate((x[r.permutation(len(x))[n // 20 :]], r.integers(0, 2**64, n // 30, dtype=np.uint64))))
+        far = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        g = {"comp": np.arange(3), "side": np.full(3, 2), "n": np.array([len(x), len(y), len(far)]), "profile": [metric_join.profile(v) for v in (x, y, far)]}
+        linked = 100 * len(np.intersect1d(x, y)) >= 90 * len(np.union1d(x, y))
+        found = {(min(p), max(p)) for p in metric_join._possible(g, 90)}
+        assert ((0, 1) in found) >= linked and not any(2 in p for p in found)
