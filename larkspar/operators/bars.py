@@ -241,6 +241,8 @@ def stop(pnl_pct: Column, grade: Column) -> Column:
 
 
 SHIELD = "shield string, days_below int, days_above int, d_days int, peak double"
+#: Fixed values of the shield: closes below the 20-day mean, days of grade D and falls in ATR that exit or damage, closes above that recover, closes of a high.
+EXIT_BELOW, EXIT_D, EXIT_ATR, DAMAGE_BELOW, DAMAGE_ATR, RECOVER_ABOVE, RECENT = 5, 3, 4, 2, 2, 3, 20
 
 
 def shield_steps(rows, state: dict | None = None) -> list[tuple]:
@@ -268,26 +270,55 @@ def shield_steps(rows, state: dict | None = None) -> list[tuple]:
         state["above"] = state["above"] + 1 if above else 0
         state["d"] = state["d"] + 1 if (grade or "C").upper() == "D" else 0
         fall = (state["peak"] - close) / state["peak"] * 100 if close > 0 and state["peak"] > 0 else 0.0
-        if (state["below"] >= 5 or state["d"] >= 3 or atr > 0 and fall >= 4 * atr) and state["mode"] != "EXITED":
+        if (state["below"] >= EXIT_BELOW or state["d"] >= EXIT_D or atr > 0 and fall >= EXIT_ATR * atr) and state["mode"] != "EXITED":
             state["mode"] = "EXITED"
-        elif state["mode"] == "DAMAGED" and (state["above"] >= 3 or high):
+        elif state["mode"] == "DAMAGED" and (state["above"] >= RECOVER_ABOVE or high):
             state["mode"] = "ACTIVE"
-        elif state["mode"] == "ACTIVE" and (state["below"] >= 2 or atr > 0 and fall >= 2 * atr):
+        elif state["mode"] == "ACTIVE" and (state["below"] >= DAMAGE_BELOW or atr > 0 and fall >= DAMAGE_ATR * atr):
             state["mode"] = "DAMAGED"
         if close > 0:
-            state["recent"] = [*state["recent"], close][-20:]
+            state["recent"] = [*state["recent"], close][-RECENT:]
         out.append((state["mode"], state["below"], state["above"], state["d"], float(state["peak"])))
     return out
 
 
-def shield(df: DataFrame, key: str, order: str) -> DataFrame:
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+def with_shield(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Adds the columns of SHIELD to rows with shares, cost, close, ma20, grade and atr_pct, by windows alone.
 
-    def run(pdf):
-        import pandas as pd
+    A run is a position from its first day to its last.  Within it all counts are streaks; an
+    exit stands for good.  Before it, a day that only damages or only recovers sets the mode,
+    and one that does both turns it over: the mode is the last set one, turned as often as days
+    since then did both.
+    """
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    held = (number("shares") > 0) & (number("cost") > 0)
+    series = Window.partitionBy(key).orderBy(order)
+    run = Window.partitionBy(key, "__run", "__held").orderBy(order)
+    d = df.withColumn("__held", held).withColumn("__run", F.sum(F.when(F.col("__held"), 0).otherwise(1)).over(series.rowsBetween(Window.unboundedPreceding, 0)))
+    close, ma20, atr = number("close"), number("ma20"), number("atr_pct")
+    priced = (close > 0) & (ma20 > 0)
+    flags = {"below": priced & (close < ma20), "above": priced & (close > ma20), "d": F.upper(F.coalesce(F.col("grade"), F.lit("C"))) == "D"}
+    upto = run.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__i", F.row_number().over(run))
+    for name, flag in flags.items():
+        d = d.withColumn(f"__{name}", (F.col("__i") - F.coalesce(F.max(F.when(~flag, F.col("__i"))).over(upto), F.lit(0))).cast("int"))
+    d = d.withColumn("__peak", F.max(F.greatest(close, F.lit(0.0))).over(upto)).withColumn("__priced", close > 0)
+    recent = Window.partitionBy(key, "__run", "__held", "__priced").orderBy(order).rowsBetween(-RECENT, -1)
+    high = F.col("__priced") & (close > F.max(close).over(recent))
+    fall = F.when((close > 0) & (F.col("__peak") > 0), (F.col("__peak") - close) / F.col("__peak") * 100).otherwise(0.0)
+    far = lambda times: (atr > 0) & (fall >= times * atr)
+    d = d.withColumn("__exit", F.max((F.col("__below") >= EXIT_BELOW) | (F.col("__d") >= EXIT_D) | far(EXIT_ATR)).over(upto))
+    d = d.withColumn("__damage", (F.col("__below") >= DAMAGE_BELOW) | far(DAMAGE_ATR)).withColumn("__recover", (F.col("__above") >= RECOVER_ABOVE) | F.coalesce(high, F.lit(False)))
+    d = d.withColumn("__turns", F.count_if(F.col("__damage") & F.col("__recover")).over(upto))
+    d = d.withColumn("__set", F.last(F.when(F.col("__damage") != F.col("__recover"), F.struct("__damage", "__turns")), ignorenulls=True).over(upto))
+    turned = (F.col("__turns") - F.coalesce(F.col("__set.__turns"), F.lit(0))) % 2 == 1
+    damaged = F.coalesce(F.col("__set.__damage"), F.lit(False)) != turned
+    mode = F.when(~F.col("__held"), "ACTIVE").when(F.col("__exit"), "EXITED").when(damaged, "DAMAGED").otherwise("ACTIVE")
+    of = lambda c: F.when(F.col("__held"), F.col(c)).otherwise(0)
+    shown = [mode.alias("shield"), of("__below").cast("int").alias("days_below"), of("__above").cast("int").alias("days_above"), of("__d").cast("int").alias("d_days"), of("__peak").cast("double").alias("peak")]
+    return d.select(*df.columns, *shown)
 
-        pdf = pdf.sort_values(order, kind="stable")
-        rows = shield_steps(pdf[["shares", "cost", "close", "ma20", "grade", "atr_pct"]].itertuples(index=False, name=None))
-        return pd.concat([pdf[[key, order]].reset_index(drop=True), pd.DataFrame(rows, columns=[c.split()[0] for c in SHIELD.split(", ")])], axis=1)
 
-    return df.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {SHIELD}")
+def shield(df: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order) and the columns of SHIELD."""
+    return with_shield(df, key, order).select(key, order, *[c.split()[0] for c in SHIELD.split(", ")])

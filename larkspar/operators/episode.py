@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import bars
+
 #: Bars after a sale without a new entry, and after a trim without an addition.
 SALE_COOLDOWN, TRIM_COOLDOWN = 3, 5
+#: Convictions that enter a position.
+ENTRIES = ("PROBE", "HIGH", "MAX")
 #: Marks of a structure point that stand for none, and the side that warns.
 NO_POINT, SELL_SIDE = ["none", "unknown"], "卖"
 
@@ -47,7 +51,7 @@ def since_last(df: DataFrame, keys: list[str], order: str, event: Column, name:
 
 def after_sale(conviction: Column, shares: Column, bars_since_sale: Column, grade: Column) -> Column:
     """The conviction that stands: an entry soon after a sale becomes SKIP unless the grade is S."""
-    entry = conviction.isin("PROBE", "HIGH", "MAX") & (shares == 0)
+    entry = conviction.isin(*ENTRIES) & (shares == 0)
     blocked = entry & (bars_since_sale <= SALE_COOLDOWN) & (F.coalesce(grade, F.lit("C")) != "S")
     return F.when(F.coalesce(blocked, F.lit(False)), "SKIP").otherwise(conviction)
 
@@ -63,6 +67,83 @@ def history(df: DataFrame, keys: list[str], order: str, value: str, size: int, n
     return df.withColumn(name, F.collect_list(value).over(w))
 
 
+#: Fixed value: days without a call after which a heartbeat is noted.
+HEARTBEAT = 5
+#: Closes that a day carries along.
+PAST = 5
+#: What the fold of days reads and gives; ``due_exited`` and ``due`` are the wake rule with and without an exited shield.
+DAY = "symbol string, at timestamp, shares double, cost double, close double, ma20 double, grade string, atr_pct double, action string, conviction string, watching boolean, due_exited boolean, due boolean"
+FOLDED = f"symbol string, at timestamp, kind string, {bars.SHIELD}, wake boolean, silent long, note string, conviction string, action string, past array<double>"
+
+
+def due(x: dict[str, Column]) -> tuple[Column, Column]:
+    """The wake rule for either state of the shield, so that only the choice between them needs the days before."""
+    return wake(x | {"exited": F.lit(True)}).alias("due_exited"), wake(x | {"exited": F.lit(False)}).alias("due")
+
+
+def note(silent: Column, watching: Column) -> Column:
+    """A long silence without watchpoints is noted; it does not wake."""
+    return F.when((silent >= HEARTBEAT) & ~F.coalesce(watching, F.lit(False)), "heartbeat")
+
+
+def fold(df: DataFrame) -> DataFrame:
+    """Rows of DAY to days of FOLDED: the shield, whether the day wakes, the days without a call before it, cooldowns and history.
+
+    All state is in windows over the days of a symbol; the stream form carries it in keyed state.
+    """
+    w = Window.partitionBy("symbol").orderBy("at")
+    d = bars.with_shield(df, "symbol", "at").withColumn("wake", F.coalesce(F.when(F.col("shield") == "EXITED", F.col("due_exited")).otherwise(F.col("due")), F.lit(False)))
+    d = d.withColumn("__i", F.row_number().over(w))
+    d = d.withColumn("silent", (F.col("__i") - 1 - F.coalesce(F.max(F.when(F.col("wake"), F.col("__i"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("long"))
+    for event, name in (("SELL", "__sale"), ("TRIM", "__trim")):
+        d = since_last(d, ["symbol"], "at", F.col("action") == event, name)
+    d = history(d, ["symbol"], "at", "close", PAST, "past")
+    standing = {
+        "conviction": after_sale(F.col("conviction"), F.coalesce("shares", F.lit(0.0)), F.col("__sale"), F.col("grade")), "action": after_trim(F.col("action"), F.col("__trim")),
+        "kind": F.lit("day"), "note": note(F.col("silent"), F.col("watching")),
+    }
+    return d.withColumns(standing).select(*[c.split()[0] for c in FOLDED.split(", ")])
+
+
+def heartbeats(folded: DataFrame, upto, days: int = HEARTBEAT) -> DataFrame:
+    """(symbol, at): the moments ``days`` after a wake that no other wake has come by, as far as time has gone on."""
+    w = Window.partitionBy("symbol").orderBy("at")
+    # timers know milliseconds
+    woken = folded.filter("wake").withColumn("at", F.date_trunc("MILLISECOND", "at")).withColumn("__next", F.lead("at").over(w)).withColumn("__due", F.col("at") + F.expr(f"INTERVAL {days} DAYS"))
+    quiet = F.col("__next").isNull() | (F.col("__next") > F.col("__due"))
+    return woken.filter(quiet & (F.col("__due") <= F.lit(upto))).select("symbol", F.col("__due").alias("at"))
+
+
+#: What a symbol's next day needs of the days before.
+STATE = "symbol string, mode string, below int, above int, d int, peak double, recent array<double>, bars long, last_wake long, last_sale long, last_trim long, beat timestamp, past array<double>"
+
+
+def state_after(df: DataFrame) -> DataFrame:
+    """Rows of DAY to one row of STATE per symbol: where a stream over later days starts."""
+    w = Window.partitionBy("symbol").orderBy("at")
+    d = fold(df).join(df.select("symbol", "at", F.col("action").alias("__action"), F.col("close").alias("__close"), "shares", "cost"), ["symbol", "at"])
+    held = (F.coalesce("shares", F.lit(0.0)) > 0) & (F.coalesce("cost", F.lit(0.0)) > 0)
+    d = d.withColumn("__i", F.row_number().over(w)).withColumn("__past", F.collect_list(F.struct("__close")).over(w.rowsBetween(2 - PAST, 0)))
+    d = d.withColumn("__run", F.sum(F.when(held, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("symbol", "__run").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    # closes above 0 of a run, the last RECENT of them
+    d = d.withColumn("__priced", held & (F.col("__close") > 0))
+    recent = Window.partitionBy("symbol", "__run", "__priced").orderBy("at").rowsBetween(1 - bars.RECENT, 0)
+    d = d.withColumn("__recent", F.when(F.col("__priced"), F.collect_list("__close").over(recent)))
+    d = d.withColumn("__recent", F.coalesce(F.last("__recent", ignorenulls=True).over(run), F.array().cast("array<double>")))
+    last = lambda c: F.max(F.when(c, F.col("__i")))
+    of = d.groupBy("symbol").agg(
+        F.max_by(F.struct("shield", "days_below", "days_above", "d_days", "peak", "__recent", "__past"), "at").alias("x"), F.count("*").alias("bars"),
+        last(F.col("wake")).alias("last_wake"), last(F.col("__action") == "SELL").alias("last_sale"), last(F.col("__action") == "TRIM").alias("last_trim"), F.max(F.when(F.col("wake"), F.col("at"))).alias("__woken"), F.max("at").alias("__at"),
+    )
+    beat = F.date_trunc("MILLISECOND", "__woken") + F.expr(f"INTERVAL {HEARTBEAT} DAYS")
+    return of.select(
+        "symbol", F.col("x.shield").alias("mode"), F.col("x.days_below").alias("below"), F.col("x.days_above").alias("above"), F.col("x.d_days").alias("d"), F.col("x.peak").alias("peak"),
+        F.col("x.__recent").alias("recent"), "bars", F.col("last_wake").cast("long"), F.col("last_sale").cast("long"), F.col("last_trim").cast("long"),
+        F.when(beat > F.col("__at"), beat).alias("beat"), F.col("x.__past.__close").alias("past"),
+    )
+
+
 def coverage(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys, bars, first, last): what was loaded."""
     return df.groupBy(*keys).agg(F.count("*").alias("bars"), F.min(order).alias("first"), F.max(order).alias("last"))

@@ -50,7 +50,6 @@ SQL["jon4_at_day"] = f"SELECT trade_idx, count(*) AS n FROM lineitem JOIN ({CAL}
 QUERIES["win12_transition_drift"] = lambda s, d: b.transition_drift(bind(s, d, PATTERNS), "vec", K, "idx").select("id", F.round("drift", 6).alias("drift"))
 SQL["win12_transition_drift"] = f"WITH x AS (SELECT id, vec::DOUBLE[] AS a, lag(vec) OVER (PARTITION BY symbol ORDER BY idx)::DOUBLE[] AS b FROM ({PATTERNS})) SELECT id, CASE WHEN b IS NOT NULL THEN round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)) + 1e-9), 6) END AS drift FROM x"
 QUERIES["win10_indicators"] = lambda s, d: b.indicators(bars(s, d), "symbol", "day")
-QUERIES["win7_winner_shield"] = lambda s, d: b.shield(bars(s, d).select("symbol", "day", (F.col("volume") - 0).cast("double").alias("shares"), F.col("open").alias("cost"), "close", F.col("low").alias("ma20"), F.lit("C").alias("grade"), F.lit(5.0).alias("atr_pct")), "symbol", "day")
 
 
 def settled(s, d, horizon=3):

@@ -197,11 +197,34 @@ def test_recall_by_brute_force_over_cohorts_and_blocks(spark):
                 if (s := cosine(q[4], c[4])) is not None:
                     found.append((-s, c[0]))
             want |= {(q[0], c, k + 1) for k, (_, c) in enumerate(sorted(found)[:5])}
-        for block in (7, 2048):
+        for block in (1, 2048):
             got = {(x["query_id"], x["case_id"], x["rank"]) for x in recall.top_k(df, df, block=block, **options).collect()}
             assert got == want
-    plan = recall.top_k(df, df)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
+
+
+def test_recall_skips_blocks_by_their_angles(spark):
+    """Clouds in different directions: bounds spare most block pairs, and the hits stay those of a plain search."""
+    import numpy as np
+
+    from larkspar.operators.recall import search, skipped
+
+    r = np.random.default_rng(11)
+    clouds = r.normal(size=(10, 24))
+    x = clouds[np.arange(1500) % 10] + 0.02 * r.normal(size=(1500, 24))
+    rows = [(i, "s", i, "", v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "id long, symbol string, idx long, cohort string, vec array<double>")
+    raw = search(df, df, block=16)
+    s = skipped(raw).first()
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    sim = np.round(unit @ unit.T, 12)
+    allowed = np.arange(1500)[None, :] <= np.arange(1500)[:, None] - 40
+    order = np.lexsort((np.broadcast_to(np.arange(1500), sim.shape), np.where(allowed, -sim, np.inf)), axis=1)
+    want = {(q, int(c)) for q in range(1500) for c in order[q, :5] if allowed[q, c]}
+    assert {(h["query_id"], h["case_id"]) for h in recall.top_k(df, df, block=16).collect()} == want
+    blocks = 1500 // 16
+    assert s["compared"] < 0.25 * blocks * blocks / 2 and s["share_skipped"] > 0.3
+    plan = recall._pairs(*[raw.sparkSession.createDataFrame([], recall.TILES)] * 2, 40, None)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "SinglePartition" not in plan
 
 
 def test_ledgers_of_many_runs(spark, tmp_path):
@@ -257,7 +280,6 @@ def test_shield_stream_state_equals_batch():
     state: dict = {}
     parts = bars.shield_steps(rows[:4], state) + bars.shield_steps(rows[4:9], state) + bars.shield_steps(rows[9:], state)
     assert whole == parts and {x[0] for x in whole} >= {"ACTIVE", "DAMAGED", "EXITED"} and whole[-1] == ("ACTIVE", 0, 0, 0, 0.0)
-    assert episodes.wake_due(5, None, False) and episodes.wake_due(9, 4, False) and not episodes.wake_due(8, 4, False)
 
 
 def test_indicators_start_after_enough_bars():
