@@ -12,8 +12,9 @@ Pages with equal content count once, so mirrored pages do not make their own art
 template.
 
 Forms, and elements whose role or class names furniture (notices, adverts, comments, share
-bars), go too unless they hold an article or main element; headings never go by their
-class.  If a page has article or main elements its text is theirs; else it is all that is
+bars), go too unless they hold an article or main element; a name counts if all its parts
+are such words, with at most a word of place around them (site-footer, cookie-bar), so
+cookie-recipe or comments-page take nothing.  Headings never go by their class.  If a page has article or main elements its text is theirs; else it is all that is
 left.  Time and memory are linear in a page's length, however deep it nests.
 
 Null or empty html gives an empty text.  A null or unparsable url has no host, and such
@@ -59,10 +60,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside ad ads adv advert advertisement adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login comment comments disqus reply replies respond share sharing social related recommended widget toolbar pagination pager skip copyright legal".split()
 )
-#: Of these also the first part of a name like cookie-bar marks it, not only the last as in page-footer.
-FIRST = frozenset("ad ads advert adverts sponsor sponsored promo cookie cookies consent gdpr newsletter comment comments disqus share sharing social breadcrumb breadcrumbs nav navbar".split())
+#: What may stand before and after such a word: site-footer, cookie-bar, comments_section-2; any other part (cookie-recipe) makes a name no mark.
+BEFORE = frozenset("site page main global top bottom left right primary secondary inner outer the js is has".split())
+AFTER = frozenset("bar box list section container wrapper wrap inner outer area block links link buttons button btn icons icon slot unit panel item items row col top bottom left right fixed sticky wide small large form".split())
 ITSELF = frozenset("comment comments reply advert ad sponsored related".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose text stays though all of it is a link; outside articles, links in lists and boxes are menus.
+PROSE = HEADINGS | {"p", "blockquote", "pre"}
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption td tr tbody table article main".split())
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+|[\"'])*+)(?:>|\Z))", re.S)
@@ -75,6 +79,18 @@ def host_of(url: str | None) -> str | None:
     return m[1].lower().removeprefix("www.") if m else None
 
 
+def is_furniture(name: str) -> bool:
+    """Whether a class or id name is made of furniture words, with at most a word of place before and after."""
+    if name in WORDS:
+        return True
+    parts = [x for x in re.split("[-_]+", name) if x and not x.isdigit()]
+    while len(parts) > 1 and parts[0] in BEFORE:
+        del parts[0]
+    while len(parts) > 1 and parts[-1] in AFTER:
+        del parts[-1]
+    return bool(parts) and all(x in WORDS for x in parts)
+
+
 def is_marked(tag: str, attributes: str) -> bool:
     """Whether an element's role, class or id marks it as furniture."""
     if tag == "form":
@@ -91,8 +107,7 @@ def is_marked(tag: str, attributes: str) -> bool:
                 return True
         else:
             for name in value.split():
-                parts = re.split("[-_]+", name)
-                if name in WORDS or parts[-1] in WORDS or parts[0] in FIRST:
+                if is_furniture(name):
                     return True
     return False
 
@@ -231,7 +246,7 @@ class Page:
             text = " ".join(unescape("".join(self.buffer)).split())
             if text:
                 _, dropped, in_main, element = self.stack[-1]
-                only_links = self.linked >= self.length and not in_main and (element < 0 or self.names[element] not in HEADINGS)
+                only_links = self.linked >= self.length and not in_main and (element < 0 or self.names[element] not in PROSE)
                 if not dropped and not only_links:
                     if element >= 0:
                         self.items[element].append("t" + text)

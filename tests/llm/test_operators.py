@@ -259,6 +259,17 @@ def test_wrappers_and_headings_stay():
     assert text('<article>a <span class="ad">AD</span> b<div class="comment-list"><p>c</p></div></article>') == ["a", "b"]
 
 
+def test_class_names_of_content_take_nothing():
+    text = lambda h: site_templates.Page(h).result()[1]
+    names = "cookie-recipe social-history comments-page market-share share-price legal-analysis ad-hoc newsletter-archive promotion-exam login-problems".split()
+    for name in names:
+        assert text(f'<article><p>a</p><div class="{name}"><p>Body</p></div></article>') == ["a", "Body"] and text(f'<div class="{name}"><p>Body</p></div>') == ["Body"], name
+    for name in "cookie-bar cookie-notice site-footer page-footer comments-section comment-list share-buttons social-links ad ad-slot-3 js-cookie-banner main-nav related".split():
+        assert text(f'<div><p>Body</p><div class="{name}"><p>x</p></div></div>') == ["Body"], name
+    # a paragraph that is one link is no menu
+    assert text("<div><p><a href=x>All linked sentence.</a></p><ul><li><a>m</a></li></ul><div><a>n</a></div></div>") == ["All linked sentence."]
+
+
 def test_long_and_deep_pages_take_linear_time():
     import time
 
