@@ -10,7 +10,7 @@ counts.
 
 Training is backpropagation through time in numpy on the driver, on a bounded sample:
 about SAMPLE_DOCS documents per language (fewer if all languages together have more than
-SAMPLE_ALL), chosen by hash, TRAIN_CHARS characters of each, and STEPS batches of BATCH
+SAMPLE_ALL), chosen by hash, TRAIN_WORDS words of each, and STEPS batches of BATCH
 pieces of words drawn evenly over the languages.  Any number of languages can be learned.
 
 Null texts and texts without a letter are 'und' with score 0.  With no labelled text
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Grow, WordCache, chunked, few, held_out, read, ship
 
 HIDDEN, PIECE = 16, 32
-SAMPLE_DOCS, SAMPLE_ALL, TRAIN_CHARS = 400, 16_000, 4_000
+SAMPLE_DOCS, SAMPLE_ALL, TRAIN_WORDS, WORD_CHARS = 400, 16_000, 600, 64
 STEPS, BATCH = 400, 256
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -245,15 +245,20 @@ class Labeller:
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """About SAMPLE_DOCS training documents of each language, by hash, TRAIN_CHARS of each."""
+    """About SAMPLE_DOCS training documents of each language, by hash, and SAMPLE_ALL in all; of each TRAIN_WORDS words from anywhere in its text, by hash.
+
+    Words longer than WORD_CHARS are drawn in parts of that length.
+    """
     d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("l is not null and t is not null").filter(~held_out(F.col("i")))
     counts = d.groupBy("l").agg(F.count("*").alias("n")).withColumnRenamed("l", "of")
     many = counts.count()
     if not many:
         return [], []
-    line = counts.withColumn("line", F.lit(max(1, min(SAMPLE_DOCS, SAMPLE_ALL // many)) * float(1 << 20)) / F.col("n"))
+    line = counts.withColumn("line", F.lit(min(SAMPLE_DOCS, SAMPLE_ALL / many) * float(1 << 20)) / F.col("n"))
     d = d.join(few(line), F.col("l") == F.col("of")).filter(F.pmod(F.xxhash64("i", "t", F.lit(6)), F.lit(1 << 20)) < F.col("line"))
-    rows = d.select("i", F.substring("t", 1, TRAIN_CHARS).alias("t"), "l").distinct().collect()
+    parts = F.regexp_extract_all("t", F.lit(rf"([^\x20\x09-\x0D]{{1,{WORD_CHARS}}})"), F.lit(1))
+    drawn = F.slice(F.sort_array(F.transform(parts, lambda w, k: F.struct(F.xxhash64(w, k).alias("h"), w.alias("w")))), 1, TRAIN_WORDS)
+    rows = d.select("i", F.array_join(F.transform(drawn, lambda x: x["w"]), " ").alias("t"), "l").distinct().collect()
     rows.sort(key=lambda r: (r["i"] is None, r["i"] or 0, r["t"], r["l"]))
     return [r["t"] for r in rows], [r["l"] for r in rows]
 
