@@ -170,6 +170,18 @@ def train_end(df: DataFrame, cohort: str, day: str = "as_of_date"):
     return df.filter(F.coalesce("cohort", F.lit("")) == cohort).agg(F.max(day)).first()[0]
 
 
+def merged(train: DataFrame, more: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of both tables, those of a key in one list: training rows first, then the others, each in their order.
+
+    ``place`` counts from 0 within a key; keys of one side alone stay.  Lists stay rows, so a key
+    may have any number of them.  Rows of equal order keep that of their other columns.
+    """
+    both = train.withColumn("part", F.lit(0)).unionByName(more.withColumn("part", F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in (key, "part", order)]
+    w = Window.partitionBy(key).orderBy("part", order, *rest)
+    return both.withColumn("place", F.row_number().over(w) - 1)
+
+
 #: Milliseconds and agreement that an encoder must reach.
 GO_MS, CAVEAT_MS, STABLE = 500, 2000, 0.999
 

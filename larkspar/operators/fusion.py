@@ -132,6 +132,81 @@ def embed(windows: DataFrame, key: str, bars: str, mode: str = "last", encoder:
     return windows.select(F.col(key).alias("key"), F.col(bars)).mapInArrow(run, f"key {kind}, embedding array<float>")
 
 
+#: Largest difference of states at one position that rounding may make.
+CAUSAL = 1e-6
+
+
+def causality(windows: DataFrame, key: str, bars: str, encoder: Callable[[np.ndarray], np.ndarray] = stub_encoder, cut: float = 0.5, least: int = 4) -> DataFrame:
+    """(key, positions, difference, leaks): each window encoded with and without its future bars.
+
+    The first ``cut`` of a window is encoded alone and as part of the whole, both scaled by the
+    first part only; a causal encoder gives the same state at each of its positions, so a larger
+    difference than CAUSAL means that later bars reach earlier states.  Windows under ``least``
+    bars, and null ones, are left out.
+    """
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for k, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if rows is None or len(rows) < least:
+                    continue
+                x = np.nan_to_num(np.array(rows, float))
+                n = max(1, int(len(x) * cut))
+                x = np.clip((x - x[:n].mean(0)) / (x[:n].std(0) + 1e-5), -5, 5)
+                apart, whole = encoder(x[:n]), encoder(x)[:n]
+                out.append((k, n, float(np.abs(apart - whole).max())))
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["key", "positions", "difference"])
+
+    kind = windows.schema[key].dataType.simpleString()
+    found = windows.select(F.col(key).alias("key"), F.col(bars)).mapInArrow(run, f"key {kind}, positions long, difference double")
+    return found.withColumn("leaks", F.col("difference") > CAUSAL)
+
+
+SKIPS = ("no_series", "date_not_in_series", "insufficient_bars")
+
+
+def backfill(store, targets: DataFrame, series: DataFrame, name: str, length: int = 256, claims: int = 8, most_claims: int | None = None, column: str = "kronos_vector", **how) -> dict:
+    """Embeds the trailing bars of each target and writes them to a keyed store, a claim of symbols at a time.
+
+    targets: pattern_id, symbol, day; series: symbol, day, bar (array<double>).  A claim is a range of hashed
+    symbols, written and committed as one batch of the store, so a run that was cut off goes on with the first claim
+    that is not there, and repeated runs write nothing.  Returns counts, skips by reason included; ``most_claims``
+    ends a run early.
+    """
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("symbol").orderBy("day")
+    claim = lambda df: F.pmod(F.xxhash64("symbol"), F.lit(claims))
+    done, written, skips, ran = {c["batch"] for c in store.commits()}, 0, dict.fromkeys(SKIPS, 0), 0
+    for k in range(claims):
+        batch = f"{name}-{k}-of-{claims}"
+        if batch in done:
+            continue
+        if most_claims is not None and ran == most_claims:
+            break
+        ran += 1
+        own, bars = targets.filter(claim(targets) == k), series.filter(claim(series) == k)
+        # of repeated days the last bar counts
+        one = bars.groupBy("symbol", "day").agg(F.max("bar").alias("bar"))
+        windows = one.withColumn("bars", F.collect_list("bar").over(w.rowsBetween(1 - length, 0)))
+        known = one.select("symbol").distinct().withColumn("known", F.lit(True))
+        joined = own.join(known, "symbol", "left").join(windows, ["symbol", "day"], "left")
+        reason = F.when(F.col("known").isNull(), SKIPS[0]).when(F.col("bars").isNull(), SKIPS[1]).when(F.size("bars") < 2, SKIPS[2])
+        joined = joined.withColumn("reason", reason)
+        for r in joined.groupBy("reason").agg(F.count("*").alias("n")).collect():
+            if r["reason"]:
+                skips[r["reason"]] += r["n"]
+            else:
+                written += r["n"]
+        found = embed(joined.filter("reason is null"), "pattern_id", "bars", **how)
+        store.update(found.select(F.col("key").alias("pattern_id"), F.col("embedding").cast("array<double>").alias(column)), batch)
+    return {"n_written": written, "n_skipped": sum(skips.values()), "skips": skips, "claims": ran}
+
+
 def to_bytes(vec: Column) -> Column:
     """float32 values as little-endian bytes."""
 

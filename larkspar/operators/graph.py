@@ -42,10 +42,15 @@ def select(patterns: DataFrame, total: int = 50) -> DataFrame:
 
 
 def follows(patterns: DataFrame, gap: int = 5, most: int = 3) -> DataFrame:
-    """Edges to the next patterns of the symbol within ``gap`` bars, at most ``most`` each."""
-    a = patterns.select("symbol", F.col("pattern_id").alias("source"), F.col("trade_idx").alias("i"))
-    b = patterns.select("symbol", F.col("pattern_id").alias("target"), F.col("trade_idx").alias("j"))
-    pairs = a.join(b, "symbol").filter((F.col("j") > F.col("i")) & (F.col("j") <= F.col("i") + gap))
+    """Edges to the next patterns of the symbol within ``gap`` bars, at most ``most`` each.
+
+    Patterns are joined by symbol and stretch of ``gap`` bars with those of the same stretch and
+    the next one, so a symbol with very many patterns is never paired with itself.
+    """
+    stretch = F.floor(F.col("trade_idx") / gap)
+    a = patterns.select("symbol", F.col("pattern_id").alias("source"), F.col("trade_idx").alias("i"), F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+    b = patterns.select("symbol", F.col("pattern_id").alias("target"), F.col("trade_idx").alias("j"), stretch.alias("stretch"))
+    pairs = a.join(b, ["symbol", "stretch"]).filter((F.col("j") > F.col("i")) & (F.col("j") <= F.col("i") + gap))
     w = Window.partitionBy("source").orderBy("j", "target")
     near = pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
     return near.select("source", "target", F.lit("follows").alias("relation"), F.greatest(F.lit(0.0), 1.0 - (F.col("j") - F.col("i")) / F.lit(float(max(gap, 1)))).alias("weight"))

@@ -145,6 +145,47 @@ def split_point(n: int, share: float = 0.7) -> int:
     return int(share * n)
 
 
+#: Most keys of a seeded split: their permutation is drawn on the driver, one number each.
+MOST_KEYS = 5_000_000
+
+
+def seeded_split(df: DataFrame, column: str, seed: int = 42, of: tuple[int, int] = (2, 3)) -> DataFrame:
+    """(column, place, train): the distinct keys in the order that ``random.Random(seed).shuffle`` gives their sorted list; the first two thirds train.
+
+    Keys are ranked in ranges; the permutation of ranks is drawn once and joined by rank, so
+    no task or driver holds the keys.  At least one key trains.  NULL is no key.
+    """
+    import random
+
+    keys = ordinal_text(df.select(column).dropna().distinct(), column, "__rank")
+    n = keys.count()
+    if n > MOST_KEYS:
+        raise ValueError(f"a seeded split takes {MOST_KEYS} keys at most")
+    order = list(range(1, n + 1))
+    random.Random(seed).shuffle(order)
+    import pandas as pd
+
+    places = df.sparkSession.createDataFrame(pd.DataFrame({"__rank": pd.Series(order, dtype="int64"), "place": pd.Series(range(n), dtype="int64")}), "__rank long, place long")
+    cut = max(1, n * of[0] // of[1])
+    return keys.join(places, "__rank").select(column, "place", (F.col("place") < cut).alias("train"))
+
+
+def ordinal_text(df: DataFrame, column: str, name: str, parts: int = 64) -> DataFrame:
+    """Adds the 1-based rank of distinct values of any sortable type: range partitions, sorted, with offsets of their counts."""
+    ranged = df.repartitionByRange(parts, column).withColumn("__part", F.spark_partition_id())
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min(column).alias("__least"))
+    rows = counts.orderBy("__least").collect()  # one row for each range
+    first, at = {}, 0
+    for r in rows:
+        first[r["__least"]] = at
+        at += r["__n"]
+    bounds = df.sparkSession.createDataFrame([(k, v, i) for i, (k, v) in enumerate(first.items())] or [], f"__least {df.schema[column].dataType.simpleString()}, __first long, __range int")
+    least = F.array(*[F.lit(k) for k in first]) if first else F.array().cast(f"array<{df.schema[column].dataType.simpleString()}>")
+    d = df.withColumn("__range", F.size(F.filter(least, lambda x: x <= F.col(column))) - 1)
+    w = Window.partitionBy("__range").orderBy(column)
+    return d.withColumn("__at", F.row_number().over(w)).join(F.broadcast(bounds), "__range").withColumn(name, (F.col("__first") + F.col("__at")).cast("long")).drop("__at", "__first", "__range", "__least")
+
+
 def smoothed_entropy(p: Column) -> Column:
     """One label's part of the entropy with 1e-12 inside the logarithm."""
     return -p * F.log(p + 1e-12)

@@ -85,10 +85,9 @@ FROM ({DRESSED})
 
 def armed(spark, sf):
     p = bind(spark, sf, PATTERNS).withColumn("head", F.slice("vec", 1, 16)).withColumn("empty", F.lit(None).cast("array<float>"))
-    return p.withColumn("label_T5", F.when(F.col("id") % 2 == 0, "true_S").otherwise(F.col("label_T20"))).withColumn("fwd_return_T5", F.col("fwd_return_T10") * 2)
+    return p.withColumn("label_T5", F.when(F.col("id") % 2 == 0, "true_S").otherwise(F.col("label_T20"))).withColumn("fwd_return_T5", F.col("fwd_return_T10") * 2).withColumn("mae_T20", F.col("mae_T10") * 2)
 
 
-QUERIES["agg18_ablation"] = lambda s, d: ablation.metrics(armed(s, d), {"A": "vec", "B": "empty", "C": "head"}).drop("true_S")
 SQL["agg18_ablation"] = f"""
 WITH p AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'true_S' ELSE label_T20 END AS label_T5, fwd_return_T10 * 2 AS fwd_return_T5 FROM ({PATTERNS})),
 r AS (SELECT id, row_number() OVER (ORDER BY idx, id) AS at, count(*) OVER () AS n, (0.7 * count(*) OVER ())::DOUBLE AS x FROM p),
@@ -100,14 +99,36 @@ s AS (
 ), h AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY arm, query_id ORDER BY sim DESC, case_id) <= 5),
 u AS (SELECT id, unnest(['T5', 'T10', 'T20']) AS horizon, unnest([label_T5, label_T10, label_T20]) AS label, unnest([fwd_return_T5, fwd_return_T10, fwd_return_T20]) AS fwd FROM p),
 per AS (
-  SELECT arm, horizon, query_id, count(*) FILTER (label = 'true_S') / count(*) AS t, count(*) FILTER (label = 'false_trap') / count(*) AS f, count(*) FILTER (label = 'stale_S') / count(*) AS st, avg(fwd) AS fwd, avg(sim) AS sim
-  FROM h JOIN u ON u.id = h.case_id GROUP BY ALL
+  SELECT arm, horizon, h.query_id, count(*) FILTER (u.label = 'true_S') / count(*) AS t, count(*) FILTER (u.label = 'false_trap') / count(*) AS f, count(*) FILTER (u.label = 'stale_S') / count(*) AS st, avg(u.fwd) AS fwd, avg(sim) AS sim,
+    count(*) FILTER (c.symbol = q.symbol) / count(*) AS same, quantile_disc(q.idx - c.idx, 0.5) AS age
+  FROM h JOIN u ON u.id = h.case_id JOIN p q ON q.id = h.query_id JOIN p c ON c.id = h.case_id GROUP BY arm, horizon, h.query_id
 )
-SELECT arm, horizon, count(*) AS n_queries, round(avg(t), 3) AS "mean_true_S_rate", round(avg(f), 3) AS mean_false_trap_rate, round(avg(st), 3) AS "mean_stale_S_rate", round(avg(fwd), 2) AS mean_avg_fwd_return, round(avg(sim), 3) AS mean_similarity
-FROM per GROUP BY ALL
+SELECT arm, horizon, FALSE AS skipped, NULL AS reason, count(*) AS n_queries, round(avg(t), 3) AS "mean_true_S_rate", round(avg(f), 3) AS mean_false_trap_rate, round(avg(st), 3) AS "mean_stale_S_rate", round(avg(fwd), 2) AS mean_avg_fwd_return,
+  round(avg(sim), 3) AS mean_similarity, round(avg(same), 3) AS mean_same_symbol_ratio, round(avg(age), 1) AS mean_neighbor_age_median, string_agg(round(t, 3)::VARCHAR, ',' ORDER BY query_id) AS "true_S"
+FROM per GROUP BY arm, horizon
+UNION ALL SELECT 'B', NULL, TRUE, 'no empty vectors', 0, 0, 0, 0, 0, 0, 0, 0, ''
 """
 
 
+def ablated(spark, sf):
+    m = ablation.metrics(armed(spark, sf), {"A": "vec", "B": "empty", "C": "head"})
+    rates = F.array_join(F.transform("true_S", lambda x: F.round(x, 3).cast("string")), ",")
+    return m.withColumn("true_S", F.coalesce(rates, F.lit(""))).fillna(0, [c for c, k in m.dtypes if k in ("bigint", "double")])
+
+
+QUERIES["agg18_ablation"] = ablated
+
+
+def decision(spark, sf):
+    """The report's decision: verdict, reason, and each arm's interval and tally."""
+    found = ablation.decide(ablation.metrics(armed(spark, sf), {"A": "vec", "B": "empty", "C": "head"}), "A")
+    rows = [(a, x["point"], round(x["lower"], 6), round(x["upper"], 6), *found["tally"][a], found["verdict"], found["reason"], found["champion"] == a) for a, x in found["arms"].items()]
+    return spark.createDataFrame(rows, "arm string, point double, lower double, upper double, significant long, uncertain long, hurts long, verdict string, reason string, champion boolean")
+
+
+QUERIES["agg18_decision"] = decision
+
+
 def gate(spark, sf):
     p = armed(spark, sf)
     own = p.select(F.col("id").alias("query_id"), F.col("fwd_return_T10").alias("fwd_return"))

@@ -93,9 +93,38 @@ def ghost_trades(df: DataFrame) -> DataFrame:
     return df.withColumn("horizon", F.coalesce("horizon", F.lit(20))).withColumn("days", F.coalesce("days", F.lit(0)))
 
 
-def promotion(df: DataFrame) -> DataFrame:
-    """Payload of a memory: path, text, keywords and links, never the raw chat."""
-    return df.select(F.concat(F.lit("memory/patterns/"), F.col("pattern_id").cast("string")).alias("path"), F.col("memory_text").alias("text"), F.array("keyword", "symbol").alias("keywords"))
+#: Fixed values of a promoted pattern: what its metadata carries along, and its source mark.
+CARRIED, SOURCE_MARK = ("pattern_id", "archetype", "v8_grade", "v8_score", "label_T10", "fwd_return_T10", "mae_T10", "chan_trend_type", "chan_bsp_side"), "phase6_auto_promote"
+
+
+def promotion(selected: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Payload of every selected pattern's memory: path, text, summary, keywords, entities and metadata with its links.
+
+    selected: patterns with archetype and keyword; edges: source, target, relation, weight, and evidence if known.
+    Links of a pattern are few, as edges are capped.  The raw chat is never part of it.
+    """
+    from ..operators import graph
+
+    d = selected.join(graph.memory_text(selected), "pattern_id")
+    if edges is not None:
+        e = edges if "evidence" in edges.columns else edges.withColumn("evidence", F.lit(""))
+        link = F.struct(F.col("target").alias("target_pattern_id"), "relation", F.round("weight", 4).alias("weight"), "evidence")
+        d = d.join(e.groupBy(F.col("source").alias("pattern_id")).agg(F.sort_array(F.collect_list(link)).alias("links")), "pattern_id", "left")
+    metadata = F.struct(*CARRIED, F.lit(SOURCE_MARK).alias("source"), *(["links"] if edges is not None else []))
+    return d.select(
+        "pattern_id", F.concat(F.lit("/trading/equity/patterns/"), "symbol", F.lit("/"), F.col("as_of_date").cast("string")).alias("path"), F.col("memory_text").alias("text"),
+        F.replace("archetype", F.lit("_"), F.lit(" ")).alias("summary"), F.lit(0.85).alias("importance"), F.array(F.lit("pattern"), "keyword", F.coalesce(F.nullif("label_T10", F.lit("")), F.lit("unknown")), "symbol").alias("keywords"),
+        F.array("symbol", F.coalesce(F.nullif("name", F.lit("")), "symbol")).alias("entities"), metadata.alias("metadata"),
+    )
+
+
+def lesson_document(lessons: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """The memory of a lesson (lesson_id, verdict_type, core_axiom, evidence): id, path, text and metadata."""
+    text = F.concat(
+        F.lit("# Atomic Lesson: "), "lesson_id", F.lit("\n\n**Symbol**: "), F.col(symbol), F.lit("\n**Verdict**: "), "verdict_type", F.lit("\n**Axiom**: "), "core_axiom", F.lit("\n**Evidence**: "), "evidence", F.lit("\n")
+    )
+    about = F.struct(F.col(symbol).alias("symbol"), F.col("verdict_type").alias("verdict"), "lesson_id", F.lit("decision_provenance_lesson").alias("type"))
+    return lessons.select(F.concat(F.lit("provenance_lesson:"), "lesson_id").alias("id"), F.concat(F.lit("/trading/equity/lessons/decision_provenance/"), F.col(symbol)).alias("path"), text.alias("text"), about.alias("metadata"))
 
 
 def operational(trades: DataFrame) -> DataFrame:
