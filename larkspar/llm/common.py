@@ -179,24 +179,25 @@ class Grow:
 class WordCache:
     """Numbers words; ``build`` is called once for each word that is not yet known.
 
-    When it holds more than CACHE_WORDS words, those that came up only once go, and of the
-    others at most half of CACHE_WORDS stay, the most used first (an older use counts half
+    When it holds more than ``most`` words (CACHE_WORDS if not given), those that came up only
+    once go, and of the others at most half of that number stay, the most used first (an older use counts half
     of a later one).  So its memory is bounded, frequent words are built once however long
     a task runs, and results never depend on it.  ``keep`` drops the values of all words
     but those at the given numbers.
     """
 
-    def __init__(self, build: Callable[[list[bytes]], None], reset: Callable[[], None], keep: Callable[[np.ndarray], None]):
+    def __init__(self, build: Callable[[list[bytes]], None], reset: Callable[[], None], keep: Callable[[np.ndarray], None], most: int | None = None):
+        self.most = most
         self.ids: dict[bytes, int] = defaultdict(count().__next__)
         self.build, self.keep = build, keep
         self.uses = Grow(np.float32)
         reset()
 
     def _age(self) -> None:
-        uses = self.uses.a[: self.uses.n]
+        uses, half = self.uses.a[: self.uses.n], (self.most or CACHE_WORDS) // 2
         at = np.flatnonzero(uses >= 2)
-        if len(at) > CACHE_WORDS // 2:
-            at = np.sort(at[np.argsort(-uses[at], kind="stable")[: CACHE_WORDS // 2]])
+        if len(at) > half:
+            at = np.sort(at[np.argsort(-uses[at], kind="stable")[:half]])
         words = list(self.ids)
         self.ids = defaultdict(count(len(at)).__next__, ((words[i], k) for k, i in enumerate(at.tolist())))
         self.uses.keep(at)
@@ -207,7 +208,7 @@ class WordCache:
         """The words' numbers, one document after the other, and where each document begins."""
         counts = np.fromiter(map(len, docs), np.int64, len(docs))
         offsets = np.concatenate(([0], np.cumsum(counts)))
-        if len(self.ids) > CACHE_WORDS:
+        if len(self.ids) > (self.most or CACHE_WORDS):
             self._age()
         words = list(chain.from_iterable(docs))
         known = len(self.ids)
@@ -226,9 +227,9 @@ class RaggedCache:
     ``encode`` gives the ids of many words in a row and how many each word has.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int | None = None):
         self.encode = encode
-        self.cache = WordCache(self._build, self._reset, self._keep)
+        self.cache = WordCache(self._build, self._reset, self._keep, most)
 
     def _reset(self) -> None:
         self.values, self.starts, self.lens = Grow(np.int32), Grow(np.int64), Grow(np.int64)

@@ -39,6 +39,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 #: ASCII punctuation that may end a word; no apostrophe, which can begin a token of its own.
 TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Words that a worker keeps: encoding is the larger part of this operator's work, and a word takes some 200 bytes.
+PACK_WORDS = 1_000_000
 #: Words that are encoded as one text, and texts in one call.
 BULK, CALL = 50, 100
 
@@ -105,7 +107,7 @@ _CACHES: dict[str, RaggedCache] = {}
 def worker_cache(path: str) -> RaggedCache:
     """The word cache of this Python worker, kept from task to task; its size is bounded."""
     if path not in _CACHES:
-        _CACHES[path] = RaggedCache(word_encoder(path))
+        _CACHES[path] = RaggedCache(word_encoder(path), PACK_WORDS)
     return _CACHES[path]
 
 
