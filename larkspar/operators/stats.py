@@ -8,7 +8,8 @@ from statistics import NormalDist
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..sources.scratch import Tables
 
 FLOOR = 1e-9
 
@@ -33,23 +34,31 @@ def as_arrays(stats: DataFrame) -> tuple[Column, Column]:
 def spearman(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
     """Rank correlation with ordinal ranks (ties by key); NULL for fewer than 3 rows or no variance.
 
-    Ranks come from sorted range partitions with per-partition offsets, so no task holds
-    the whole column.
+    Ranks come from sorted ranges with offsets, so no task holds the whole column.
     """
     ranked = ordinal(ordinal(df.select(key, x, y).dropna(), x, key, "rank_x"), y, key, "rank_y")
     r = ranked.agg(F.count("*").alias("n"), F.corr("rank_x", "rank_y").alias("r"))
     return r.select("n", F.when(F.col("n") >= 3, F.col("r")).alias("rank_ic"))
 
 
-def ordinal(df: DataFrame, value: str, key: str, name: str, parts: int = 64) -> DataFrame:
-    """Adds the 1-based rank of (value, key), in two steps: buckets by approximate quantile, then rows within each."""
-    cuts = df.select(F.percentile_approx(value, [i / parts for i in range(1, parts)], 2000)).first()[0] or []
-    below = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    d = df.withColumn("__part", F.size(F.filter(below, lambda c: c < F.col(value))))
-    counts = d.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__first", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    at = F.row_number().over(Window.partitionBy("__part").orderBy(value, key))
-    return d.withColumn("__at", at).join(F.broadcast(before), "__part").withColumn(name, F.col("__first") + F.col("__at")).drop("__part", "__at", "__first")
+def ordinal(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
+    """Adds the 1-based rank of (value, key), nulls first.
+
+    Rows are sorted in ranges of (value, key), so ties of one value spread over ranges as well,
+    and written once with their place; the ranges' counts then give where each begins.  Nothing
+    but one number for each range comes to the driver.
+    """
+    tables = Tables(df.sparkSession, "ranks")
+    placed = df.repartitionByRange(value, key).sortWithinPartitions(value, key).withColumn("__place", F.monotonically_increasing_id())
+    placed = tables.write(placed, "placed")
+    of = F.shiftright("__place", 33).cast("int")
+    at, first = 0, []
+    for part, n in sorted(tuple(r) for r in placed.groupBy(of.alias("part")).count().collect()):
+        first.append((part, at))
+        at += n
+    begins = df.sparkSession.createDataFrame(first, "__part int, __first long")
+    ranked = placed.withColumn("__part", of).join(F.broadcast(begins), "__part")
+    return ranked.withColumn(name, F.col("__first") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__first", "__place")
 
 
 def rank_ic(cards: DataFrame, actual: DataFrame, key: str = "query_id") -> DataFrame:
@@ -157,7 +166,7 @@ def seeded_split(df: DataFrame, column: str, seed: int = 42, of: tuple[int, int]
     """
     import random
 
-    keys = ordinal_text(df.select(column).dropna().distinct(), column, "__rank")
+    keys = ordinal(df.select(column).dropna().distinct(), column, column, "__rank")
     n = keys.count()
     if n > MOST_KEYS:
         raise ValueError(f"a seeded split takes {MOST_KEYS} keys at most")
@@ -170,22 +179,6 @@ def seeded_split(df: DataFrame, column: str, seed: int = 42, of: tuple[int, int]
     return keys.join(places, "__rank").select(column, "place", (F.col("place") < cut).alias("train"))
 
 
-def ordinal_text(df: DataFrame, column: str, name: str, parts: int = 64) -> DataFrame:
-    """Adds the 1-based rank of distinct values of any sortable type: range partitions, sorted, with offsets of their counts."""
-    ranged = df.repartitionByRange(parts, column).withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min(column).alias("__least"))
-    rows = counts.orderBy("__least").collect()  # one row for each range
-    first, at = {}, 0
-    for r in rows:
-        first[r["__least"]] = at
-        at += r["__n"]
-    bounds = df.sparkSession.createDataFrame([(k, v, i) for i, (k, v) in enumerate(first.items())] or [], f"__least {df.schema[column].dataType.simpleString()}, __first long, __range int")
-    least = F.array(*[F.lit(k) for k in first]) if first else F.array().cast(f"array<{df.schema[column].dataType.simpleString()}>")
-    d = df.withColumn("__range", F.size(F.filter(least, lambda x: x <= F.col(column))) - 1)
-    w = Window.partitionBy("__range").orderBy(column)
-    return d.withColumn("__at", F.row_number().over(w)).join(F.broadcast(bounds), "__range").withColumn(name, (F.col("__first") + F.col("__at")).cast("long")).drop("__at", "__first", "__range", "__least")
-
-
 def smoothed_entropy(p: Column) -> Column:
     """One label's part of the entropy with 1e-12 inside the logarithm."""
     return -p * F.log(p + 1e-12)
