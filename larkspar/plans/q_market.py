@@ -122,11 +122,33 @@ def selected(s, d):
     return chosen.join(p.select("pattern_id", "vec", "trade_idx"), "pattern_id")
 
 
-def brute_select(s, d):
+def chosen(s, d):
     return selected(s, d).select("pattern_id", "archetype", "sel_rank")
 
 
-QUERIES["top2_select_patterns"] = brute_select
+#: The greedy passes by recursion: one step looks at the next candidate of the pass, and takes it if it is new and its symbol has room.
+SELECTED = f"""
+WITH RECURSIVE p AS ({PATTERNS}), ranked AS (
+  {" UNION ALL ".join(f"SELECT {k} AS pass, '{name}' AS archetype, {cap} AS cap, pattern_id, symbol, row_number() OVER (ORDER BY v8_score DESC, pattern_id) AS r FROM p WHERE {rule}" for k, (name, _, cap, rule) in enumerate(graph.ARCHETYPES))}
+), walk AS (
+  SELECT 0 AS pass, 0::BIGINT AS r, 50::BIGINT AS room, []::BIGINT[] AS ids, []::VARCHAR[] AS symbols, []::VARCHAR[] AS kinds
+  UNION ALL
+  SELECT CASE WHEN c.pass IS NULL THEN w.pass + 1 ELSE w.pass END, CASE WHEN c.pass IS NULL THEN 0 ELSE w.r + 1 END, CASE WHEN c.pass IS NULL THEN 50 - len(w.ids) ELSE w.room END,
+    CASE WHEN takes THEN list_append(w.ids, c.pattern_id) ELSE w.ids END, CASE WHEN takes THEN list_append(w.symbols, c.symbol) ELSE w.symbols END, CASE WHEN takes THEN list_append(w.kinds, c.archetype) ELSE w.kinds END
+  FROM walk w LEFT JOIN ranked c ON c.pass = w.pass AND c.r = w.r + 1 AND c.r <= 3 * w.room
+  CROSS JOIN LATERAL (SELECT c.pass IS NOT NULL AND NOT list_contains(w.ids, c.pattern_id) AND len(list_filter(w.symbols, lambda s: s = c.symbol)) < c.cap AND len(w.ids) < 50 AS takes) t
+  WHERE w.pass < {len(graph.ARCHETYPES)}
+), last AS (SELECT ids, kinds FROM walk WHERE pass = {len(graph.ARCHETYPES)}), taken AS (SELECT unnest(ids) AS pattern_id, unnest(kinds) AS archetype, unnest(range(len(ids))) AS sel_rank FROM last)
+"""
+QUERIES["top2_select_patterns"] = chosen
+SQL["top2_select_patterns"] = SELECTED + "SELECT pattern_id, archetype, sel_rank FROM taken"
+SQL["jon9_similar_to"] = SELECTED + """, s AS (
+  SELECT a.pattern_id AS source, b.pattern_id AS target, round(list_dot_product(x.vec::DOUBLE[], y.vec::DOUBLE[]) / (sqrt(list_dot_product(x.vec::DOUBLE[], x.vec::DOUBLE[])) * sqrt(list_dot_product(y.vec::DOUBLE[], y.vec::DOUBLE[]))), 6) AS weight
+  FROM taken a JOIN taken b ON a.pattern_id <> b.pattern_id JOIN p x ON x.pattern_id = a.pattern_id JOIN p y ON y.pattern_id = b.pattern_id
+) SELECT * FROM s WHERE weight >= 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) <= 3"""
+SQL["jon10_supports"] = SELECTED + """
+SELECT a.pattern_id AS source, b.pattern_id AS target, round(greatest(0, 1 - abs(x.as_of_date - y.as_of_date) / 90), 6) AS weight
+FROM taken a JOIN taken b ON a.archetype = b.archetype AND a.sel_rank < b.sel_rank JOIN p x ON x.pattern_id = a.pattern_id JOIN p y ON y.pattern_id = b.pattern_id WHERE x.symbol <> y.symbol AND abs(x.as_of_date - y.as_of_date) <= 90"""
 QUERIES["jon9_similar_to"] = lambda s, d: graph.similar_to(selected(s, d), "vec", least=0.0).select("source", "target", F.round("weight", 6).alias("weight"))
 QUERIES["jon10_supports"] = lambda s, d: graph.supports(selected(s, d)).select("source", "target", F.round("weight", 6).alias("weight"))
 QUERIES["jon7_follows"] = lambda s, d: graph.follows(bind(s, d, PATTERNS)).select("source", "target", F.round("weight", 6).alias("weight"))

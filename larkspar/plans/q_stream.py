@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..operators import bars, fusion
+from ..sources.scratch import Tables
 from ..streaming import queue
 from . import actions
 from .bindings import BARS, bind, table
@@ -25,8 +23,7 @@ def encoded(s, d):
 
 def stream_drain(s, d):
     """The queue drained once as a stream, each id pushed once."""
-    shared = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="larkspar-stream")
-    root = f"{shared.rstrip('/')}/queue-{uuid.uuid4().hex}"
+    root = Tables(s, "queue").root
     rows = table(s, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"), F.when(F.col("event_id") % 4 == 0, "pending").when(F.col("event_id") % 4 == 1, "").when(F.col("event_id") % 4 == 2, "synced").alias("status"))
     rows.unionByName(rows.filter("id % 10 = 0")).write.parquet(f"{root}/in")
     out = f"{root}/out"

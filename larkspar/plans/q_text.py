@@ -32,9 +32,8 @@ QUERIES["prj1_dig"] = lambda s, d: table(s, d, "events").select("event_id", sn.n
 SQL["prj1_dig"] = "SELECT event_id, json_extract_string(props, '$.k')::DOUBLE AS k, json_extract_string(props, '$.a.b') AS gone FROM events"
 QUERIES["prj2_first_non_null"] = lambda s, d: docs(s, d).select("event_id", sn.dig(F.col("doc"), "chan.bsp.latest.side", "chan.bsp.latest_confirmed.side").alias("side"))
 SQL["prj2_first_non_null"] = DOCS + f" SELECT event_id, coalesce({x('chan.bsp.latest.side')}, {x('chan.bsp.latest_confirmed.side')}) AS side FROM s"
-SCALAR_PATHS = [p for p in tensor.CONTRACT if not p.startswith("chan.bsp")]
-QUERIES["prj3_contract_facts"] = lambda s, d: docs(s, d).select("event_id", F.explode(tensor.facts(F.col("doc"))).alias("path", "value")).filter(~F.col("path").startswith("chan.bsp"))
-SQL["prj3_contract_facts"] = DOCS + " " + " UNION ALL ".join(f"SELECT event_id, '{p}' AS path, {x(p)} AS value FROM s" for p in SCALAR_PATHS)
+QUERIES["prj3_contract_facts"] = lambda s, d: docs(s, d).select("event_id", F.explode(tensor.facts(F.col("doc"))).alias("path", "value"))
+SQL["prj3_contract_facts"] = DOCS + " " + " UNION ALL ".join(f"SELECT event_id, '{p}' AS path, {x(p)} AS value FROM s" for p in tensor.CONTRACT)
 QUERIES["prj4_validate"] = lambda s, d: sn.add(docs(s, d), "doc", "v", tensor.validate).select("event_id", "v.ok", F.array_join("v.envelope_errors", ",").alias("envelope"), F.array_join("v.missing_paths", ",").alias("missing"))
 _env = "concat_ws(',', " + ", ".join(f"CASE WHEN NOT {there(k)} THEN '{k}' END" for k in tensor.ENVELOPE) + ")"
 _mis = "concat_ws(',', " + ", ".join(f"CASE WHEN NOT {there(k)} THEN '{k}' END" for k in tensor.CONTRACT) + ")"
@@ -103,9 +102,35 @@ CASE {x('chan.stage_code')} WHEN 'forming' THEN 1.0 WHEN 'developing' THEN 2.0 W
 CASE {x('chan.bsp.latest.side')} WHEN 'buy' THEN 1.0 WHEN 'sell' THEN -1.0 END AS bsp_side_encoded, {_tier(1, is_obj('chan.bsp.latest'))} AS bsp_type_t1, {_tier(2, is_obj('chan.bsp.latest'))} AS bsp_type_t2, {_tier(3, is_obj('chan.bsp.latest'))} AS bsp_type_t3 FROM s)
 SELECT event_id, zs_count, pivot_pct_in_range, coalesce(pivot_range_width, -99) AS pivot_range_width, trend_type_encoded::DOUBLE AS trend_type_encoded, coalesce(stage_code_encoded, -99)::DOUBLE AS stage_code_encoded, vol_ratio_5d, rsi, macd_hist, consecutive_up_days, coalesce(bsp_side_encoded, -99)::DOUBLE AS bsp_side_encoded, coalesce(bsp_type_t1, -99) AS bsp_type_t1, coalesce(bsp_type_t2, -99) AS bsp_type_t2, coalesce(bsp_type_t3, -99) AS bsp_type_t3,
 18 + (pivot_range_width IS NULL)::INT + (stage_code_encoded IS NULL)::INT + (bsp_side_encoded IS NULL)::INT + 3 * (bsp_type_t1 IS NULL)::INT AS n_missing FROM f"""
-QUERIES["prj17_beta_tensor"] = lambda s, d: sn.add(docs(s, d), "doc", "b", tensor.beta_tensor).select("event_id", "b.grade", "b.structure.pivot_range_width", "b.risk.overheat_index", "b.risk.toxic_breaker_count", "b.momentum.rsi", "b.chan_bsp.bsp_side_encoded", F.size(tensor.to_vector(F.col("b"))).alias("dims"), F.size(tensor.to_vector(F.col("b"), blind=False)).alias("all_dims"), F.get(tensor.domain_vector(F.col("b"), "score_ref"), F.lit(1)).alias("ignition"))
+#: Numbers of the 34 values with their path and default; the others are worked out from codes, lists and sides.
+NUMBERS = {
+    "structure": {"zs_count": ("chan.zs_count", 0), "bi_count": ("chan.bi_count", 0), "seg_count": ("chan.seg_count", 0), "pivot_pct_in_range": ("chan.pivot.pct_in_range", 0)},
+    "volume": {"cvd": ("volume.consecutive_vol_days", 0), "vol_ratio_5d": ("volume.vol_ratio_5d", 1), "shrink_days": ("volume.shrink_days", 0), "fake_out_days": ("volume.fake_out_days", 0), "vol_up_down_ratio": ("momentum.vol_up_down_ratio", 1)},
+    "momentum": {"rsi": ("indicators.rsi.value", 50), "macd_hist": ("indicators.macd.hist", 0), "adx": ("indicators.adx.value", 0), "bb_pct_b": ("indicators.bb.pct_b", 0.5), "return_1d": ("momentum.return_1d", 0), "rsi_momentum_5d": ("momentum.rsi_momentum_5d", 0), "consecutive_up_days": ("momentum.consecutive_up_days", 0)},
+    "risk": {"overheat_index": ("v8_score.overheat_index", 0), "fever_penalty_raw": ("v8_score.details.fever_penalty_raw", 0), "toxic_penalty": ("v8_score.details.toxic_penalty", 0)},
+    "chan_bsp": {"macd_area_ratio": ("chan.macd_divergence.area_ratio", 0)},
+    "score_ref": {n: (f"v8_score.{n}", 0) for n in ("setup_score", "ignition_score", "left_total", "right_total")},
+}
+
+
+def beta(s, d):
+    """All 34 values, each from its block, with the vector's lengths."""
+    b = sn.add(docs(s, d), "doc", "b", tensor.beta_tensor)
+    values = [F.col(f"b.{block}.{name}").cast("double").alias(f"{block}_{name}") for block, names in tensor.BLOCKS.items() for name in names]
+    return b.select("event_id", "b.grade", "b.symbol", "b.as_of_date", *values, F.size(tensor.to_vector(F.col("b"))).alias("dims"), F.size(tensor.to_vector(F.col("b"), blind=False)).alias("all_dims"))
+
+
+QUERIES["prj17_beta_tensor"] = beta
 _side = f"CASE WHEN {is_obj('chan.bsp.latest')} THEN {x('chan.bsp.latest.side')} ELSE {x('chan.bsp.latest_confirmed.side')} END"
-SQL["prj17_beta_tensor"] = DOCS + f" SELECT event_id, coalesce({x('v8_score.grade')}, '?') AS grade, coalesce({_width}, 0.0) AS pivot_range_width, {num('v8_score.overheat_index', 0.0)} AS overheat_index, coalesce(json_array_length(j, '$.v8_score.toxic_breaker_factors'), 0)::DOUBLE AS toxic_breaker_count, {num('indicators.rsi.value', 50.0)} AS rsi, CASE {_side} WHEN 'buy' THEN 1.0 WHEN 'sell' THEN -1.0 ELSE 0.0 END::DOUBLE AS bsp_side_encoded, 30 AS dims, 34 AS all_dims, {num('v8_score.ignition_score', 0.0)} AS ignition FROM s"
+_best_types = f"CASE WHEN {is_obj('chan.bsp.latest')} THEN json_extract_string(j, '$.chan.bsp.latest.types[*]') ELSE json_extract_string(j, '$.chan.bsp.latest_confirmed.types[*]') END"
+_worked = {
+    "structure_pivot_range_width": f"coalesce({_width}, 0.0)", "structure_pivot_core_width": "0.0",
+    "structure_trend_type_encoded": f"CASE {x('chan.trend_type')} WHEN 'UpTrend' THEN 2.0 WHEN 'down_trend' THEN 0.0 ELSE 0.5 END", "structure_stage_code_encoded": f"CASE {x('chan.stage_code')} WHEN 'forming' THEN 1.0 WHEN 'developing' THEN 2.0 WHEN 'mature' THEN 3.0 ELSE 0.0 END",
+    "risk_toxic_breaker_count": "coalesce(json_array_length(j, '$.v8_score.toxic_breaker_factors'), 0)", "chan_bsp_bsp_side_encoded": f"CASE {_side} WHEN 'buy' THEN 1.0 WHEN 'sell' THEN -1.0 ELSE 0.0 END", "chan_bsp_macd_divergence": "0.0",
+    **{f"chan_bsp_bsp_type_t{k}": f"CASE WHEN len(list_filter({_best_types}, lambda t: starts_with(t, 'T{k}') OR t IN ('{k}buy', '{k}sell'))) > 0 THEN 1.0 ELSE 0.0 END" for k in (1, 2, 3)},
+}
+_worked |= {f"{b}_{n}": num(path, default) for b, names in NUMBERS.items() for n, (path, default) in names.items()}
+SQL["prj17_beta_tensor"] = DOCS + f" SELECT event_id, coalesce({x('v8_score.grade')}, '?') AS grade, coalesce({x('symbol')}, 'UNKNOWN') AS symbol, coalesce({x('as_of_date')}, '') AS as_of_date, {', '.join(f'({sql})::DOUBLE AS {name}' for name, sql in _worked.items())}, 30 AS dims, 34 AS all_dims FROM s"
 
 # ---- provenance ----------------------------------------------------------------------
 
