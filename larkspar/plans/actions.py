@@ -142,16 +142,19 @@ def _embed(spark, p):
     return {"status": "ok", "rows": e.count()}
 
 
-@action("cvrf_discriminate", "train and held-out symbols by hash, two to one")
+@action("cvrf_discriminate", "train and held-out symbols by a seeded shuffle, two to one")
 def _discriminate(spark, p):
     require(p, "symbols")
-    d = split(spark.read.parquet(p["symbols"]), "symbol")
-    return {"status": "ok", "train": d.filter("train").count(), "held_out": d.filter("not train").count()}
+    d = split(spark.read.parquet(p["symbols"]), "symbol", p.get("seed", 42))
+    r = d.agg(F.count_if("train").alias("train"), F.count_if(~F.col("train")).alias("held_out")).first()
+    return {"status": "ok", "train": r["train"], "held_out": r["held_out"]}
 
 
 def split(df, column: str, seed: int = 42):
-    """Marks two thirds of the keys as training ones, by hash."""
-    return df.withColumn("train", F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(3)) < 2)
+    """Distinct keys with whether they train: two thirds do, in the order of the seeded shuffle."""
+    from ..operators import stats
+
+    return stats.seeded_split(df, column, seed).drop("place")
 
 
 def run(spark: SparkSession, name: str, run_id: str, params: dict) -> dict:

@@ -15,7 +15,8 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="driver tables not
 def test_query(spark, name):
     got = QUERIES[name](spark, SF).toPandas()
     if name not in SQL:
-        assert len(got.columns)
+        # tests of their operators hold these against plain loops; here they give rows without gaps in their keys
+        assert len(got) and not got.iloc[:, 0].isna().any()
         return
     want = oracle(SQL[name], SF)
     assert rows(got) == rows(want)
