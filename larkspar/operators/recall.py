@@ -76,8 +76,8 @@ def shape(df: DataFrame) -> DataFrame:
     return df.select(*cols).filter(keep).filter((norm > 0) & (norm < float("inf")))
 
 
-def pivots_of(df: DataFrame):
-    """Unit vectors far from each other, of the most frequent length of the first SAMPLE rows; any choice gives the same hits."""
+def pivots_of(df: DataFrame, most: int = PIVOTS):
+    """At most ``most`` unit vectors far from each other, of the most frequent length of the first SAMPLE rows; any choice gives the same hits."""
     import numpy as np
 
     rows = [r["vec"] for r in df.select("vec").limit(SAMPLE).collect()]
@@ -87,7 +87,7 @@ def pivots_of(df: DataFrame):
     size = max(set(sizes), key=lambda n: (sizes.count(n), n))
     x = _unit(np.array([v for v in rows if len(v) == size]))
     chosen, near = [0], x @ x[0]
-    while len(chosen) < min(PIVOTS, len(x)):
+    while len(chosen) < min(most, len(x)):
         chosen.append(int(near.argmin()))
         near = np.maximum(near, x @ x[chosen[-1]])
     return x[chosen]
@@ -156,10 +156,10 @@ def _pack(pivots, rows: int):
     return run
 
 
-def pack(df: DataFrame, pivots, tables: Tables, name: str, block: int = BLOCK) -> DataFrame:
-    """The table of tiles of a shaped table."""
+def pack(df: DataFrame, n: int, pivots, tables: Tables, name: str, block: int = BLOCK) -> DataFrame:
+    """The table of tiles of a shaped table of n rows."""
     rows = block * TILE
-    parts = max(1, math.ceil(df.count() / (4 * rows)))
+    parts = max(1, math.ceil(n / (4 * rows)))
     order = ["cohort", "size", "cell", "idx", "id"]
     cells = df.mapInArrow(_to_cells(pivots), ROW).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return tables.write(cells.mapInArrow(_pack(pivots, rows), TILES), name)
@@ -292,9 +292,11 @@ def search(
     spark, ahead = queries.sparkSession, horizon + purge
     tables = Tables(spark, "recall")
     shown = shape(candidates)
-    pivots = pivots_of(shown)
-    c = pack(shown, pivots, tables, "candidates", block)
-    q = c if queries is candidates else pack(shape(queries), pivots, tables, "queries", block)
+    n, asked = shown.count(), shape(queries)
+    # no more cells than the table fills with tiles
+    pivots = pivots_of(shown, min(PIVOTS, n // (block * TILE) + 1))
+    c = pack(shown, n, pivots, tables, "candidates", block)
+    q = c if queries is candidates else pack(asked, asked.count(), pivots, tables, "queries", block)
     find = _search(pivots, k, ahead, exclude_symbol, gap, block)
     pairs = _pairs(q, c, ahead, None)
     if c.count() <= GROUP:  # one task holds all candidates of a tile: a floor beforehand spares it nothing
