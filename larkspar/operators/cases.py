@@ -97,6 +97,11 @@ FOOT = (
 )
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double to some digits as SQL engines in C round it: scaled first, then half away from zero; ``F.round`` rounds its shortest decimal text, so 26.549999999999997 would give 26.5 instead of 26.6."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def summary(verdict: Column, price: Column, pnl: Column, lesson: Column) -> Column:
     """What came of a case: its move over 10 days (or its lesson, if unknown) and an ending by verdict."""
     lesson = F.trim(F.coalesce(lesson, F.lit("")))

@@ -53,7 +53,7 @@ FROM k
 """
 
 QUERIES["prj25_case_summary"] = lambda s, d: ledger.verdicts(settled(s, d)).select(
-    "id", "pass", cases.summary(F.col("verdict"), F.col("later"), F.round(100 * F.col("pnl_frac"), 1), F.lit("x")).alias("summary")
+    "id", "pass", cases.summary(F.col("verdict"), F.col("later"), cases.rounded(100 * F.col("pnl_frac"), 1), F.lit("x")).alias("summary")
 )
 SQL["prj25_case_summary"] = SETTLED.replace(", pnl FROM o", ", pnl, later FROM o") + f"""
 SELECT id, pass, 'Price ' || CASE WHEN round(100 * pnl, 1) >= 0 THEN 'rose' ELSE 'fell' END || printf(' to %.2f (%+.0f%%) in 10 days. ', later, round_even(round(100 * pnl, 1), 0)) ||
