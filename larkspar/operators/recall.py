@@ -15,6 +15,8 @@
 4. A task holds one query tile and up to GROUP candidate tiles, the most promising first, and
    keeps the k best of each query.  Within a tile pair, blocks are skipped in the same way, by
    guard and by the running k-th similarity of each query, before any product is computed.
+   Products are taken in single precision first; only pairs that reach the running k-th
+   similarity within its error are computed in double precision, checked and ordered.
 
 The result is exact: bounds are compared with SLACK to spare.  Similarities are compared to
 12 digits, ties go to the smaller id.  Zero, infinite and NULL vectors and those of another
@@ -176,8 +178,12 @@ class _Side:
         self.symbol = np.array(row["symbols"], object)
         self.vec = np.frombuffer(row["vecs"], float).reshape(-1, self.size)
         self.norm = np.sqrt((self.vec * self.vec).sum(1))
-        self.angle = _angles(self.vec / self.norm[:, None], pivots if len(pivots) and pivots.shape[1] == self.size else np.zeros((0, self.size)))
+        unit = self.vec / self.norm[:, None]
+        self.unit = unit.astype(np.float32)
+        self.angle = _angles(unit, pivots if len(pivots) and pivots.shape[1] == self.size else np.zeros((0, self.size)))
         self.blocks = [slice(a, min(a + block, len(self.id))) for a in range(0, len(self.id), block)]
+        self.first = [self.idx[b].min() for b in self.blocks]
+        self.range = [(self.angle[b].min(0), self.angle[b].max(0)) for b in self.blocks]
 
 
 def _search(pivots, k: int, ahead: int, exclude_symbol: bool, gap: int | None, block: int):
@@ -187,33 +193,63 @@ def _search(pivots, k: int, ahead: int, exclude_symbol: bool, gap: int | None, b
         import numpy as np
         import pyarrow as pa
 
-        def bound(q, at, c, b):
-            """The best cosine that each query of a block may have in a candidate block."""
+        def bound(q, at, c, n):
+            """The best cosine that each query of a block may have in the n-th candidate block."""
             if not q.angle.shape[1]:
                 return np.ones(at.stop - at.start)
-            low, high, x = c.angle[b].min(0), c.angle[b].max(0), q.angle[at]
+            (low, high), x = c.range[n], q.angle[at]
             return np.cos(np.clip(np.maximum(low - x, x - high).max(1), 0, np.pi))
 
+        def allowed(q, i, c, j):
+            ok = (c.idx[j] <= q.idx[i] - ahead) & (c.id[j] != q.id[i])
+            if exclude_symbol:
+                other = c.symbol[j] != q.symbol[i]
+                ok &= other if gap is None else other | (c.idx[j] <= q.idx[i] - gap)
+            return ok
+
+        def reach(q, use, c, b, floor):
+            """(query, candidate) of the pairs of a block that may enter the k best, by single precision with its error to spare."""
+            error = np.float32((q.size + 8) * 2.0**-23)
+            near = q.unit[use] @ c.unit[b].T
+            least = floor.copy()
+            if len(new := np.flatnonzero(~np.isfinite(floor))):  # queries with fewer than k so far: the k-th of this block is their floor
+                ok = allowed(q, use[new][:, None], c, np.arange(b.start, b.stop)[None, :])
+                near[new] = np.where(ok, near[new], -np.inf)
+                if near.shape[1] >= k:
+                    least[new] = np.partition(near[new], -k, axis=1)[:, -k] - error
+                least[new] = np.maximum(least[new], -2)
+            return np.divmod(np.flatnonzero((near >= (least - error).astype(np.float32)[:, None] - error).ravel()), near.shape[1])
+
         def merge(q, best, c):
             pairs = compared = 0
             for at in q.blocks:
                 last = q.idx[at].max()
-                met = [(b, bound(q, at, c, b)) for b in c.blocks if c.idx[b].min() <= last - ahead]
+                met = [(b, bound(q, at, c, n)) for n, b in enumerate(c.blocks) if c.first[n] <= last - ahead]
                 pairs += len(met)
                 for b, most in sorted(met, key=lambda x: -x[1].max()):  # the most promising first: they raise what others must reach
                     use = at.start + np.flatnonzero(most >= best[0][at, k - 1] - SLACK)
                     if not len(use):
                         continue
                     compared += 1
-                    sim = np.round((q.vec[use] @ c.vec[b].T) / (q.norm[use][:, None] * c.norm[b][None, :]), 12)
-                    ok = (c.idx[b][None, :] <= q.idx[use][:, None] - ahead) & (c.id[b][None, :] != q.id[use][:, None])
-                    if exclude_symbol:
-                        other = c.symbol[b][None, :] != q.symbol[use][:, None]
-                        ok &= other if gap is None else other | (c.idx[b][None, :] <= q.idx[use][:, None] - gap)
-                    sim = np.concatenate((best[0][use], np.where(ok, sim, -np.inf)), 1)
-                    ids = np.concatenate((best[1][use], np.broadcast_to(c.id[b], ok.shape)), 1)
-                    order = np.lexsort((ids, -sim), axis=1)[:, :k]
-                    best[0][use], best[1][use] = np.take_along_axis(sim, order, 1), np.take_along_axis(ids, order, 1)
+                    i, j = reach(q, use, c, b, best[0][use, k - 1])
+                    ok = allowed(q, use[i], c, j + b.start)
+                    i, j = i[ok], j[ok]
+                    if len(i) > len(use) * 16:
+                        sim = (q.vec[use] @ c.vec[b].T)[i, j]
+                    else:
+                        sim = np.einsum("ij,ij->i", q.vec[use[i]], c.vec[j + b.start])
+                    i, j = use[i], j + b.start
+                    sim = np.round(sim / (q.norm[i] * c.norm[j]), 12)
+                    enters = (sim > best[0][i, k - 1]) | ((sim == best[0][i, k - 1]) & (c.id[j] < best[1][i, k - 1]))
+                    i, j, sim = i[enters], j[enters], sim[enters]
+                    if not len(i):
+                        continue
+                    rows = np.unique(i)
+                    of = np.concatenate((np.repeat(rows, k), i))
+                    sims, ids = np.concatenate((best[0][rows].ravel(), sim)), np.concatenate((best[1][rows].ravel(), c.id[j]))
+                    order = np.lexsort((ids, -sims, of))
+                    firsts = order[np.searchsorted(of[order], rows)[:, None] + np.arange(k)]
+                    best[0][rows], best[1][rows] = sims[firsts], ids[firsts]
             return pairs, compared
 
         def show(q, best, known, counts):
