@@ -6,7 +6,8 @@ import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import bars, episode
@@ -38,101 +39,83 @@ MODES = ("mode", "below", "above", "d", "peak")
 BEAT_MS = episode.HEARTBEAT * 86_400_000
 
 
+#: What the processor keeps of a symbol, as one value: a key costs one read and one write of state a batch.
+KEPT = "mode string, below int, above int, d int, peak double, recent array<double>, bars long, last_wake long, last_sale long, last_trim long, past array<double>, beat long"
+#: Rows of episode.FOLDED whose moment is in microseconds, so that no row passes through a time zone.
+FOLDED_US = episode.FOLDED.replace("at timestamp", "at long")
+FOLDED_ROW = Row(*NAMES)
+
+
+def _known(x):
+    return None if x is None or x != x else x
+
+
 class Days(StatefulProcessor):
     """Folds the days of a symbol as ``episode.fold`` does, from batch to batch.
 
-    State: the shield (value), its recent closes (list), counters of bars, calls, sales and
-    trims (value), the last closes (list) and the moment a heartbeat is due (value).  A call
-    sets a timer HEARTBEAT days ahead and takes back the one before; if it fires, or a later
-    day arrives first, one row of kind 'heartbeat' is given, which wakes nothing.
+    State: one typed value (KEPT) with the shield and its recent closes, counters of bars,
+    calls, sales and trims, the last closes and the moment a heartbeat is due.  A call sets a
+    timer HEARTBEAT days ahead and takes back the one before; if it fires, or a later day
+    arrives first, one row of kind 'heartbeat' is given, which wakes nothing.  Rows come and
+    go as rows, not as a frame for each key: a symbol brings few days a batch.
     """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.shield = handle.getValueState("shield", "mode string, below int, above int, d int, peak double")
-        self.recent = handle.getListState("recent", "close double")
-        self.marks = handle.getValueState("marks", "bars long, last_wake long, last_sale long, last_trim long")
-        self.past = handle.getListState("past", "close double")
-        self.beat = handle.getValueState("beat", "at long")
-
-    @staticmethod
-    def _put(state, values: list) -> None:
-        """A list state cannot be empty, only absent."""
-        state.put([(x,) for x in values]) if values else state.clear()
+        self.kept = handle.getValueState("kept", KEPT)
 
     @staticmethod
-    def _beat(symbol: str, at_ms: int) -> tuple:
-        import pandas as pd
-
-        known = {"symbol": symbol, "at": pd.Timestamp(at_ms, unit="ms"), "kind": "heartbeat", "note": "heartbeat"}
-        return tuple(known.get(n) for n in NAMES)
-
-    @staticmethod
-    def _rows(out: list[tuple]):
-        """The rows as a frame that keeps whole numbers and flags beside missing ones."""
-        import pandas as pd
-
-        kinds = {n: {"int": "Int32", "long": "Int64", "boolean": "boolean"}.get(k) for n, k in (c.split() for c in episode.FOLDED.split(", "))}
-        return pd.DataFrame({n: pd.Series([row[i] for row in out], dtype=kinds[n]) for i, n in enumerate(NAMES)})
+    def _beat(symbol: str, at_ms: int) -> Row:
+        known = {"symbol": symbol, "at": at_ms * 1000, "kind": "heartbeat", "note": "heartbeat"}
+        return FOLDED_ROW(*[known.get(n) for n in NAMES])
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        r = initialState.iloc[0]
-        self.shield.update((r["mode"], *(int(r[c]) for c in MODES[1:4]), float(r["peak"])))
-        self.marks.update((int(r["bars"]), *(int(r[c]) if r[c] == r[c] and r[c] is not None else 0 for c in ("last_wake", "last_sale", "last_trim"))))
-        for state, values in ((self.recent, r["recent"]), (self.past, r["past"])):
-            self._put(state, [None if x is None or x != x else float(x) for x in values])
-        if r["beat"] is not None and r["beat"] == r["beat"]:
-            at = int(r["beat"].value // 1_000_000)
-            self.beat.update((at,))
-            self.handle.registerTimer(at)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        pdf = pd.concat(list(rows)).sort_values("at", kind="stable")
-        kept = dict(zip(MODES, self.shield.get(), strict=True)) | {"recent": [x[0] for x in self.recent.get()] if self.recent.exists() else []} if self.shield.exists() else {}
-        n, wake, sale, trim = self.marks.get() if self.marks.exists() else (0, 0, 0, 0)
-        past = [x[0] for x in self.past.get()] if self.past.exists() else []
-        beat = self.beat.get()[0] if self.beat.exists() else None
+        r = initialState
+        lists = [[_known(x) for x in r[c]] for c in ("recent", "past")]
+        self.kept.update((*(r[c] for c in MODES), lists[0], r["bars"], *(r[c] or 0 for c in ("last_wake", "last_sale", "last_trim")), lists[1], r["beat"]))
+        if r["beat"] is not None:
+            self.handle.registerTimer(r["beat"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        days, before = sorted(rows, key=lambda r: r["us"]), self.kept.get()
+        kept, (n, wake, sale, trim), past, beat = {}, (0, 0, 0, 0), [], None
+        if before is not None:
+            kept = dict(zip((*MODES, "recent"), before[:6], strict=True)) | {"recent": list(before[5] or [])}
+            (n, wake, sale, trim), past, beat = before[6:10], list(before[10] or []), before[11]
         first_beat, out = beat, []
-        shields = bars.shield_steps(pdf[["shares", "cost", "close", "ma20", "grade", "atr_pct"]].astype(object).where(lambda x: x.notna(), None).itertuples(index=False, name=None), kept)
-        for r, shield in zip(pdf.itertuples(index=False), shields, strict=True):
-            at = r.at.value // 1_000_000
+        shields = bars.shield_steps([(_known(r["shares"]), _known(r["cost"]), _known(r["close"]), _known(r["ma20"]), r["grade"], _known(r["atr_pct"])) for r in days], kept)
+        for r, shield in zip(days, shields, strict=True):
+            at, shares = r["us"] // 1000, _known(r["shares"])
             n += 1
             if beat is not None and beat < at:  # the day comes before the timer could fire
                 out.append(self._beat(key[0], beat))
                 beat = None
-            due = r.due_exited if shield[0] == "EXITED" else r.due
-            called, silent = bool(due) if due is not None else False, n - 1 - wake
-            past = [*past, None if r.close != r.close else r.close][-episode.PAST :]
-            grade = r.grade if isinstance(r.grade, str) else "C"
-            entry = r.conviction in episode.ENTRIES and (r.shares == 0 or r.shares != r.shares)
-            conviction = "SKIP" if entry and sale and n - sale <= episode.SALE_COOLDOWN and grade != "S" else r.conviction
-            action = "HOLD" if r.action == "ADD" and trim and n - trim <= episode.TRIM_COOLDOWN else r.action
-            noted = "heartbeat" if silent >= episode.HEARTBEAT and not r.watching else None
-            out.append((key[0], r.at, "day", *shield, called, silent, noted, conviction, action, [x for x in past if x is not None]))
+            due = r["due_exited"] if shield[0] == "EXITED" else r["due"]
+            called, silent = bool(due), n - 1 - wake
+            past = [*past, _known(r["close"])][-episode.PAST :]
+            grade = r["grade"] if r["grade"] is not None else "C"
+            entry = r["conviction"] in episode.ENTRIES and not shares
+            conviction = "SKIP" if entry and sale and n - sale <= episode.SALE_COOLDOWN and grade != "S" else r["conviction"]
+            action = "HOLD" if r["action"] == "ADD" and trim and n - trim <= episode.TRIM_COOLDOWN else r["action"]
+            noted = "heartbeat" if silent >= episode.HEARTBEAT and not r["watching"] else None
+            out.append(FOLDED_ROW(key[0], r["us"], "day", *shield, called, silent, noted, conviction, action, [x for x in past if x is not None]))
             if called:
                 wake, beat = n, at + BEAT_MS
-            sale, trim = n if r.action == "SELL" else sale, n if r.action == "TRIM" else trim
-        self.shield.update(tuple(kept[c] for c in MODES))
-        self._put(self.recent, [float(x) for x in kept["recent"]])
-        self.marks.update((n, wake, sale, trim))
-        self._put(self.past, past[-(episode.PAST - 1) :])
+            sale, trim = n if r["action"] == "SELL" else sale, n if r["action"] == "TRIM" else trim
+        self.kept.update((*(kept[c] for c in MODES[:4]), float(kept["peak"]), [float(x) for x in kept["recent"]], n, wake, sale, trim, past[-(episode.PAST - 1) :], beat))
         if beat != first_beat:
             if first_beat is not None:
                 self.handle.deleteTimer(first_beat)
-            if beat is None:
-                self.beat.clear()
-            else:
-                self.beat.update((beat,))
+            if beat is not None:
                 self.handle.registerTimer(beat)
-        yield self._rows(out)
+        return iter(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if self.beat.exists() and self.beat.get()[0] == at:
-            self.beat.clear()
-            yield self._rows([self._beat(key[0], at)])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at, kept = expiredTimerInfo.getExpiryTimeInMs(), self.kept.get()
+        if kept is None or kept[11] != at:
+            return iter(())
+        self.kept.update((*kept[:11], None))
+        return iter([self._beat(key[0], at)])
 
     def close(self) -> None:
         pass
@@ -157,8 +140,10 @@ def fold_stream(rows: DataFrame, start: DataFrame | None = None, delay: str = "0
 
     Days must arrive in order, up to the delay; later ones are dropped by the watermark.
     """
-    initial = start.groupBy("symbol") if start is not None else None
-    return rows.withWatermark("at", delay).groupBy("symbol").transformWithStateInPandas(statefulProcessor=Days(), outputStructType=episode.FOLDED, outputMode="Append", timeMode="EventTime", initialState=initial)
+    initial = start.withColumn("beat", F.unix_millis("beat")).groupBy("symbol") if start is not None else None
+    days = rows.withWatermark("at", delay).withColumn("us", F.unix_micros("at")).groupBy("symbol")
+    folded = days.transformWithState(statefulProcessor=Days(), outputStructType=FOLDED_US, outputMode="Append", timeMode="EventTime", initialState=initial)
+    return folded.withColumn("at", F.timestamp_micros("at"))
 
 
 def run_days(spark: SparkSession, source: str, out: str, checkpoint: str, start: DataFrame | None = None) -> None:
