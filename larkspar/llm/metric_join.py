@@ -127,6 +127,38 @@ def _slice(size: int, percent: int):
     return run
 
 
+BUCKET = "key long, node long, centre long"
+
+
+def _shared_keys(batches) -> Iterator:
+    """Rows of (key, node), sorted, to those of keys with several rows, each with the least node of its key.
+
+    Of a key that goes on in the next batch only its first row and its number so far are kept.
+    """
+    import pyarrow as pa
+
+    # the last key, its least node, and whether its only row so far has yet to be given
+    of, least, held = None, None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node = (np.asarray(batch.column(i), np.int64) for i in range(2))
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        counts = np.diff(np.append(begin, len(key)))
+        centres, several = node[begin].copy(), counts > 1
+        out = [np.zeros((3, 0), np.int64)]
+        if of is not None and key[0] == of:
+            centres[0], several[0] = least, True
+            if held:
+                out.append(np.array([[of], [least], [least]], np.int64))
+        take = np.repeat(several, counts)
+        out.append(np.stack((key[take], node[take], np.repeat(centres, counts)[take])))
+        of, least, held = int(key[-1]), int(centres[-1]), not several[-1]
+        found = np.concatenate(out, 1)
+        if found.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["key", "node", "centre"])
+
+
 def near_bytes(distance: np.ndarray, home: np.ndarray) -> list[bytes]:
     """The distance to the cell's pivot and whether the member lives there, before its shingles: 16 bytes."""
     both = np.stack((np.asarray(distance, float), np.asarray(home, float)), 1)
@@ -339,11 +371,11 @@ def join(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
     clash = few(scratch.write(numbered.groupBy("node").agg(F.count("*").alias("sets")).filter("sets > 1").select(F.col("node").alias("clash")), "clash"))
     if not clash.isEmpty():
         numbered = numbered.join(clash, numbered["node"] == clash["clash"], "left").withColumn("node", F.when(F.col("clash").isNull(), F.col("node")).otherwise(F.col("other"))).drop("clash")
-    members = numbered.select("node", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("k")).filter("k > 1").select("key", "centre")
-    buckets = scratch.write(members.join(few(scratch.write(shared, "shared")), "key"), "buckets")
+    members = numbered.select(F.explode("keys").alias("key"), "node")
+    # one shuffle of the keys, and no second one to meet those that are shared; a task goes through the rows of a key as they come
+    buckets = scratch.write(members.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared_keys, BUCKET), "buckets")
     nodes = scratch.write(numbered.drop("keys"), "nodes")
-    scratch.drop("numbered", "shared")
+    scratch.drop("numbered")
     stars = buckets.filter("node != centre").groupBy("node", "centre").agg((-F.count("*")).alias("k"))
     stars = scratch.write(stars.groupBy("node").agg(F.min(F.struct("k", "centre")).alias("most")).select(F.col("most.centre").alias("a"), F.col("node").alias("b")), "stars")
     edges = _confirmed(d, stars, nodes, scratch, shingle, percent)
