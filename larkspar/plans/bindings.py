@@ -72,9 +72,13 @@ FROM conversations
 TABLES = {PATTERNS: ["embeddings"], BARS: ["events"], LEDGER: ["events"], SNAPSHOTS: ["events"], CHATS: ["conversations"]}
 
 
-def bind(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A binding over the tables of a folder; only the columns that a query uses are read."""
+def bind(spark: SparkSession, sf_dir: str, sql: str, dealt: bool = False) -> DataFrame:
+    """A binding over the tables of a folder; only the columns that a query uses are read.
+
+    ``dealt``: the tables are spread before the binding, so that their columns move and not what is made of them.
+    """
     names = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES[sql]}
+    names = {t: spread(df) for t, df in names.items()} if dealt else names
     text = sql.replace("{", "{{").replace("}", "}}")
     for t in names:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
@@ -85,8 +89,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task whose projection costs more than a shuffle.
+DEAL_ROWS = 100_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The table dealt over all cores if its files have fewer splits: for projections that cost more than a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    """The table dealt over all cores, and to tasks of about DEAL_ROWS rows, if its files have fewer splits: for projections that cost more than a shuffle."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // DEAL_ROWS))
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    return df.repartition(parts) if splits < parts else df

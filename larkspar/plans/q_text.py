@@ -10,13 +10,13 @@ from ..operators import provenance as pv
 from ..operators import tensor, transcript
 from ..sources import readers, sinks
 from ..streaming import queue
-from .bindings import CHATS, LEDGER, PATTERNS, SNAPSHOTS, bind, spread, table
+from .bindings import CHATS, LEDGER, PATTERNS, SNAPSHOTS, bind, table
 
 QUERIES, SQL = {}, {}
 
 
 def docs(s, d):
-    return spread(bind(s, d, SNAPSHOTS)).withColumn("doc", sn.parse(F.col("snapshot")))
+    return bind(s, d, SNAPSHOTS, dealt=True).withColumn("doc", sn.parse(F.col("snapshot")))
 
 
 DOCS = f"WITH s AS (SELECT event_id, snapshot::JSON AS j FROM ({SNAPSHOTS}))"
@@ -45,7 +45,7 @@ FLAT = ["symbol", "as_of_date", "grade", "global_regime.*", "structure.*", "igni
 
 
 def alpha(mode):
-    return lambda s, d: tensor.project(spread(bind(s, d, SNAPSHOTS)), mode=mode).select("event_id", "tensor.*").select("event_id", *FLAT)
+    return lambda s, d: tensor.project(bind(s, d, SNAPSHOTS, dealt=True), mode=mode).select("event_id", "tensor.*").select("event_id", *FLAT)
 
 
 def bsp_sql(strict):
