@@ -20,6 +20,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FILES = 8
 
@@ -29,7 +30,12 @@ class KeyedStore:
 
     def __init__(self, spark: SparkSession, root: str, schema: str, keys: list[str]):
         self.spark, self.root, self.schema, self.keys = spark, root.rstrip("/"), schema, keys
-        self.columns = [f.name for f in spark.createDataFrame([], schema).schema if f.name not in keys]
+        self.shape = StructType.fromDDL(schema)
+        self.columns = [name for name in self.shape.names if name not in keys]
+
+    def _empty(self) -> DataFrame:
+        """No rows; a list made into a table would start Python workers in each job that unites with it."""
+        return self.spark.range(0).select().to(self.shape)
 
     # ---- small files -------------------------------------------------------------------
 
@@ -74,8 +80,7 @@ class KeyedStore:
         if any(c["batch"] == batch for c in done):
             return False
         folder = f"deltas/{hashlib.sha256(batch.encode()).hexdigest()[:32]}"
-        shape = self.spark.createDataFrame([], self.schema)
-        shaped = shape.unionByName(rows.select(*[c for c in rows.columns if c in self.keys + columns]), allowMissingColumns=True)
+        shaped = self._empty().unionByName(rows.select(*[c for c in rows.columns if c in self.keys + columns]), allowMissingColumns=True)
         shaped.repartition(FILES, *self.keys).write.mode("overwrite").parquet(f"{self.root}/{folder}")
         n = 1 + max([c["n"] for c in done] + [(self._base() or {"upto": 0})["upto"]])
         self._create(f"commits/{n:012d}.json", {"n": n, "batch": batch, "folder": folder, "columns": columns, "whole": whole, "coalesce": coalesce})
@@ -90,7 +95,7 @@ class KeyedStore:
         parts = [(base["folder"], {"n": base["upto"], "columns": self.columns, "whole": True, "coalesce": False})] if base else []
         parts += [(c["folder"], c) for c in commits]
         if not parts:
-            return self.spark.createDataFrame([], self.schema)
+            return self._empty()
         rows = None
         for folder, c in parts:
             sets = lambda name, c=c: F.lit(False) if name not in c["columns"] else F.col(name).isNotNull() if c["coalesce"] else F.lit(True)
@@ -102,7 +107,7 @@ class KeyedStore:
             rows = one if rows is None else rows.unionByName(one)
         last = lambda x: F.max_by(F.col(x)["v"], F.col(x)["n"]).alias(x)
         merged = rows.groupBy(*self.keys).agg(F.max("__whole").alias("__whole"), *[last(x) for x in self.columns]).filter("__whole")
-        return merged.select(*[f.name for f in self.spark.createDataFrame([], self.schema).schema])
+        return merged.select(*self.shape.names)
 
     def compact(self) -> None:
         """Folds what is committed into a base; batches committed meanwhile stay deltas."""
